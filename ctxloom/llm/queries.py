@@ -9,6 +9,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality_rules import judge, op8_columns
+from .suffix_dedup import removal_report
 from .sharding import shard_documents
 
 
@@ -28,6 +29,10 @@ def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
