@@ -5,12 +5,14 @@ from __future__ import annotations
 from .common import table
 from .fingerprints import fingerprint_documents
 from .importance import resample
+from .language_id import identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality_rules import judge, op8_columns
-from .suffix_dedup import removal_report
 from .sharding import shard_documents
+from .suffix_dedup import removal_report
+from .toxicity import score_toxicity
 
 
 def op1_minhash(spark, sf_dir):
@@ -25,6 +27,10 @@ def op3_importance(spark, sf_dir):
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
 
@@ -41,9 +47,17 @@ def op8_quality_rules(spark, sf_dir):
     return op8_columns(judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op9_language_id(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op")}
+
+
+def oracle_sql() -> dict:
+    return {}
