@@ -1,0 +1,15 @@
+"""Registry of the library's queries and their SQL."""
+
+from __future__ import annotations
+
+
+def pack_greedy(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
