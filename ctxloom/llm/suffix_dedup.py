@@ -28,7 +28,7 @@ _UP = np.ones(1, np.uint64)
 _DOWN = np.ones(1, np.uint64)
 _SALT = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 #: Text bytes that one index holds, unless a single hash has more.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 BROADCAST_IDS = 1_000_000
 
 
@@ -167,16 +167,16 @@ class RunIndex:
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefixes of pairs of positions; separators end them."""
         n, out = len(self.text), np.zeros(len(a), np.int64)
-        open_ = np.arange(len(a))
-        width = 64
-        while len(open_):
-            at = np.arange(width)
-            x = self.text[np.minimum(a[open_, None] + out[open_, None] + at, n - 1)]
-            y = self.text[np.minimum(b[open_, None] + out[open_, None] + at, n - 1)]
-            same = x == y
-            full = same.all(axis=1)
-            out[open_] += np.where(full, width, same.argmin(axis=1))
-            open_ = open_[full]
+        at = np.arange(64, dtype=np.int32)
+        for begin in range(0, len(a), 8192):  # so few pairs at a time bound the working memory
+            open_ = np.arange(begin, min(begin + 8192, len(a)))
+            while len(open_):
+                x = self.text[np.minimum((a[open_] + out[open_])[:, None] + at, n - 1)]
+                y = self.text[np.minimum((b[open_] + out[open_])[:, None] + at, n - 1)]
+                same = x == y
+                full = same.all(axis=1)
+                out[open_] += np.where(full, 64, same.argmin(axis=1))
+                open_ = open_[full]
         return out
 
     def matching_statistics(self) -> np.ndarray:
