@@ -1,0 +1,64 @@
+"""Text scalars as Columns: token estimates, tokenizers, set similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The stop words that results must agree on.
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "he", "her", "his",
+    "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "my", "no", "nor", "not", "of", "on", "or", "our",
+    "out", "own", "she", "so", "some", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this",
+    "to", "too", "up", "us", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you", "your",
+]
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def estimate_tokens(text: Column, factor: float = 1.3) -> Column:
+    """Words times a factor, rounded up; 0 for blank or null text."""
+    t = trimmed(F.coalesce(text, F.lit("")))
+    return F.when(t == "", 0).otherwise(F.greatest(F.lit(1.0), F.ceil(F.size(F.split(t, r"\s+")) * F.lit(float(factor))))).cast("long")
+
+
+def estimate_chars(text: Column) -> Column:
+    """A quarter of the trimmed length, rounded up."""
+    return F.ceil(F.length(trimmed(F.coalesce(text, F.lit("")))) / F.lit(4.0)).cast("long")
+
+
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of letters and digits of two or more characters."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda x: F.length(x) > 1)
+
+
+def keywords(text: Column) -> Column:
+    return F.array_except(F.array_distinct(tokens(text)), F.array(*[F.lit(w) for w in STOPWORDS]))
+
+
+def word_set(text: Column, longer_than: int = 2) -> Column:
+    """Distinct lower-cased white-space words longer than the given length."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: F.length(x) > longer_than))
+
+
+def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
+    union = F.size(F.array_union(a, b))
+    return F.when(union == 0, F.lit(empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; 0 for differing lengths or a zero norm."""
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
+
+
+def half_up(x: Column, digits: int) -> Column:
+    """Rounding half up on the double."""
+    k = float(10**digits)
+    return F.floor(x * k + 0.5) / F.lit(k)
