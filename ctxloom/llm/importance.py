@@ -42,7 +42,8 @@ def top_k(df: DataFrame, by: str, ties: list[str], k: int, name: str) -> DataFra
     if tied.count() == df.where(F.col(by) == cut).count():
         return df.withColumn(name, F.col(by) >= cut)
     last = tied.agg(F.max(F.struct(*ties))).first()[0]
-    within = F.struct(*ties) <= F.struct(*[F.lit(v) for v in last])
+    kinds = dict(df.dtypes)
+    within = F.struct(*ties) <= F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(ties, last, strict=True)])
     return df.withColumn(name, (F.col(by) > cut) | ((F.col(by) == cut) & within))
 
 

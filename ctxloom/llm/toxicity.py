@@ -4,9 +4,10 @@ Two models, of toxic and of ordinary text, with absolute discounting at each lev
 word's first six bytes, its first four. What they discount goes one level down, in shares
 that both classes have in common (continuation counts: distinct pairs of a word and the word
 before it, over both classes), and at last to one shared distribution. So a rare form of a known stem is judged by its
-stem, and what neither class has often is equally likely in both. A text is compared by its length-normalised log-likelihoods, over all of it and over its
-strongest short window. A logistic curve, fitted on a fold that the counts leave out, maps
-the two to a probability.
+stem, and what neither class has often is equally likely in both. A text is compared by its
+length-normalised log-likelihoods, its most telling word, and the mean likelihood ratio of
+its words. A logistic curve, fitted on a fold that the counts leave out, maps the three to a
+probability.
 
 Counts are taken over all labelled training texts, by bins of hashed words: the tables that
 reach the driver and are broadcast have at most BINS rows each, whatever the corpus.
@@ -24,7 +25,6 @@ from .hashing import LOWER, SPACE, mix, slices, text_bytes, word_hashes
 
 BINS = 1 << 20
 DISCOUNT = 0.75
-WINDOW = 6
 #: Labelled rows that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 BROADCAST_IDS = 1_000_000
@@ -57,8 +57,8 @@ def _count(batches):
         if not len(w):
             continue
         toxic = np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)[rows]
-        keys, first, n = np.unique(((u * BINS + w) << 1) | toxic, return_index=True, return_counts=True)
-        cols = [u[first], w[first], six[first], four[first], keys & 1]
+        keys, first, n = np.unique(((u * BINS + w) << 2) | toxic, return_index=True, return_counts=True)
+        cols = [u[first], w[first], six[first], four[first], keys & 3]
         yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(n.astype(np.int64))], ["u", "w", "six", "four", "k", "n"])
 
 
@@ -97,19 +97,17 @@ class Model:
         return logs[1] - logs[0]
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """[rows, 2]: mean ratio per word, and the largest mean over WINDOW words in a row (over all, if fewer)."""
+        """[rows, 3]: mean ratio per word, the largest ratio, and the log of the mean likelihood ratio."""
         _, bins, rows = _words(column)
-        out = np.zeros((len(column), 2))
+        out = np.zeros((len(column), 3))
         if not len(rows):
             return out
-        total = np.concatenate([[0.0], np.cumsum(self.ratios(bins).astype(np.float64))])
+        r = self.ratios(bins).astype(np.float64)
         present, first = np.unique(rows, return_index=True)
-        last = np.append(first[1:], len(rows))
-        mean = (total[last] - total[first]) / (last - first)
-        end = np.minimum(np.arange(len(rows)) + WINDOW, np.repeat(last, last - first))
-        begin = np.maximum(end - WINDOW, np.repeat(first, last - first))
-        best = np.maximum.reduceat((total[end] - total[begin]) / (end - begin), first)
-        out[present, 0], out[present, 1] = mean, best
+        n = np.diff(np.append(first, len(rows)))
+        out[present, 0] = np.add.reduceat(r, first) / n
+        out[present, 1] = np.maximum.reduceat(r, first)
+        out[present, 2] = np.log(np.add.reduceat(np.exp(r), first) / n)
         return out
 
 
@@ -117,7 +115,7 @@ def _features(model):
     def run(batches):
         for part in slices(batches):
             f = model.value.features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(f[:, 0]), pa.array(f[:, 1])], ["toxic", "mean", "best"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(f[:, i]) for i in range(3))], ["toxic", "mean", "best", "odds"])
 
     return run
 
@@ -154,7 +152,7 @@ def fold(parts: int):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs(doc_id, text).
 
-    labels(doc_id, toxic) are used in folds 0, 1 (counts) and 3 (the logistic curve); a document
+    labels(doc_id, toxic) are used in folds 0, 1 and 3 only (3 also fits the logistic curve); a document
     that several label rows name is toxic if one says so, null labels are ignored. Scores depend
     on the text alone. Null, empty and wordless texts have features 0. Without labels every
     score is 0.5. Repeated rows score alike; an empty table gives no rows; other columns are not
@@ -165,19 +163,28 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     if marks.count() <= BROADCAST_IDS:
         marks = F.broadcast(marks)
     known = docs.select("doc_id", "text").join(marks, "doc_id")
-    counted = known.where(fold(4) != 3).select("text", "toxic").mapInArrow(_count, "u int, w int, six int, four int, k int, n long")
-    by_class = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(("ordinary", "toxic"))]
+    coded = known.select("text", (F.col("toxic") + F.when(fold(4) == 3, 2).otherwise(0)).alias("toxic"))
+    counted = coded.mapInArrow(_count, "u int, w int, six int, four int, k int, n long")
+    names = ("ordinary", "toxic", "ordinary_3", "toxic_3")
+    by_class = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]
     pairs = materialize(counted.groupBy("u", "w", "six", "four").agg(*by_class), "pairs")
-    classes = (F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    levels = [pairs.groupBy(F.col(c).alias("bin")).agg(*classes, F.count("*").alias("types")).toPandas() for c in ("w", "six", "four")]
+    sums = [F.sum(c).alias(c) for c in names]
+    types = [F.count_if(F.col("ordinary") + F.col("toxic") > 0).alias("types"), F.count("*").alias("all_types")]
+    levels = [pairs.groupBy(F.col(c).alias("bin")).agg(*sums, *types).toPandas() for c in ("w", "six", "four")]
+    # the curve is fitted to a model that has not seen fold 3; the model that scores has seen all training folds
+    early = spark.sparkContext.broadcast(Model(levels))
+    for x in levels:
+        x["ordinary"] += x["ordinary_3"]
+        x["toxic"] += x["toxic_3"]
+        x["types"] = x["all_types"]
     model = spark.sparkContext.broadcast(Model(levels))
     del levels
 
     held = known.where(fold(4) == 3)
     n = held.count()
     some = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_200_000 * CALIBRATION_ROWS // max(n, 1)))
-    fitted = some.select("text", "toxic").mapInArrow(_features(model), "toxic long, mean double, best double").limit(CALIBRATION_ROWS).toPandas()
-    b, scale = _logistic(fitted[["mean", "best"]].to_numpy(), fitted["toxic"].to_numpy(np.float64))
+    fitted = some.select("text", "toxic").mapInArrow(_features(early), "toxic long, mean double, best double, odds double").limit(CALIBRATION_ROWS).toPandas()
+    b, scale = _logistic(fitted[["mean", "best", "odds"]].to_numpy(), fitted["toxic"].to_numpy(np.float64))
     rows = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
     return rows.mapInArrow(_score(model, b, scale, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
