@@ -2,8 +2,8 @@
 
 Two models, of toxic and of ordinary text, with absolute discounting at each level: word, the
 word's first six bytes, its first four. What they discount goes one level down, in shares
-that both classes have in common (continuation counts: distinct pairs of a word and the word
-before it, over both classes), and at last to one shared distribution. So a rare form of a known stem is judged by its
+that both classes have in common (continuation counts: the distinct words that continue a
+stem, over both classes), and at last to one shared distribution. So a rare form of a known stem is judged by its
 stem, and what neither class has often is equally likely in both. A text is compared by its
 length-normalised log-likelihoods, its most telling word, and the mean likelihood ratio of
 its words. A logistic curve, fitted on a fold that the counts leave out, maps the three to a
@@ -28,16 +28,15 @@ DISCOUNT = 0.75
 #: Labelled rows that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 BROADCAST_IDS = 1_000_000
-_START = 0  # the bin before a text's first word
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For each word the bin of the word before it in its text, its own bins (word, first 6, first 4 bytes), and its row."""
+def _words(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each word its bins (word, first 6, first 4 bytes), and its row."""
     data, offsets = text_bytes(column)
     hashes, rows, starts = word_hashes(data, offsets)
     none = np.zeros(0, np.int64)
     if not len(rows):
-        return none, [none, none, none], rows
+        return [none, none, none], rows
     code, inside, limit = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool), offsets[1:][rows]
     stems = {}
     for j in range(6):
@@ -45,21 +44,16 @@ def _words(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         inside &= (starts + j < limit) & ~SPACE[data[at]]
         code = (code << np.uint64(8)) | np.where(inside, LOWER[data[at]], 0).astype(np.uint64)
         stems[j + 1] = code
-    bins = [(x % np.uint64(BINS - 1)).astype(np.int64) + 1 for x in (hashes, mix(stems[6].copy()), mix(stems[4].copy()))]
-    before = np.concatenate([[_START], bins[0][:-1]])
-    before[np.concatenate([[True], rows[1:] != rows[:-1]])] = _START
-    return before, bins, rows
+    return [(x % np.uint64(BINS)).astype(np.int64) for x in (hashes, mix(stems[6].copy()), mix(stems[4].copy()))], rows
 
 
 def _count(batches):
+    """Counts by one packed key: three bins of 20 bits and the class."""
     for part in slices(batches):
-        u, (w, six, four), rows = _words(part.column("text"))
-        if not len(w):
-            continue
-        toxic = np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)[rows]
-        keys, first, n = np.unique(((u * BINS + w) << 2) | toxic, return_index=True, return_counts=True)
-        cols = [u[first], w[first], six[first], four[first], keys & 3]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols), pa.array(n.astype(np.int64))], ["u", "w", "six", "four", "k", "n"])
+        (w, six, four), rows = _words(part.column("text"))
+        kind = np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)[rows] if len(rows) else rows
+        keys, n = np.unique((((w << 20) | six) << 22) | (four << 2) | kind, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 class Model:
@@ -98,7 +92,7 @@ class Model:
 
     def features(self, column: pa.Array) -> np.ndarray:
         """[rows, 3]: mean ratio per word, the largest ratio, and the log of the mean likelihood ratio."""
-        _, bins, rows = _words(column)
+        bins, rows = _words(column)
         out = np.zeros((len(column), 3))
         if not len(rows):
             return out
@@ -164,13 +158,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
         marks = F.broadcast(marks)
     known = docs.select("doc_id", "text").join(marks, "doc_id")
     coded = known.select("text", (F.col("toxic") + F.when(fold(4) == 3, 2).otherwise(0)).alias("toxic"))
-    counted = coded.mapInArrow(_count, "u int, w int, six int, four int, k int, n long")
+    counted = materialize(coded.mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    kind, mask = F.col("key").bitwiseAND(F.lit(3)), F.lit(BINS - 1)
     names = ("ordinary", "toxic", "ordinary_3", "toxic_3")
-    by_class = [F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]
-    pairs = materialize(counted.groupBy("u", "w", "six", "four").agg(*by_class), "pairs")
+    by_class = [F.sum(F.when(kind == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]
+    forms = counted.groupBy(F.shiftright("key", 2).alias("form")).agg(*by_class)
     sums = [F.sum(c).alias(c) for c in names]
-    types = [F.count_if(F.col("ordinary") + F.col("toxic") > 0).alias("types"), F.count("*").alias("all_types")]
-    levels = [pairs.groupBy(F.col(c).alias("bin")).agg(*sums, *types).toPandas() for c in ("w", "six", "four")]
+    types = [F.count_if(F.col("ordinary") + F.col("toxic") > 0).cast("int").alias("types"), F.count("*").cast("int").alias("all_types")]
+    levels = []
+    for shift in (40, 20, 0):
+        bin_ = F.shiftright("form", shift).bitwiseAND(mask).cast("int").alias("bin")
+        levels.append(forms.groupBy(bin_).agg(*sums, *types).select("bin", *[F.col(c).cast("float") for c in names], "types", "all_types").toPandas())
     # the curve is fitted to a model that has not seen fold 3; the model that scores has seen all training folds
     early = spark.sparkContext.broadcast(Model(levels))
     for x in levels:
