@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .hashing import LOWER, SPACE, mix, slices, text_bytes, word_hashes
 
-BINS = 1 << 20
+BINS = 1 << 19
 DISCOUNT = 0.75
 #: Labelled rows that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
