@@ -115,11 +115,11 @@ def _features(model):
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge-damped Newton steps; weights for [1, x] and the scales of x."""
+    """Ridge regression of log odds by Newton steps, so few labels give no extreme weights; weights for [1, x] and the scales of x."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-6) if len(x) else np.ones(x.shape[1])
     a = np.column_stack([np.ones(len(x)), x / scale])
     b = np.zeros(a.shape[1])
-    ridge = np.diag([1e-6, *[1e-3] * x.shape[1]])
+    ridge = np.diag([1e-6, *[1.0] * x.shape[1]])
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         b = b - np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ b)

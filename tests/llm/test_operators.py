@@ -312,7 +312,7 @@ def test_toxicity_learns_from_the_training_folds_only(spark):
     hidden = labels.withColumn("toxic", F.when(toxicity.fold(4) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert a.exceptAll(toxicity.score_toxicity(d, hidden)).count() == 0
     m = a.join(labels, "doc_id").where("held_out").agg(F.sum(F.expr("if(predicted = 1 and toxic = 1, 1, 0)")).alias("hit"), F.sum("toxic").alias("n"), F.sum(F.expr("if(predicted = 1 and toxic = 0, 1, 0)")).alias("false")).first()
-    assert m["hit"] >= 0.6 * m["n"] and m["false"] <= 12
+    assert m["hit"] >= 0.6 * m["n"] and m["false"] <= 5
 
 
 def test_toxicity_of_odd_rows(spark, docs, empty):
