@@ -6,8 +6,8 @@ that both classes have in common (continuation counts: the distinct words that c
 stem, over both classes), and at last to one shared distribution. So a rare form of a known stem is judged by its
 stem, and what neither class has often is equally likely in both. A text is compared by its
 length-normalised log-likelihoods, its most telling word, and the mean likelihood ratio of
-its words. A logistic curve, fitted on a fold that the counts leave out, maps the three to a
-probability.
+its words. A logistic curve maps the three to a probability. It is fitted to the training
+folds, each compared by a model whose counts leave that fold out.
 
 Counts are taken over all labelled training texts, by bins of hashed words: the tables that
 reach the driver and are broadcast have at most BINS rows each, whatever the corpus.
@@ -16,6 +16,7 @@ reach the driver and are broadcast have at most BINS rows each, whatever the cor
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .hashing import LOWER, SPACE, mix, slices, text_bytes, word_hashes
 
-BINS = 1 << 19
+BINS = 1 << 20
 DISCOUNT = 0.75
-#: Labelled rows that the logistic curve is fitted on, at most.
+#: Labelled rows of each training fold that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 BROADCAST_IDS = 1_000_000
+#: Training folds.
+PARTS = 3
+#: Ridges that the logistic curve chooses from.
+STRENGTHS = (0.001, 0.01, 0.1, 1.0, 10.0)
 
 
 def _words(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -48,14 +53,23 @@ def _words(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _count(batches):
-    """Counts by one packed key: three bins of 20 bits and the class."""
+    """Counts by one packed key: three bins of 20 bits, and three bits for the training fold and the class."""
     for part in slices(batches):
         (w, six, four), rows = _words(part.column("text"))
-        kind = np.asarray(part.column("toxic").to_pylist(), dtype=np.int64)[rows] if len(rows) else rows
-        keys, n = np.unique((((w << 20) | six) << 22) | (four << 2) | kind, return_counts=True)
+        kind = np.asarray(part.column("kind").to_pylist(), dtype=np.int64)[rows] if len(rows) else rows
+        keys, n = np.unique((((w << 20) | six) << 23) | (four << 3) | kind, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
+def _without(levels: list[pd.DataFrame], part: int | None) -> list[pd.DataFrame]:
+    """Each level's (bin, ordinary, toxic, types) over the training folds but `part`."""
+    folds = [f for f in range(PARTS) if f != part]
+    return [
+        pd.DataFrame({"bin": x["bin"], **{c: sum(x[f"{c}_{f}"] for f in folds) for c in ("ordinary", "toxic")}, "types": x["types_all" if part is None else f"types_{part}"]})
+        for x in levels
+    ]
+
+
 class Model:
     """Tables by bin: each level's class counts and shared continuation counts."""
 
@@ -114,18 +128,37 @@ def _features(model):
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def _logistic(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Ridge regression of log odds by Newton steps, so few labels give no extreme weights; weights for [1, x] and the scales of x."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-6) if len(x) else np.ones(x.shape[1])
     a = np.column_stack([np.ones(len(x)), x / scale])
     b = np.zeros(a.shape[1])
-    ridge = np.diag([1e-6, *[1.0] * x.shape[1]])
+    ridge = np.diag([1e-6, *[strength] * x.shape[1]])
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         b = b - np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ b)
     return b, scale
 
 
+def _strength(x: np.ndarray, y: np.ndarray, parts: int = 5) -> float:
+    """The strongest ridge whose cross-validated log loss on the calibration rows is within one standard error of the least.
+
+    So few labels give more damping than many. Equal rows share a part.
+    """
+    if not len(x):
+        return STRENGTHS[-1]
+    part = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1) % parts
+    loss = np.zeros((len(STRENGTHS), len(x)))
+    for k in np.unique(part):
+        own = part == k
+        for i, c in enumerate(STRENGTHS):
+            b, scale = _logistic(x[~own], y[~own], c)
+            z = np.clip(b[0] + x[own] / scale @ b[1:], -30, 30)
+            loss[i, own] = np.log1p(np.exp(z)) - y[own] * z
+    total, best = loss.sum(axis=1), loss.sum(axis=1).argmin()
+    return STRENGTHS[np.flatnonzero(total <= total[best] + loss[best].std() * np.sqrt(len(x)))[-1]]
+
+
 def _score(model, b, scale, threshold):
     def run(batches):
         for part in slices(batches):
@@ -146,7 +179,7 @@ def fold(parts: int):
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of docs(doc_id, text).
 
-    labels(doc_id, toxic) are used in folds 0, 1 and 3 only (3 also fits the logistic curve); a document
+    labels(doc_id, toxic) are used in folds 0, 1 and 3 only; a document
     that several label rows name is toxic if one says so, null labels are ignored. Scores depend
     on the text alone. Null, empty and wordless texts have features 0. Without labels every
     score is 0.5. Repeated rows score alike; an empty table gives no rows; other columns are not
@@ -157,32 +190,37 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     if marks.count() <= BROADCAST_IDS:
         marks = F.broadcast(marks)
     known = docs.select("doc_id", "text").join(marks, "doc_id")
-    coded = known.select("text", (F.col("toxic") + F.when(fold(4) == 3, 2).otherwise(0)).alias("toxic"))
+    known = known.select("doc_id", "text", "toxic", F.when(fold(4) == 3, 2).otherwise(fold(4)).cast("long").alias("part"))
+    coded = known.select("text", (F.col("part") * 2 + F.col("toxic")).alias("kind"))
     counted = materialize(coded.mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    kind, mask = F.col("key").bitwiseAND(F.lit(3)), F.lit(BINS - 1)
-    names = ("ordinary", "toxic", "ordinary_3", "toxic_3")
+    kind, mask = F.col("key").bitwiseAND(F.lit(7)), F.lit(BINS - 1)
+    names = [f"{c}_{f}" for f in range(PARTS) for c in ("ordinary", "toxic")]
     by_class = [F.sum(F.when(kind == i, F.col("n")).otherwise(0)).alias(c) for i, c in enumerate(names)]
-    forms = counted.groupBy(F.shiftright("key", 2).alias("form")).agg(*by_class)
-    sums = [F.sum(c).alias(c) for c in names]
-    types = [F.count_if(F.col("ordinary") + F.col("toxic") > 0).cast("int").alias("types"), F.count("*").cast("int").alias("all_types")]
+    forms = counted.groupBy(F.shiftright("key", 3).alias("form")).agg(*by_class)
+    sums = [F.sum(c).cast("float").alias(c) for c in names]
+    others = [sum(F.col(c) for c in names if not c.endswith(f"_{f}")) for f in range(PARTS)]
+    types = [F.count_if(x > 0).cast("int").alias(f"types_{f}") for f, x in enumerate(others)]
     levels = []
     for shift in (40, 20, 0):
         bin_ = F.shiftright("form", shift).bitwiseAND(mask).cast("int").alias("bin")
-        levels.append(forms.groupBy(bin_).agg(*sums, *types).select("bin", *[F.col(c).cast("float") for c in names], "types", "all_types").toPandas())
-    # the curve is fitted to a model that has not seen fold 3; the model that scores has seen all training folds
-    early = spark.sparkContext.broadcast(Model(levels))
-    for x in levels:
-        x["ordinary"] += x["ordinary_3"]
-        x["toxic"] += x["toxic_3"]
-        x["types"] = x["all_types"]
-    model = spark.sparkContext.broadcast(Model(levels))
+        levels.append(forms.groupBy(bin_).agg(*sums, *types, F.count("*").cast("int").alias("types_all")).toArrow().to_pandas())
+
+    # each training fold is compared by a model that has not seen it; the curve is fitted to all of them
+    n = known.count()
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_200_000 * CALIBRATION_ROWS // max(n, 1)))
+    fitted = []
+    for f in range(PARTS):
+        early = spark.sparkContext.broadcast(Model(_without(levels, f)))
+        run = some.where(F.col("part") == f).select("text", "toxic").mapInArrow(_features(early), "toxic long, mean double, best double, odds double")
+        fitted.append(run.limit(CALIBRATION_ROWS).toPandas())
+        early.unpersist()
+    # the model that scores has seen all training folds
+    model = spark.sparkContext.broadcast(Model(_without(levels, None)))
     del levels
 
-    held = known.where(fold(4) == 3)
-    n = held.count()
-    some = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1_000_000, 1_200_000 * CALIBRATION_ROWS // max(n, 1)))
-    fitted = some.select("text", "toxic").mapInArrow(_features(early), "toxic long, mean double, best double, odds double").limit(CALIBRATION_ROWS).toPandas()
-    b, scale = _logistic(fitted[["mean", "best", "odds"]].to_numpy(), fitted["toxic"].to_numpy(np.float64))
+    fitted = pd.concat(fitted)
+    x, y = fitted[["mean", "best", "odds"]].to_numpy(), fitted["toxic"].to_numpy(np.float64)
+    b, scale = _logistic(x, y, _strength(x, y))
     rows = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
     return rows.mapInArrow(_score(model, b, scale, threshold), "doc_id long, held_out boolean, score double, predicted int")
 
