@@ -7,44 +7,58 @@ documents without replacement in proportion to their weights.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import materialize
 from .ngram_ratio import fit, score
 
 
+def kth_largest(values: DataFrame, k: int, held: int = 100_000, eps: float = 1e-3) -> tuple:
+    """The k-th largest of values(v), none null, 1 <= k <= count, and how many are larger.
+
+    Approximate quantiles bracket the k-th value, exact counts tell on which side of the marks
+    it lies, and only those rows are looked at again, until at most `held` are left to sort.
+    v must be exact as a double.
+    """
+    v, part, above = F.col("v"), values, 0
+    size = part.count()
+    while size > held:
+        q = 1 - (k - above) / size
+        low, high = part.agg(F.percentile_approx("v", [max(0.0, q - 2 * eps), min(1.0, q + 2 * eps)], int(1 / eps))).first()[0]
+        regions = [v > high, v == high, (v < high) & (v > low), (v == low) & (v < high), v < low]
+        counts = part.agg(*[F.count_if(r) for r in regions]).first()
+        for at, (region, n) in enumerate(zip(regions, counts, strict=True)):
+            if k <= above + n:
+                break
+            above += n
+        if at in (1, 3):
+            return (high if at == 1 else low), above
+        part, size = part.where(region), n
+    cut = part.orderBy(F.desc("v")).offset(k - above - 1).limit(1).first()[0]
+    return cut, above + part.where(v > cut).count()
+
+
 def top_k(df: DataFrame, by: str, ties: list[str], k: int, name: str) -> DataFrame:
-    """Add `name`: true for exactly the k rows with the largest `by`, ties by ascending columns.
+    """Add `name`: true for exactly the k rows with the largest `by`, ties by ascending integer columns, null first.
 
-    An approximate quantile brackets the k-th value; counts confirm the bracket, and only the
-    rows inside it are ranked. No sort of the table.
+    The table is never sorted: each column's threshold comes from kth_largest over the rows
+    that tie in the columns before it, however many these are.
     """
     n = df.count()
     if k >= n or k <= 0:
         return df.withColumn(name, F.lit(k >= n and n > 0))
-    q = 1 - k / n
-    eps = 1e-3
-    marks = df.agg(F.percentile_approx(by, [max(0.0, q - 2 * eps), min(1.0, q + 2 * eps)], int(1 / eps))).first()[0]
-    low, high = marks
-    above, inside = df.agg(F.count(F.when(F.col(by) > high, 1)), F.count(F.when(F.col(by).between(low, high), 1))).first()
-    if not above < k <= above + inside:  # the bracket missed: widen it to all
-        low, high, above = -math.inf, math.inf, 0
-    edge = df.where(F.col(by).between(low, high)).select(by, *ties)
-    # values in the bracket are dealt by value, so that a rank needs one cell only
-    cells = edge.groupBy(by).agg(F.count("*").alias("_n")).withColumn("_from", F.sum("_n").over(W.orderBy(F.desc(by)).rowsBetween(W.unboundedPreceding, -1)))
-    cut = cells.where(F.coalesce("_from", F.lit(0)) + above < k).agg(F.min(by).alias("v")).first()["v"]
-    more = df.where(F.col(by) > cut).count()
-    tied = df.where(F.col(by) == cut).select(*ties).orderBy(*ties).limit(k - more)
-    if tied.count() == df.where(F.col(by) == cut).count():
-        return df.withColumn(name, F.col(by) >= cut)
-    last = tied.agg(F.max(F.struct(*ties))).first()[0]
-    kinds = dict(df.dtypes)
-    within = F.struct(*ties) <= F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(ties, last, strict=True)])
-    return df.withColumn(name, (F.col(by) > cut) | ((F.col(by) == cut) & within))
+    keys = [F.col(by)]
+    for c in ties:  # halves of 32 bits are exact as doubles
+        x = F.col(c).cast("long")
+        keys += [-F.coalesce(F.shiftright(x, 32), F.lit(-(2**31) - 1)), -F.coalesce(x.bitwiseAND(F.lit(2**32 - 1)), F.lit(0))]
+    over, tied, need = F.lit(False), F.lit(True), k
+    for key in keys:
+        cut, larger = kth_largest(df.where(tied).select(key.alias("v")), need)
+        over, tied, need = over | (tied & (key > cut)), tied & (key == cut), need - larger
+        if df.where(tied).count() == need:
+            return df.withColumn(name, over | tied)
+    raise ValueError("rows are equal in all columns of the order")
 
 
 def resample(docs: DataFrame, labels: DataFrame, *, fraction: float | None = None, bins: int = 1 << 16, seed: int = 11) -> DataFrame:

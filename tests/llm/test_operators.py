@@ -269,6 +269,15 @@ def test_top_k_with_ties(spark):
         assert picked == sorted(i for _, i in sorted((-(i % 3), i) for i in range(100))[:k])
 
 
+def test_kth_largest_narrows_to_few_rows(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=3000), rng.integers(0, 3, 3000) * 1.0, np.repeat([7.0, -1.0], [2999, 1]), np.full(50, 2.0)):
+        df = spark.createDataFrame([(float(x),) for x in values], "v double")
+        for k in (1, len(values) // 3, len(values)):
+            cut = sorted(values, reverse=True)[k - 1]
+            assert importance.kth_largest(df, k, held=10) == (cut, int((values > cut).sum()))
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
