@@ -1,0 +1,85 @@
+"""Declared slots, constraints on packed items, and what packs left out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .packing import greedy
+from .retrieval import set_pairs
+
+# Words that negate.
+NEGATIONS = ["not", "never", "don't", "dont", "avoid", "shouldn't", "shouldnt", "won't", "wont", "cannot", "can't", "cant", "no"]
+
+
+def words(content: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(content, F.lit(""))), r"\s+"), lambda w: w != "")
+
+
+def fill_slots(items: DataFrame, slots: list[tuple[str, str | None, int]]) -> DataFrame:
+    """items with `slot` and `chosen`: slots (name, kind, max_tokens) are filled in their order.
+
+    An item belongs to the first slot of its kind; items of no slot's kind belong to the first
+    slot with kind None, if any, and else to none. A slot takes greedily what fits both its own
+    limit and what the slots before it left of the budget.
+    """
+    rest = [name for name, kind, _ in slots if kind is None][:1]
+    named = F.coalesce(*[F.when(F.col("kind") == kind, name) for name, kind, _ in slots if kind is not None], F.lit(rest[0] if rest else None).cast("string"))
+    dealt = items.withColumn("slot", named)
+    left = items.groupBy("pack_id").agg(F.max("budget").cast("long").alias("_left"))
+    done = dealt.where("slot is null").drop("budget").withColumn("chosen", F.lit(False))
+    for name, _, most in slots:
+        own = dealt.where(F.col("slot") == name).drop("budget").join(left, "pack_id").withColumn("budget", F.least(F.col("_left"), F.lit(most).cast("long"))).drop("_left")
+        got = greedy(own, ["pack_id"]).drop("budget")
+        used = got.where("chosen").groupBy("pack_id").agg(F.sum("tokens").alias("_u"))
+        left = left.join(used, "pack_id", "left").select("pack_id", (F.col("_left") - F.coalesce("_u", F.lit(0))).cast("long").alias("_left"))
+        done = done.unionByName(got)
+    return done
+
+
+def contradictions(packed: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
+    """(pack_id, a, b): packed items whose word sets overlap by more than num / den, one of which negates."""
+    w = words(F.col("content"))
+    sets = packed.select(F.col("pack_id").alias("group"), F.col("id").alias("ord"), F.array_distinct(w).alias("words")).where(F.size("words") > 0)
+    negates = sets.select("group", "ord", F.arrays_overlap("words", F.array(*[F.lit(x) for x in NEGATIONS])).alias("neg"))
+    x, y = (negates.withColumnsRenamed({"ord": c, "neg": f"neg_{c}"}) for c in "ab")
+    both = set_pairs(sets, num, den, strict=True).join(x, ["group", "a"]).join(y, ["group", "b"])
+    return both.where(F.col("neg_a") != F.col("neg_b")).select(F.col("group").alias("pack_id"), "a", "b")
+
+
+def diagnostics(packed: DataFrame, packs: DataFrame, required: list[tuple[str, str]], fresh: float = 5.0, least: float = 0.7, most: float = 0.95) -> DataFrame:
+    """(pack_id, level, slot, constraint, item_id): freshness, coverage and budget use of packed items.
+
+    packs(pack_id, budget) names every pack, also those without items; required holds the
+    (slot, kind) pairs that must have an item.
+    """
+    none = F.lit(None).cast("string")
+    stale = packed.where(F.coalesce("recency", F.lit(0.0)) < fresh).select(
+        "pack_id", F.lit("warning").alias("level"), none.alias("slot"), F.lit("freshness").alias("constraint"), F.col("id").cast("string").alias("item_id")
+    )
+    per = packs.join(packed.groupBy("pack_id").agg(F.sum("tokens").alias("_t"), F.collect_set("kind").alias("_k")), "pack_id", "left")
+    use = F.when(F.col("budget") > 0, F.coalesce("_t", F.lit(0)) / F.col("budget")).otherwise(0.0)
+    found = [F.when(use < least, F.struct(F.lit("warning").alias("level"), none.alias("slot"), F.lit("budget-utilization").alias("constraint")))]
+    found.append(F.when(use > most, F.struct(F.lit("info").alias("level"), none.alias("slot"), F.lit("budget-utilization").alias("constraint"))))
+    for slot, kind in required:
+        there = F.coalesce(F.array_contains("_k", kind), F.lit(False))
+        found.append(F.when(~there, F.struct(F.lit("error").alias("level"), F.lit(slot).alias("slot"), F.lit("coverage").alias("constraint"))))
+    rows = per.select("pack_id", F.explode(F.array_compact(F.array(*found))).alias("r")).select("pack_id", "r.*", none.alias("item_id"))
+    return stale.unionByName(rows)
+
+
+def dropped_analysis(decided: DataFrame, high: float = 7.0) -> DataFrame:
+    """(pack_id, kind, dropped, high_priority_dropped) of items that a pack left out."""
+    out = decided.where(~F.col("chosen")).groupBy("pack_id", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+    return out.agg(F.count("*").alias("dropped"), F.count_if(F.coalesce("priority", F.lit(0.0)) >= high).alias("high_priority_dropped"))
+
+
+def backtest(decided: DataFrame) -> DataFrame:
+    """Per pack of decided(required, disallowed): missing and forbidden items, use of the budget, passed."""
+    used = F.coalesce(F.sum(F.when(F.col("chosen"), F.col("tokens"))), F.lit(0))
+    out = decided.groupBy("pack_id").agg(
+        F.count_if(F.col("required") & ~F.col("chosen")).alias("missing_required"),
+        F.count_if(F.col("disallowed") & F.col("chosen")).alias("included_disallowed"),
+        F.when(F.max("budget") > 0, F.floor(used / F.max("budget") * 100 + 0.5) / 100.0).otherwise(0.0).alias("budget_usage"),
+    )
+    return out.withColumn("passed", (F.col("missing_required") == 0) & (F.col("included_disallowed") == 0))

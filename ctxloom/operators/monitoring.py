@@ -112,3 +112,34 @@ def depth(edges: DataFrame, nodes: DataFrame, cap: int = 10) -> DataFrame:
         if i < cap:
             reach = reach.join(step.select(F.col("node").alias("at"), F.col("at").alias("next")), "at").where("next <> node").select("node", F.col("next").alias("at"), F.lit(i + 1).alias("d")).distinct()
     return out.groupBy("node").agg(F.max("d").alias("depth"))
+
+
+def kind_insights(features: DataFrame) -> DataFrame:
+    """Per kind of features(record_id, kind, selected, quality): mean quality of the records with and without a selected item of it, and the lift.
+
+    Records without come from the totals less those with, so no kind meets every record.
+    """
+    records = features.groupBy("record_id").agg(F.max("quality").alias("q")).agg(F.count("*").alias("n"), F.sum("q").alias("s"))
+    seen = features.groupBy("kind", "record_id").agg(F.max("quality").alias("q"), F.bool_or("selected").alias("on"))
+    kinds = seen.groupBy("kind").agg(F.count_if("on").alias("k"), F.coalesce(F.sum(F.when(F.col("on"), F.col("q"))), F.lit(0.0)).alias("t"))
+    both = kinds.join(F.broadcast(records))
+    inside = F.when(F.col("k") > 0, F.col("t") / F.col("k")).otherwise(0.0)
+    outside = F.when(F.col("n") > F.col("k"), (F.col("s") - F.col("t")) / (F.col("n") - F.col("k"))).otherwise(0.0)
+    return both.select("kind", F.col("n").alias("count"), inside.alias("included"), outside.alias("excluded"), (inside - outside).alias("lift"))
+
+
+def promote(tiers: DataFrame, outcomes: DataFrame, requests: DataFrame, least: int = 20, band: float = 0.15, good: float = 0.5) -> DataFrame:
+    """requests(request_id, model, complexity) with `routed`: the next dearer tier where the model's outcomes near that complexity were poor.
+
+    Both sides are first gathered by (model, complexity); with complexities rounded to three
+    digits these are few, so the band join does not grow with the outcomes.
+    """
+    ranked = tiers.select("model", F.lead("model").over(W.orderBy("cost")).alias("dearer"))
+    cells = outcomes.groupBy("model", F.col("complexity").alias("c")).agg(F.sum("quality").alias("s"), F.count("*").alias("n"))
+    asked = requests.select("model", "complexity").distinct()
+    close = asked.join(cells, (asked["model"] == cells["model"]) & (F.abs(F.col("c") - F.col("complexity")) <= band)).drop(cells["model"])
+    seen = close.groupBy("model", "complexity").agg((F.sum("s") / F.sum("n")).alias("q"))
+    total = cells.groupBy("model").agg(F.sum("n").alias("n"))
+    out = requests.join(seen, ["model", "complexity"], "left").join(total, "model", "left").join(F.broadcast(ranked), "model", "left")
+    poor = (F.coalesce("n", F.lit(0)) >= least) & (F.col("q") < good)
+    return out.select("request_id", "model", F.when(poor, F.coalesce("dearer", "model")).otherwise(F.col("model")).alias("routed"))

@@ -64,6 +64,35 @@ def greedy(items: DataFrame, group: list[str]) -> DataFrame:
     return joined.withColumn("chosen", F.coalesce("_taken", F.lit(False)) | fits_always).drop("_taken")
 
 
+def greedy_variants(items: DataFrame, group: list[str]) -> DataFrame:
+    """items(*group, budget, ord, tokens, sizes, score, recency) with `decision` and `taken_tokens`.
+
+    Offered as in greedy(); an item that is too large is taken in its largest variant that fits
+    (`sizes`, token counts; null or empty: none; variants without tokens are ignored). An item
+    is taken in some form if its smallest form fits, so the bound of greedy() holds on that.
+    """
+    order = (F.col("score").desc(), F.col("recency").desc(), F.col("ord"))
+    sizes = F.filter(F.coalesce(F.col("sizes").cast("array<long>"), F.array().cast("array<long>")), lambda x: x > 0)
+    sized = items.where("tokens > 0").select(*group, "budget", "ord", "tokens", "score", "recency", sizes.alias("_v"))
+    sized = sized.withColumn("_m", F.least(F.col("tokens"), F.array_min("_v"))).where(F.col("_m") <= F.col("budget"))
+    nth = F.row_number().over(W.partitionBy(*group, "_m").orderBy(*order))
+    few = sized.withColumn("_n", nth).where(F.col("_n") <= F.floor(F.col("budget") / F.col("_m")))
+    one = F.struct((-F.col("score")).alias("s"), (-F.col("recency")).alias("r"), F.col("ord").alias("o"), F.col("tokens").cast("long").alias("t"), F.col("_v").alias("v"))
+    rows = few.groupBy(*group).agg(F.max("budget").cast("long").alias("_b"), F.array_sort(F.collect_list(one)).alias("_r"))
+    start = F.struct(F.col("_b").alias("left"), F.slice(F.transform("_r", lambda x: F.struct(x["o"].alias("o"), x["t"].alias("e"))), 1, 0).alias("taken"))
+
+    def step(acc, x):
+        eaten = F.when(x["t"] <= acc["left"], x["t"]).otherwise(F.array_max(F.filter(x["v"], lambda v: v <= acc["left"])))
+        grown = F.struct((acc["left"] - eaten).alias("left"), F.concat(acc["taken"], F.array(F.struct(x["o"].alias("o"), eaten.alias("e")))).alias("taken"))
+        return F.when(eaten.isNotNull(), grown).otherwise(acc)
+
+    taken = rows.select(*group, F.explode(F.aggregate("_r", start, step)["taken"]).alias("_t")).select(*group, F.col("_t.o").alias("ord"), F.col("_t.e").alias("_e"))
+    joined = items.join(taken, [*group, "ord"], "left")
+    eaten = F.when((F.col("tokens") <= 0) & (F.col("budget") >= 0), F.lit(0).cast("long")).otherwise(F.col("_e"))
+    decision = F.when(F.col("taken_tokens").isNull(), "exclude").when(F.col("taken_tokens") < F.col("tokens"), "compress").otherwise("include")
+    return joined.withColumn("taken_tokens", eaten).withColumn("decision", decision).drop("_e")
+
+
 def summary(decided: DataFrame, group: list[str]) -> DataFrame:
     used = F.coalesce(F.sum(F.when(F.col("chosen"), F.col("tokens"))), F.lit(0))
     return decided.groupBy(*group).agg(

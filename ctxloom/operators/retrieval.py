@@ -48,8 +48,8 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     return out.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def set_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(group, a, b) with a < b and Jaccard >= num / den, for sets(group, ord, words).
+def set_pairs(sets: DataFrame, num: int, den: int, strict: bool = False) -> DataFrame:
+    """(group, a, b) with a < b and Jaccard >= num / den (strict: above it), for sets(group, ord, words).
 
     Prefix filter: two such sets share one of their first size - ceil(t * size) + 1 words in a
     common order (rare words first), so only those are joined; sizes must be in ratio too. The
@@ -66,7 +66,8 @@ def set_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     x, y = sets.withColumnsRenamed({"ord": "a", "words": "wa"}), sets.withColumnsRenamed({"ord": "b", "words": "wb"})
     both = found.join(x, ["group", "a"]).join(y, ["group", "b"])
     same = F.size(F.array_intersect("wa", "wb"))
-    return both.where(same * den >= (F.size("wa") + F.size("wb") - same) * num).select("group", "a", "b")
+    over = same * den - (F.size("wa") + F.size("wb") - same) * num
+    return both.where(over > 0 if strict else over >= 0).select("group", "a", "b")
 
 
 def leaders(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,3 +109,34 @@ def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:
         F.when(none, 0.0).otherwise(F.sum(F.when(hit == 1, F.col("_hits") / F.col("rank")).otherwise(0.0)) / total).alias("average_precision"),
         F.when(none, 0.0).otherwise(F.sum(F.when(inside & (hit == 1), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)) / ideal).alias("ndcg_at_k"),
     )
+
+
+def information_gain(candidates: DataFrame, context: DataFrame, relevance: DataFrame | None = None, novelty_weight: float = 0.6, relevance_weight: float = 0.4) -> DataFrame:
+    """(id, novelty, gain) per candidate(id, words): novelty is 1 less the largest Jaccard to any context(ctx, words).
+
+    Only pairs that share a word meet, on the word; relevance(id, relevance) counts 0 where absent.
+    """
+    a = candidates.select("id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    b = context.select("ctx", F.size("words").alias("m"), F.explode("words").alias("w"))
+    shared = a.join(b, "w").groupBy("id", "ctx").agg((F.count("*") / (F.max("n") + F.max("m") - F.count("*"))).alias("j"))
+    out = candidates.select("id").join(shared.groupBy("id").agg(F.max("j").alias("j")), "id", "left")
+    out = out.join(relevance, "id", "left") if relevance is not None else out.withColumn("relevance", F.lit(0.0))
+    novelty = 1 - F.coalesce("j", F.lit(0.0))
+    return out.select("id", novelty.alias("novelty"), (novelty * novelty_weight + F.coalesce("relevance", F.lit(0.0)) * relevance_weight).alias("gain"))
+
+
+def convergence(responses: DataFrame, group: list[str]) -> DataFrame:
+    """Mean Jaccard over all pairs of a group's responses(words); 1 for fewer than two.
+
+    A group is one round of a council: few members, so its sets are held in one array.
+    """
+    sets = responses.groupBy(*group).agg(F.collect_list("words").alias("s"))
+    n = F.size("s")
+
+    def alike(x, y):
+        same, union = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
+        return F.when(union == 0, 1.0).otherwise(same / union)
+
+    each = F.transform("s", lambda x, i: F.aggregate(F.slice("s", i + 2, n), F.lit(0.0), lambda acc, y: acc + alike(x, y)))
+    total = F.aggregate(each, F.lit(0.0), lambda acc, v: acc + v)
+    return sets.select(*group, F.when(n < 2, 1.0).otherwise(total / (n * (n - 1) / 2)).alias("convergence"))

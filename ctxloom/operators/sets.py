@@ -60,3 +60,24 @@ def session_delta(manifest: DataFrame) -> DataFrame:
     reused = by_pos.withColumn("_end", end).groupBy("session", "step").agg(F.coalesce(F.sum(F.when(F.col("_end").isNull() | (F.col("pos") < F.col("_end")), F.col("t"))), F.lit(0)).alias("reusable_tokens"))
     out = counts.where("_now > 0 and _prev > 0").join(reused, ["session", "step"]).drop("_now", "_prev")
     return out.withColumn("reuse_ratio", F.when(F.col("prev_tokens") > 0, F.floor(F.col("reusable_tokens") / F.col("prev_tokens") * 1000 + 0.5) / 1000.0).otherwise(0.0))
+
+
+def compare(before: DataFrame, after: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
+    """One row: how many items only the first set has, only the second, both alike, both but changed."""
+    names = {"removed": "only_in_1", "added": "only_in_2", "kept": "common", "changed": "modified"}
+    changes = diff(before, after, key, values, order)
+    return changes.agg(*[F.count_if(F.col("change") == c).alias(n) for c, n in names.items()])
+
+
+def prune(snapshots: DataFrame, protected: DataFrame, most: int) -> DataFrame:
+    """The snapshots(timeline, id, created) that stay: all protected ones (heads, fork points) and the newest others, `most` together."""
+    held = snapshots.join(protected.select("timeline", "id").distinct().withColumn("_p", F.lit(True)), ["timeline", "id"], "left")
+    held = held.withColumn("_p", F.coalesce("_p", F.lit(False)))
+    n = F.count_if("_p").over(W.partitionBy("timeline"))
+    nth = F.row_number().over(W.partitionBy("timeline", "_p").orderBy(F.desc("created"), F.desc("id")))
+    return held.withColumn("_n", n).withColumn("_k", nth).where(F.col("_p") | (F.col("_k") <= F.lit(most) - F.col("_n"))).drop("_p", "_n", "_k")
+
+
+def unique_ignoring_case(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
+    """The first of the group's rows for each value, letter case aside, in its own spelling."""
+    return rows.groupBy(group, F.lower(value).alias("_v")).agg(F.min_by(value, order).alias(value), F.min(order).alias(order)).drop("_v")

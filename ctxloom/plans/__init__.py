@@ -1,0 +1 @@
+from . import queries, rule_queries  # noqa: F401  each registers its queries

@@ -12,28 +12,7 @@ from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import sets as S
 from .model import BUDGET, ITEMS, NOW, items, sql_greedy, sql_tokens, table
-
-_queries: dict = {}
-_sql: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict:
-    return dict(_sql)
-
+from .registry import oracle_sql, queries, query  # noqa: F401  the first two are read from here
 
 def r6(x: str) -> str:
     return f"floor(({x}) * 1000000 + 0.5) / 1000000.0::double"
