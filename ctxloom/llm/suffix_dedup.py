@@ -109,40 +109,49 @@ def _cut(length: int, gram: int):
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of int32 symbols by prefix doubling; only suffixes that still tie are sorted again."""
+    """Suffix array (int32) of int32 symbols by prefix doubling; only suffixes that still tie are sorted again."""
     n = len(text)
-    low = text.astype(np.int64)
-    top = int(low.max()) + 2
-    rank = low + 1
+    places = np.arange(n, dtype=np.int32)
     # the first key packs as many symbols as fit 62 bits
-    held, bits = 1, int(top).bit_length()
+    key = text.astype(np.int64)
+    held, bits = 1, int(key.max() + 2).bit_length()
+    key += 1
     while held * 2 * bits <= 62:
         shifted = np.zeros(n, np.int64)
-        shifted[: n - held] = rank[held:]
-        rank = (rank << (bits * held)) | shifted
+        shifted[: n - held] = key[held:]
+        key <<= bits * held
+        key |= shifted
         held *= 2
-    order = np.argsort(rank, kind="stable")
-    ordered = rank[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+        del shifted
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    group = np.maximum.accumulate(np.where(new, places, np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[order] = group
     step = held
     while True:
-        last = np.append(new[1:], True)
-        open_ = np.flatnonzero(~(new & last))
+        open_ = np.flatnonzero(~(new & np.append(new[1:], True))).astype(np.int32)
         if not len(open_):
             return order
         at = order[open_]
-        after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
-        g = group[open_]
-        inner = np.argsort(g * (n + 2) + after, kind="stable")
-        at, after = at[inner], after[inner]
+        after = np.zeros(len(at), np.int32)
+        inside = at < n - step
+        after[inside] = rank[at[inside] + np.int32(step)] + 1
+        del inside
+        pair = group[open_].astype(np.int64)
+        pair *= n + 2
+        pair += after
+        del after
+        inner = np.argsort(pair, kind="stable")
+        at, pair = at[inner], pair[inner]
+        del inner
         order[open_] = at
-        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (after[1:] != after[:-1])])
-        new[open_] |= fresh
-        group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[order[open_]] = group[open_]
+        new[open_] |= np.concatenate([[True], pair[1:] != pair[:-1]])
+        del pair
+        group = np.maximum.accumulate(np.where(new, places, np.int32(0)))
+        rank[at] = group[open_]
         step *= 2
 
 
@@ -166,7 +175,7 @@ class RunIndex:
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefixes of pairs of positions; separators end them."""
-        n, out = len(self.text), np.zeros(len(a), np.int64)
+        n, out = len(self.text), np.zeros(len(a), np.int32)
         at = np.arange(64, dtype=np.int32)
         for begin in range(0, len(a), 8192):  # so few pairs at a time bound the working memory
             open_ = np.arange(begin, min(begin + 8192, len(a)))
@@ -182,15 +191,17 @@ class RunIndex:
     def matching_statistics(self) -> np.ndarray:
         """For each text position, the longest match that starts at some other position too."""
         common = self._common(self.first, self.above)
-        best = np.zeros(len(self.text), np.int64)
+        best = np.zeros(len(self.text), np.int32)
+        places = np.arange(len(self.text), dtype=np.int32)
         for at in (self.first, self.last):
-            sample = np.full(len(self.text), -1, np.int64)
-            sample[at] = common
-            here = np.where(sample >= 0, np.arange(len(sample)), 0)
-            sample[0] = max(sample[0], 0)
-            here = np.maximum.accumulate(here)
-            # from a sampled position on, each next position matches one byte less
-            np.maximum(best, sample[here] - (np.arange(len(sample)) - here), out=best)
+            # from a sampled position on, each next position matches one byte less, so that
+            # position plus match stays as it is until the next sample
+            until = np.zeros(len(self.text), np.int32)
+            here = np.zeros(len(self.text), np.int32)
+            until[at] = at + common
+            here[at] = at
+            np.maximum.accumulate(here, out=here)
+            np.maximum(best, until[here] - places, out=best)
         return best
 
 
