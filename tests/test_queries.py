@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
+from ctxloom.operators import compiler as K
 from ctxloom.operators import monitoring as M
 from ctxloom.operators import packing as P
 from ctxloom.operators import quality as Q
@@ -56,6 +57,27 @@ def test_allocation_never_exceeds_the_budget(spark):
     assert rows.groupBy("pack_id").agg(F.sum("tokens").alias("t")).agg(F.max("t")).first()[0] <= 2000
 
 
+def test_variant_golden(spark):
+    rows = [("a", 10.0, 0.0, 100, [30, 60])]
+    df = spark.createDataFrame(rows, "id string, score double, recency double, tokens long, sizes array<long>").withColumns({"pack_id": F.lit(1), "budget": F.lit(40), "ord": F.lit(1)})
+    assert [(r["taken_tokens"], r["decision"]) for r in P.greedy_variants(df, ["pack_id"]).collect()] == [(30, "compress")]
+
+
+def test_contradiction_needs_overlap_and_negation(spark):
+    rows = [(1, 1, "use the cache for reads"), (1, 2, "never use the cache for reads"), (1, 3, "use the cache for all reads"), (1, 4, "never mind"), (2, 5, "use the cache for reads")]
+    got = {(r["a"], r["b"]) for r in K.contradictions(spark.createDataFrame(rows, "pack_id int, id int, content string")).collect()}
+    assert got == {(1, 2), (2, 3)}
+
+
+def test_indicators(spark):
+    from ctxloom.operators import rules as U
+
+    rows = [(1, "10.0.0.7 and 10.0.0.7, a.b@c.org, USER-77: ransomware"), (2, None)]
+    got = {r["incident_id"]: r for r in U.indicators(spark.createDataFrame(rows, "incident_id int, text string")).collect()}
+    assert (got[1]["ips"], got[1]["emails"], got[1]["users"], got[1]["high_risk"]) == (["10.0.0.7"], ["a.b@c.org"], ["user-77"], True)
+    assert (got[2]["ips"], got[2]["high_risk"]) == ([], False)
+
+
 def test_cost_golden(spark):
     df = spark.createDataFrame([(4000, 3000, 500)], "input_tokens long, cached_tokens long, output_tokens long")
     r = Q.costs(df, "claude-sonnet-4-6").first()
