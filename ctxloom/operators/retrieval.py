@@ -53,7 +53,8 @@ def set_pairs(sets: DataFrame, num: int, den: int, strict: bool = False) -> Data
 
     Prefix filter: two such sets share one of their first size - ceil(t * size) + 1 words in a
     common order (rare words first), so only those are joined; sizes must be in ratio too. The
-    intersection is then counted on the full sets. Two empty sets are alike.
+    intersection is then counted on the full sets. Empty sets share no word and are in no pair
+    here; `empty_links` has theirs.
     """
     words = sets.select("group", "ord", F.size("words").alias("n"), F.explode("words").alias("w"))
     freq = words.groupBy("group", "w").agg(F.count("*").alias("f"))
@@ -70,6 +71,16 @@ def set_pairs(sets: DataFrame, num: int, den: int, strict: bool = False) -> Data
     return both.where(over > 0 if strict else over >= 0).select("group", "a", "b")
 
 
+def empty_links(sets: DataFrame) -> DataFrame:
+    """(group, a, b) for sets(group, ord, words): each empty set of a group with its least empty one, as two empty sets have Jaccard 1.
+
+    A star, so the links do not grow with the square of the empty sets.
+    """
+    empty = sets.where(F.size("words") == 0).select("group", F.col("ord").alias("b"))
+    least = empty.groupBy("group").agg(F.min("b").alias("a"))
+    return empty.join(least, "group").where("a < b").select("group", "a", "b")
+
+
 def leaders(items: DataFrame, edges: DataFrame) -> DataFrame:
     """items(group, ord) with `leader`: in ord order, an item joins the first leader that it is linked to, or leads.
 

@@ -203,7 +203,7 @@ _SET = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lam
 
 
 def _word_sets(spark, d):
-    return table(spark, d, "documents").select(F.lit(0).alias("group"), F.col("doc_id").alias("ord"), T.word_set(F.col("text")).alias("words")).where(F.size("words") > 0)
+    return table(spark, d, "documents").select(F.lit(0).alias("group"), F.col("doc_id").alias("ord"), T.word_set(F.col("text")).alias("words"))
 
 
 @query(rf"""with s as (select doc_id, {_SET.format('text')} as w from documents), x as (select doc_id, unnest(w) as t, len(w) as n from s),
@@ -216,7 +216,8 @@ def jaccard_pairs(spark, d):
 @query()
 def leader_clusters(spark, d):
     sets = _word_sets(spark, d)
-    return R.leaders(sets.drop("words"), R.set_pairs(sets, 4, 5)).select(F.col("ord").alias("doc_id"), "leader")
+    links = R.set_pairs(sets, 4, 5).unionByName(R.empty_links(sets))
+    return R.leaders(sets.drop("words"), links).select(F.col("ord").alias("doc_id"), "leader")
 
 
 # quality

@@ -1,5 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; goldens of the core operators."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,20 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def leaders_by_hand(texts):
+    sets = {i: {w for w in re.split(r"\s+", (t or "").lower()) if len(w) > 2} for i, t in texts}
+    lead = {}
+    for i in sorted(sets):
+        alike = [j for j in sorted(set(lead.values())) if (5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+        lead[i] = alike[0] if alike else i
+    return lead
+
+
+def test_leader_clusters_keep_documents_without_words(spark, tmp_path):
+    texts = [(1, "one two three four five"), (2, "A."), (3, None), (4, "five four three two one"), (5, ""), (6, "six seven"), (7, "a an")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["leader"] for r in L.leader_clusters(spark, str(tmp_path)).collect()}
+    assert got == leaders_by_hand(texts) == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2, 6: 6, 7: 2}
+    assert [(r["a"], r["b"]) for r in L.jaccard_pairs(spark, str(tmp_path)).collect()] == [(1, 4)]
