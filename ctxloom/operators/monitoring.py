@@ -51,16 +51,22 @@ def bridge_recency(age_seconds: Column, half_life: float = 3600.0) -> Column:
 
 
 def visible(items: DataFrame, agents: DataFrame, acks: DataFrame, now: str) -> DataFrame:
-    """(agent, item_id): shared items that an agent sees: not its own, in scope (null scope: all), not expired, not acknowledged.
+    """(item_id, agent, rule): which agents see which shared items: not their own, in scope (null scope: all), not expired, not acknowledged.
 
-    Items with a scope meet the agents by an equi-join on the scope's entries; only items for all
-    are paired with every agent, which is their result.
+    An item with a scope has a row 'agent' for each agent that sees it. An item for all has one row
+    'all' without agent, and a row 'except' for each agent that does not see it (its source, and who
+    acknowledged it), so items and agents are never all paired.
     """
     live = items.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
     scoped = live.where("scope is not null").select("item_id", "source_agent", F.explode(F.array_distinct("scope")).alias("agent")).join(agents, "agent", "left_semi")
-    all_ = live.where("scope is null").select("item_id", "source_agent").join(agents, F.col("source_agent") != F.col("agent"))
-    seen = scoped.unionByName(all_).where(F.col("agent") != F.col("source_agent"))
-    return seen.join(acks, ["agent", "item_id"], "left_anti").select("agent", "item_id")
+    seen = scoped.where(~F.col("agent").eqNullSafe(F.col("source_agent"))).join(acks, ["agent", "item_id"], "left_anti")
+    open_ = live.where("scope is null")
+    own = open_.select("item_id", F.col("source_agent").alias("agent"))
+    acked = acks.join(open_.select("item_id"), "item_id", "left_semi").select("item_id", "agent")
+    without = own.unionByName(acked).distinct().join(agents, "agent", "left_semi")
+    all_ = open_.select("item_id", F.lit(None).cast(agents.schema["agent"].dataType).alias("agent"))
+    out = seen.select("item_id", "agent", F.lit("agent").alias("rule"))
+    return out.unionByName(all_.withColumn("rule", F.lit("all"))).unionByName(without.select("item_id", "agent", F.lit("except").alias("rule")))
 
 
 def correlations(features: DataFrame, dimensions: list[str]) -> DataFrame:

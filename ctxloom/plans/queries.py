@@ -358,13 +358,31 @@ def drift_windows(spark, d):
     return r.select("stream", F.col("obs_id").alias("event_id"), q6(F.col("current")).alias("current"), q6(F.col("baseline")).alias("baseline"), q6(F.col("trend")).alias("trend"), "severity")
 
 
+def _visible(spark, d):
+    """Every event is a shared item, every fourth for all; the two agents after its source have acknowledged every tenth."""
+    e = table(spark, d, "events")
+    near = F.array(F.col("user_id") + 1, F.col("user_id") + 2)
+    shared = e.select(F.col("event_id").alias("item_id"), F.col("user_id").alias("source_agent"), F.when(F.col("event_id") % 4 != 0, near).alias("scope"), F.col("ts").cast("timestamp").alias("expires_at"))
+    agents = e.select(F.col("user_id").alias("agent")).distinct()
+    acks = e.where("event_id % 10 = 0").select(F.explode(near).alias("agent"), F.col("event_id").alias("item_id"))
+    return M.visible(shared, agents, acks, "2024-01-02 00:00:00")
+
+
 @query("""with a as (select distinct user_id as agent from events), e as (select event_id as item_id, user_id as src, case when event_id % 4 <> 0 then [user_id + 1, user_id + 2] end as scope, ts from events where ts > timestamp '2024-01-02')
 select agent, item_id from e join a on agent <> src and scope is not null and list_contains(scope, agent) where not (item_id % 10 = 0)""")
 def shared_items(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("source_agent"), F.when(F.col("event_id") % 4 != 0, F.array(F.col("user_id") + 1, F.col("user_id") + 2)).alias("scope"), F.col("ts").cast("timestamp").alias("expires_at"))
-    agents = table(spark, d, "events").select(F.col("user_id").alias("agent")).distinct()
-    acks = agents.where("false").select("agent", F.lit(0).cast("long").alias("item_id"))
-    return M.visible(e.where("scope is not null and item_id % 10 <> 0"), agents, acks, "2024-01-02 00:00:00")
+    """The scoped items among `shared_visibility`, by agent."""
+    return _visible(spark, d).where("rule = 'agent'").select("agent", "item_id")
+
+
+@query("""with a as (select distinct user_id as agent from events), k as (select distinct event_id as item_id, unnest([user_id + 1, user_id + 2]) as agent from events where event_id % 10 = 0),
+e as (select event_id as item_id, user_id as src, case when event_id % 4 <> 0 then [user_id + 1, user_id + 2] end as scope from events where ts > timestamp '2024-01-02'),
+x as (select item_id, src as agent from e where scope is null union select item_id, k.agent from e join k using (item_id) where scope is null)
+select e.item_id, a.agent, 'agent' as rule from e join a on e.scope is not null and list_contains(e.scope, a.agent) where a.agent <> e.src and not exists (select 1 from k where k.item_id = e.item_id and k.agent = a.agent)
+union all select item_id, null, 'all' from e where scope is null
+union all select x.item_id, x.agent, 'except' from x join a on a.agent = x.agent""")
+def shared_visibility(spark, d):
+    return _visible(spark, d)
 
 
 # learning, routing, graphs

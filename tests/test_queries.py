@@ -173,3 +173,26 @@ def test_leader_clusters_keep_documents_without_words(spark, tmp_path):
     got = {r["doc_id"]: r["leader"] for r in L.leader_clusters(spark, str(tmp_path)).collect()}
     assert got == leaders_by_hand(texts) == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2, 6: 6, 7: 2}
     assert [(r["a"], r["b"]) for r in L.jaccard_pairs(spark, str(tmp_path)).collect()] == [(1, 4)]
+
+
+def test_items_for_all_reach_the_operator(spark):
+    agents = spark.createDataFrame([(i,) for i in range(1, 6)], "agent long")
+    late = "timestamp '2024-02-01'"
+    rows = [(10, 1, [2, 3, 1, 99]), (11, 1, None), (12, 2, None), (13, 1, [])]
+    items = spark.createDataFrame(rows, "item_id long, source_agent long, scope array<long>").withColumn("expires_at", F.expr(late))
+    old = spark.createDataFrame([(14, 1, None)], "item_id long, source_agent long, scope array<long>").withColumn("expires_at", F.expr("timestamp '2023-01-01'"))
+    acks = [(3, 10), (4, 11), (4, 11), (99, 11), (5, 14)]
+    out = M.visible(items.unionByName(old), agents, spark.createDataFrame(acks, "agent long, item_id long"), "2024-01-02 00:00:00").collect()
+    assert len(out) == len(set(out))
+    without = {(r["item_id"], r["agent"]) for r in out if r["rule"] == "except"}
+    got = {(r["agent"], r["item_id"]) for r in out if r["rule"] == "agent"}
+    got |= {(a, r["item_id"]) for r in out if r["rule"] == "all" for a in range(1, 6) if (r["item_id"], a) not in without}
+    want = {(a, i) for i, src, scope in rows for a in range(1, 6) if a != src and (scope is None or a in scope) and (a, i) not in acks}
+    assert got == want and (2, 11) in got
+
+
+def test_every_live_event_is_shared(spark):
+    live = spark.read.parquet(f"{DATA}/events.parquet").where("cast(ts as timestamp) > timestamp '2024-01-02'")
+    out = L.shared_visibility(spark, DATA)
+    assert out.where("rule = 'all'").count() == live.where("event_id % 4 = 0").count() > 0
+    assert out.where("rule = 'except' and item_id % 10 = 0").count() > out.where("rule = 'all' and item_id % 10 = 0").count()
