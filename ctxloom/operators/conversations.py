@@ -35,19 +35,33 @@ def compact(turns: DataFrame, budget: int, keep: int = 2) -> DataFrame:
     return marked.join(fits, ["conv_id", "turn"], "left").withColumn("kept", F.col("preserved") | F.coalesce("_f", F.lit(False))).drop("_f")
 
 
-def segments(docs: DataFrame, limit: int = 500) -> DataFrame:
-    """(doc_id, segment, tokens): lines gathered while the estimate of the text so far stays within the limit."""
+#: White space as Unicode has it; the regex class of that name is ASCII only.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_HEADING = rf"(?md)(^#+{_BLANK}+.*$)"
+_BLANK_LINES = r"(\n\n+)"
+
+
+def segments(docs: DataFrame, limit: int = 500, markdown: bool = True) -> DataFrame:
+    """(doc_id, segment, body, tokens): parts gathered while the estimate of the text so far stays within the limit.
+
+    Parts end at Markdown headings, which are parts themselves, or else at runs of blank lines; a
+    part is never split, so one above the limit is a segment above it. Blank parts are skipped:
+    null and blank texts have no segment.
+    """
     from ..functions.text import estimate_tokens
 
+    text = F.coalesce("text", F.lit(""))
+    at = _HEADING if markdown else _BLANK_LINES
+    pieces = F.flatten(F.zip_with(F.split(text, at), F.regexp_extract_all(text, F.lit(at), F.lit(1)), lambda x, y: F.array(x, y)))
+    parts = F.filter(pieces, lambda x: x.rlike(f"(?!{_BLANK})(?s:.)"))
+
     def step(acc, part):
-        grown = F.concat(acc["now"], F.lit("\n"), part)
-        fits = (F.length(acc["now"]) == 0) | (estimate_tokens(grown) <= limit)
-        return F.when(
-            fits, F.struct(acc["done"].alias("done"), F.when(F.length(acc["now"]) == 0, part).otherwise(grown).alias("now"))
-        ).otherwise(F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), part.alias("now")))
+        grown = F.regexp_replace(F.concat(acc["now"], F.lit("\n"), part), rf"\A{_BLANK}+|{_BLANK}+\z", "")
+        over = (estimate_tokens(grown) > limit) & (F.length(acc["now"]) > 0)
+        return F.when(over, F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), part.alias("now"))).otherwise(F.struct(acc["done"].alias("done"), grown.alias("now")))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    folded = F.aggregate(F.split("text", "\n"), start, step, lambda acc: F.concat(acc["done"], F.array(acc["now"])))
+    folded = F.aggregate(parts, start, step, lambda acc: F.when(F.length(acc["now"]) > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
     return docs.select("doc_id", F.posexplode(folded).alias("segment", "body")).select("doc_id", "segment", "body", estimate_tokens(F.col("body")).alias("tokens"))
 
 

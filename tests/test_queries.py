@@ -1,5 +1,6 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; goldens of the core operators."""
 
+import math
 import re
 
 import duckdb
@@ -196,3 +197,35 @@ def test_every_live_event_is_shared(spark):
     out = L.shared_visibility(spark, DATA)
     assert out.where("rule = 'all'").count() == live.where("event_id % 4 = 0").count() > 0
     assert out.where("rule = 'except' and item_id % 10 = 0").count() > out.where("rule = 'all' and item_id % 10 = 0").count()
+
+
+def segments_by_hand(text, limit, markdown):
+    def estimate(t):  # words by ASCII white space, as estimate_tokens has it
+        return math.ceil(len(re.findall(r"[^ \t-\r]+", t)) * 1.3)
+
+    out, now = [], ""
+    for part in re.split(r"(^#+\s+.*$)", text, flags=re.MULTILINE) if markdown else re.split(r"(\n\n+)", text):
+        if not part.strip():
+            continue
+        grown = (now + "\n" + part).strip()
+        if estimate(grown) > limit and now:
+            out.append(now)
+            now = part
+        else:
+            now = grown
+    return [*out, now] if now else out
+
+
+@pytest.mark.parametrize("markdown", [True, False])
+def test_segments_end_at_headings_or_blank_lines(spark, markdown):
+    from ctxloom.operators.conversations import segments
+
+    line = "one two three four five six seven eight"
+    texts = [
+        "\n".join([line] * 9), f"# a\n{line}\n{line}\n## b c\n\n{line}\n#no heading\n  # none\n{line}\n\n\n\n{line}\n", f"{line}\n\n{line}\n\n\n \n\n{line}  \n# end",
+        "#\n\nnext line is the heading's\nrest of it", f"\r\n# a\r\n{line}\r\n\r\n{line} # b\n# c \n　\n", "## a\n## b\n## c\n" * 5, "", " \n\n \n", "# x", f"{line}\n\n" * 6,
+    ]
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    for limit in (5, 12, 25, 500):
+        rows = segments(df, limit, markdown).orderBy("doc_id", "segment").collect()
+        assert [(r["doc_id"], r["segment"], r["body"]) for r in rows] == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(segments_by_hand(t, limit, markdown))]
