@@ -1,4 +1,4 @@
-"""Conversations: priorities, compaction, summaries; documents into segments; rule engines over extracted signals."""
+"""Conversations: priorities, compaction by keeping or dropping turns; documents into segments; rule engines over extracted signals."""
 
 from __future__ import annotations
 
