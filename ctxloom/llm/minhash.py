@@ -215,12 +215,33 @@ def _sets_of(source: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return materialize(made.withColumnRenamed("doc_id", "rep"), "sets")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _numbered(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """docs with _row, unique: the doc_id where it is on one row; rows that share one, or have none, are written once with numbers beyond all ids."""
+    beyond = docs.agg(F.max("doc_id")).first()[0]
+    beyond = 0 if beyond is None else max(beyond + 1, 0)
+    ids = _few(shared.withColumnRenamed("doc_id", "_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    others = materialize(docs.join(ids, same, "left_semi").withColumn("_row", F.monotonically_increasing_id() + F.lit(beyond).cast("long")), "numbered")
+    return docs.join(ids, same, "left_anti").withColumn("_row", F.col("doc_id").cast("long")).unionByName(others)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates (the least doc_id), columns unchanged.
+    """docs with one row of each group of near-duplicates (of the least doc_id, null last), columns unchanged.
 
-    Texts without words are in no group and stay; of rows with equal doc_id all stay or none.
+    Rows are judged by their text alone: repeated rows, rows that share a doc_id and rows without
+    one are in the group of their text like any other. Texts without words are in no group and stay.
     """
-    gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    shared = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "shared")
+    if shared.isEmpty():
+        gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
+        return docs.join(_few(gone), "doc_id", "left_anti")
+    rows = _numbered(docs, shared)
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
+    found = materialize(found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row"), "found")
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("s")).select("s._row")
+    gone = found.select("_row").join(stays, "_row", "left_anti")
+    return rows.join(_few(gone), "_row", "left_anti").select(*docs.columns)

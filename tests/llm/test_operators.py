@@ -373,3 +373,21 @@ def test_pipeline_stages(spark):
         out = common.materialize(stage(spark, docs, DATA), "stage")
         assert out.count() > 0 and (name == "packing" or out.columns == docs.columns)
         docs = out
+
+
+def test_one_row_of_a_near_duplicate_group_stays_with_repeated_rows_and_null_ids(spark):
+    rng = np.random.default_rng(5)
+    a, b, c, d, e = (" ".join(rng.choice([f"w{i}" for i in range(3000)], 120)) for _ in range(5))
+    given = [
+        (1, a), (1, a), (None, a + " tail"), (None, a),  # one group: repeated rows and null ids
+        (None, b), (None, b), (None, b + " tail"),  # null ids only
+        (7, c), (7, d), (9, d), (3, d + " tail"),  # one doc_id on two texts
+        (5, e + " tail"), (6, e), (5, ""), (5, ""), (None, None), (None, None), (2, " "),
+    ]
+    out = minhash.drop_near_duplicates(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(given)], "doc_id long, text string, k int")).collect()
+    assert len({r["k"] for r in out}) == len(out) and all(given[r["k"]] == (r["doc_id"], r["text"]) for r in out)
+    full = [(r["doc_id"], r["text"]) for r in out if r["text"] and r["text"].strip()]
+    nulls = [t for i, t in full if i is None]
+    assert sorted(x for x in full if x[0] is not None) == sorted([(1, a), (7, c), (3, d + " tail"), (5, e + " tail")])
+    assert len(nulls) == 1 and nulls[0] in (b, b + " tail")
+    assert sorted(r["k"] for r in out if not (r["text"] or "").strip()) == [13, 14, 15, 16, 17]
