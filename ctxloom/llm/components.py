@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,11 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
-        now = materialize(_star(_star(now, True), False), "edges")
+        last, now = now, materialize(_star(_star(now, True), False), "edges")
+        release(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(
+    named = now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
+    out = materialize(named, "components")
+    release(now)
+    return out

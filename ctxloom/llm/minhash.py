@@ -7,8 +7,9 @@ confirmed on the full shingle sets.
 
 Nothing emits all pairs of a bucket. Equal sets are one node. Round 1 holds each node
 against the least node of each of its buckets. Where a bucket then still spans several
-components, round 2 looks inside it, by blocks that carry each set once, and returns at
-most the links that join components.
+components, round 2 looks inside it, in cells of bounded bytes, and returns at most the links
+that join components. Buckets of the same members are looked into once, and of two members
+only if their signatures agree often enough for the threshold (see _least_agreement).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import components
 from .hashing import grams, slices, text_bytes, word_hashes
 
@@ -29,7 +30,9 @@ ROWS = 4
 BANDS = 24
 COORDINATES = ROWS * BANDS
 _SHIFT = 2654435769  # odd: the shifts of all coordinates differ
+#: Rows and bytes of sets that a block of a bucket holds, about; a cell is one block or two.
 BLOCK = 1000
+BLOCK_BYTES = 1 << 24
 BROADCAST_IDS = 1_000_000
 
 
@@ -128,32 +131,54 @@ def _confirm(percent: int):
     return run
 
 
-def _join_inside(percent: int):
+def _links_inside(sig: np.ndarray, sets: list[np.ndarray], rep: list[int], comp: list[int], percent: int) -> list[tuple[int, int]]:
     """Links between components in one cell (a bucket, or two blocks of it), at most one for each joining."""
     least = _least_agreement(percent)
+    parent = {c: c for c in comp}
 
-    def run(cell):
-        sig = np.frombuffer(b"".join(cell["sig"]), np.uint32).reshape(-1, COORDINATES)
-        sets = [np.frombuffer(x, np.uint64) for x in cell["members"]]
-        rep, comp = cell["rep"].to_numpy(), cell["component"].to_numpy()
-        parent = {c: c for c in set(comp.tolist())}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        found = []
-        for i in range(1, len(rep)):
-            for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= least):
-                x, y = root(int(comp[i])), root(int(comp[j]))
-                if x != y and _linked(sets[i], sets[j], percent):
-                    parent[max(x, y)] = min(x, y)
-                    found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
-        import pandas as pd
-
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found, left = [], len(parent)
+    for i in range(1, len(rep)):
+        if left == 1:
+            break
+        for j in np.flatnonzero((sig[:i] == sig[i]).sum(axis=1) >= least):
+            x, y = root(comp[i]), root(comp[j])
+            if x != y and _linked(sets[i], sets[j], percent):
+                parent[max(x, y)] = min(x, y)
+                left -= 1
+                found.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+    return found
+
+
+def _inside(percent: int):
+    """Rows sorted by cell in; the links inside each cell out."""
+
+    def links(rows):
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, COORDINATES)
+        return _links_inside(sig, [np.frombuffer(r[4], np.uint64) for r in rows], [r[1] for r in rows], [r[2] for r in rows], percent)
+
+    def out(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        rows, found = [], []
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("cell", "rep", "component", "sig", "members")), strict=True):
+                if rows and rows[0][0] != r[0]:
+                    found += links(rows)
+                    rows = []
+                rows.append(r)
+            if len(found) >= 1024:
+                yield out(found)
+                found = []
+        if rows:
+            found += links(rows)
+        yield out(found)
 
     return run
 
@@ -170,9 +195,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     source = docs.select("doc_id", "text")
     signed = materialize(source.mapInArrow(_sign(width, False), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
-    reps = materialize(
-        signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")).where("rep is not null"), "reps"
-    )
+    full = signed.where("set_key is not null").groupBy("set_key")
+    reps = materialize(full.agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n")).where("rep is not null"), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     bands = reps.select("rep", F.explode(keys).alias("band"))
     buckets = bands.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
@@ -188,16 +212,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = components(links)
 
     labelled = bands.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
-    labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
-    members = labelled.join(mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band")
+    labelled = materialize(labelled.join(reps.select("rep", F.col("n").alias("size")), "rep"), "labelled")
+    hashed = [F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.sum("size").alias("size"), *hashed).where("x <> y")
+    # of buckets with the same members one is enough
+    once = mixed.groupBy("n", "size", "h1", "h2").agg(F.min("band").alias("band"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    members = labelled.drop("size").join(once.select("band", blocks.alias("blocks")), "band")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     # a row goes to every cell (i, j), i <= j, that has its block
     cells = members.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "rep", "component").distinct()
-    loaded = cells.join(sigs, "rep").join(sets, "rep")
-    more = materialize(loaded.groupBy("band", "i", "j").applyInPandas(_join_inside(percent), "a long, b long"), "more")
+    cell = F.xxhash64("band", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("cell")
+    loaded = cells.select(cell, "rep", "component").distinct().join(sigs, "rep").join(sets, "rep")
+    dealt = loaded.repartition("cell").sortWithinPartitions("cell", "rep")
+    more = materialize(dealt.select("cell", "rep", "component", "sig", "members").mapInArrow(_inside(percent), "a long, b long"), "more")
     joined = components(links.unionByName(more))
+    release(bands, alike, sets, links, first, labelled, more)
 
     own = signed.join(reps.select("set_key", "rep"), "set_key", "left")
     named = own.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
@@ -220,28 +250,30 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def _numbered(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """docs with _row, unique: the doc_id where it is on one row; rows that share one, or have none, are written once with numbers beyond all ids."""
+    """(row, doc, text, number) of docs; number is unique: the doc_id where it is on one row; rows that share one, or have none, are written once with numbers beyond all ids."""
     beyond = docs.agg(F.max("doc_id")).first()[0]
     beyond = 0 if beyond is None else max(beyond + 1, 0)
-    ids = _few(shared.withColumnRenamed("doc_id", "_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    others = materialize(docs.join(ids, same, "left_semi").withColumn("_row", F.monotonically_increasing_id() + F.lit(beyond).cast("long")), "numbered")
-    return docs.join(ids, same, "left_anti").withColumn("_row", F.col("doc_id").cast("long")).unionByName(others)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc"), "text")
+    ids = _few(shared.select(F.col("doc_id").alias("id")))
+    same = F.col("doc").eqNullSafe(F.col("id"))
+    others = materialize(rows.join(ids, same, "left_semi").withColumn("number", F.monotonically_increasing_id() + F.lit(beyond).cast("long")), "numbered")
+    return rows.join(ids, same, "left_anti").withColumn("number", F.col("doc").cast("long")).unionByName(others)
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates (of the least doc_id, null last), columns unchanged.
+    """docs with one row of each group of near-duplicates (of the least doc_id, null last), columns of any name unchanged.
 
     Rows are judged by their text alone: repeated rows, rows that share a doc_id and rows without
-    one are in the group of their text like any other. Texts without words are in no group and stay.
+    one are in the group of their text like any other. Texts without words (null, empty, blank)
+    are in no group and stay. An empty table gives no rows.
     """
     shared = materialize(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "shared")
     if shared.isEmpty():
         gone = near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct()
-        return docs.join(_few(gone), "doc_id", "left_anti")
+        return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
     rows = _numbered(docs, shared)
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent)
-    found = materialize(found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row"), "found")
-    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("s")).select("s._row")
-    gone = found.select("_row").join(stays, "_row", "left_anti")
-    return rows.join(_few(gone), "_row", "left_anti").select(*docs.columns)
+    found = near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"), width, percent)
+    found = materialize(found.select(F.col("doc_id").alias("number"), "component_id").join(rows.select("number", "doc"), "number"), "found")
+    stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "number")).alias("s")).select("s.number")
+    gone = found.select("number").join(stays, "number", "left_anti")
+    return rows.join(_few(gone), "number", "left_anti").select("row.*")

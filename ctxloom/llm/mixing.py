@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, n_words
+from .common import expand, global_rank, materialize, n_words
 
 CHUNK = 64
 
@@ -26,25 +26,24 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
 
     Sources in code point order, null last, get the weights in turn. `share` times all sizes is
     split by weight; a target stops at `cap` times its source, and the excess goes to the others
-    by weight. Filling by ascending size over weight finds the common level in one pass. The
-    windows run over one row per source.
+    by weight, until none is above. Each round of that is one sum over the sources; sources are
+    ranked by a distributed sort, so their number is free.
     """
     by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    ranked = by.withColumn("_k", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = global_rank(by, [F.col("source").asc_nulls_last()], "_k")
     given = F.array(*[F.lit(float(w)) for w in weights])
     ranked = ranked.withColumn("_w", F.get(given, F.pmod("_k", F.lit(len(weights)))))
-    ranked = ranked.withColumn("_full", F.col("source_size") * F.lit(float(cap)))
-    ranked = ranked.withColumn("_r", F.col("_full") / F.col("_w"))
-    order = W.orderBy("_r", "_k")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    zero = F.lit(0.0)
-    left = F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("_full").over(before), zero)
-    weight = F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), zero)
-    ranked = ranked.withColumn("_level", left / weight).withColumn("_at", F.row_number().over(order))
-    # the first source that the level does not fill sets the level for itself and all after it
-    first = F.min_by("_level", F.when(F.col("_level") <= F.col("_r"), F.col("_at"))).over(every)
-    target = F.least("_full", F.coalesce(first, F.lit(math.inf)) * F.col("_w"))
+    full = F.col("source_size") * F.lit(float(cap))
+    level = math.inf
+    while True:
+        # the common level of the sources that it does not fill; it rises as the filled ones leave
+        open_ = ~(full < F.lit(level) * F.col("_w")) if level < math.inf else F.lit(True)
+        total, filled, weight = ranked.agg(F.sum("source_size"), F.sum(F.when(~open_, full)), F.sum(F.when(open_, F.col("_w")))).first()
+        new = (share * (total or 0) - (filled or 0.0)) / weight if weight else math.inf
+        if new == level or not weight:
+            break
+        level = new
+    target = F.least(full, F.lit(level) * F.col("_w")) if level < math.inf else full
     return ranked.select("source", "source_size", target.alias("target"))
 
 
@@ -90,12 +89,19 @@ def pivotal_copies(units: DataFrame, seed: int = 7) -> DataFrame:
     """Whole numbers of copies for units (source, doc_id, size, source_size, target).
 
     Adds `copies`. Deterministic: the same rows give the same copies in any order and
-    partitioning. A source of a third of all rows is many chunks, like any other.
+    partitioning. A source of a third of all rows is many chunks, like any other. Of m equal
+    rows of fraction f, rounding among themselves settles all but one: floor(m * f) go up, one
+    keeps the rest of the fraction, the others go down; so they are counted, not dealt.
     """
+    equal = materialize(units.groupBy(*units.columns).agg(F.count("*").alias("_m")), "equal")
+    most = equal.agg(F.max("_m")).first()[0] or 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    base = units.withColumn("_rate", rate).withColumn("_whole", F.floor("_rate").cast("long"))
-    base = base.withColumn("_mass", (F.col("_rate") - F.col("_whole")) * F.col("size"))
-    settled = base.where(F.col("_mass") <= 0).select("source", "doc_id", "size", F.col("_whole").alias("copies"))
+    base = equal.withColumn("_whole", F.floor(rate).cast("long")).withColumn("_f", rate - F.floor(rate))
+    base = base.withColumn("_up", F.floor(F.col("_m") * F.col("_f")).cast("long")).withColumn("_rest", F.col("_m") * F.col("_f") - F.floor(F.col("_m") * F.col("_f")))
+    # a row without size has no mass to give or take: its copies count for nothing
+    base = base.withColumn("_mass", F.col("_rest") * F.col("size"))
+    sure = base.withColumn("_sure", F.col("_m") - (F.col("_mass") > 0).cast("long")).where("_sure > 0")
+    settled = expand(sure, "_sure", most).select("source", "doc_id", "size", (F.col("_whole") + (F.col("_nth") < F.col("_up")).cast("long")).alias("copies"))
     open_ = base.where(F.col("_mass") > 0)
     per_source = open_.groupBy("source").agg(F.ceil(F.count("*") / F.lit(CHUNK * 3 // 4)).cast("long").alias("_chunks"))
     largest = per_source.agg(F.max("_chunks")).first()[0] or 1
@@ -145,7 +151,9 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it (0, 1, 2, ... times), columns unchanged.
 
-    Rows equal in doc_id, source and text act as one unit of their joint size.
+    Rows equal in doc_id, source and text act as one unit of their joint size. Null texts have
+    size 0; a null source is a source of its own, the last; an empty table gives no rows.
+    Columns of any name stay as they are.
     """
     key = F.xxhash64("doc_id", "source", "text")
     sized = docs.select(key.alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
@@ -154,6 +162,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     t = source_targets(units, list(weights), share, cap).select(F.col("source").alias("_source"), "source_size", "target")
     copies = pivotal_copies(units.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), seed)
     # by key alone: copies are made after the join, so a text moves once
-    times = copies.where("copies > 0").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
-    joined = docs.withColumn("_key", key).join(times, "_key")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    times = copies.where("copies > 0").select(F.col("doc_id").alias("key"), "copies")
+    joined = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(times, "key")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

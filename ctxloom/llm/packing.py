@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, n_words
+from .common import gapless_rank, materialize, n_words
 
 EXACT = 2048
 
@@ -61,8 +61,8 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 16_384) -> DataFrame:
     have length 0 and form batches of `budget` rows. Repeated rows are packed one by one; ties
     in length share a bucket; an empty table gives no rows. Other columns are not carried.
     """
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"))
+    # texts are read once: all that follows works on lengths
+    sized = materialize(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")), "lengths")
     cells = sized.groupBy(length_cell(F.col("n_tokens")).alias("cell")).agg(F.count("*").alias("n")).toPandas().sort_values("cell")
     ends, _ = optimal_boundaries(cells["cell"].to_numpy(np.float64), cells["n"].to_numpy(np.float64), buckets)
     if not ends:

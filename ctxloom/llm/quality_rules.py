@@ -99,11 +99,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bins
     return out.drop("_copy", "_times", "ratio_sum", "n_grams", "n_own")
 
 
-def op8_columns(judged: DataFrame) -> DataFrame:
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that the rules reject, columns unchanged."""
-    judged = judge(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    """docs without the rows that the rules reject, columns of any name unchanged.
+
+    Null and empty texts go (they have fewer than 20 words); equal rows stay or go together; an
+    empty table gives no rows.
+    """
+    good = judge(docs, labels, **options).where("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text"))
+    return rows.join(good, F.col("doc").eqNullSafe(F.col("id")) & (F.col("text") == F.col("hash")), "left_semi").select("row.*")

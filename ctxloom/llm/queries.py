@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from .common import table
-from .fingerprints import fingerprint_documents
+from . import fingerprints
 from .importance import resample
 from .language_id import identify
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
-from .quality_rules import judge, op8_columns
+from .quality_rules import judge
 from .sharding import shard_documents
 from .suffix_dedup import removal_report
 from .toxicity import score_toxicity
@@ -40,11 +40,12 @@ def op6_suffix_dedup(spark, sf_dir):
 
 
 def op7_fingerprints(spark, sf_dir):
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark, sf_dir):
-    return op8_columns(judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op9_language_id(spark, sf_dir):
@@ -55,9 +56,23 @@ def op10_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_minhash,
+    op2_mixing,
+    op3_importance,
+    op4_toxicity,
+    op5_packing,
+    op6_suffix_dedup,
+    op7_fingerprints,
+    op8_quality_rules,
+    op9_language_id,
+    op10_sharding,
+)
+
+
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if k.startswith("op")}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_fingerprints": fingerprints.SQL}

@@ -319,33 +319,54 @@ def _union(spans) -> list[tuple[int, int]]:
     return out
 
 
+def _without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
+    return b"".join(raw[a:e] for a, e in zip([0, *(x[1] for x in cut)], [*(x[0] for x in cut), len(raw)], strict=True))
+
+
+def _whole_characters(raw: bytes, cut: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, shrunk to characters that lie in them whole."""
+    out = []
+    for a, e in cut:
+        while a < e and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while e > a and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append((a, e))
+    return out
+
+
 def _report(batches):
     for b in batches:
-        n, removed, number, digest = [], [], [], []
+        n, removed, number, digest, left = [], [], [], [], []
         for text, spans in zip(b.column("text"), b.column("spans").to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes() if text.is_valid else b""
             cut = _union(spans)
-            kept = b"".join(raw[a:e] for a, e in zip([0, *(x[1] for x in cut)], [*(x[0] for x in cut), len(raw)], strict=True))
+            kept = _without(raw, cut)
             n.append(len(raw))
             removed.append(len(raw) - len(kept))
             number.append(len(cut))
             digest.append(hashlib.sha256(kept).hexdigest())
+            left.append(_without(raw, _whole_characters(raw, cut)).decode())
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, number)), pa.array(digest, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, number)), pa.array(digest, pa.string()), pa.array(left, pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
         )
 
 
 def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of docs(doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) per row of docs(doc_id, text).
 
     A byte goes if any `length`-byte string that covers it also starts elsewhere, in the same
     text or another. Null texts are empty; texts shorter than `length` bytes keep everything;
     equal texts of at least `length` bytes lose everything, wherever they stand. Repeated rows
-    count as copies. An empty table gives no rows; other columns are not carried.
+    count as copies. `text` is what is left; where a removed run begins or ends inside a
+    character, the whole character stays in it, so it is valid (the digest is of the exact
+    bytes). An empty table gives no rows; other columns are not carried.
     """
     joined = _with_spans(docs.select("doc_id", "text"), length)
-    return joined.select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "spans").mapInArrow(
+        _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    )
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -362,16 +383,7 @@ def _clean(batches):
                 out.append(None)
                 continue
             raw = text.as_buffer().to_pybytes()
-            cut = _union(spans)
-            # a span shrinks to whole characters
-            whole = []
-            for a, e in cut:
-                while a < e and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while e > a and e < len(raw) and raw[e] & 0xC0 == 0x80:
-                    e -= 1
-                whole.append((a, e))
-            out.append(b"".join(raw[a:e] for a, e in zip([0, *(x[1] for x in whole)], [*(x[0] for x in whole), len(raw)], strict=True)).decode())
+            out.append(_without(raw, _whole_characters(raw, _union(spans))).decode())
         i = b.schema.get_field_index("text")
         yield b.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["spans"])
 
