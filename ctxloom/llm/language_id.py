@@ -4,6 +4,11 @@ Trained in numpy by backpropagation through time on a bounded sample of byte win
 byte position of every text is labelled from a forward and a backward recurrence; a document's
 probabilities are the mean of its positions'. Gates use the softsign curve, x / (1 + |x|),
 which numpy evaluates with plain arithmetic.
+
+Long texts are labelled in windows of WINDOW positions side by side, and each recurrence runs
+in over the CONTEXT bytes before its window (after it, for the backward one). So a text of at
+most WINDOW bytes is labelled by the whole recurrence, and every position of a longer one has
+at least CONTEXT bytes of context on either side, or all there is.
 """
 
 from __future__ import annotations
@@ -19,7 +24,8 @@ from .toxicity import fold
 
 HIDDEN = 8
 TRAIN_WINDOW = 32
-WINDOW = 64
+WINDOW = 128
+CONTEXT = 32
 #: The training sample: documents a language, and windows a document, at most.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 24
@@ -44,39 +50,45 @@ class Network:
             "c": np.zeros(classes, np.float32),
         }
 
-    def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states [2, T, B, HIDDEN] for bytes x [T, B]; the backward direction is aligned with positions."""
+    def direction(self, d: int, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states [T, B, HIDDEN] of one direction for bytes x [T, B], aligned with positions. The state is 0 in padding."""
         t, b = x.shape
         h = HIDDEN
-        out = np.empty((2, t, b, h), np.float32)
-        e, u = self.p["e"], self.p["u"]
-        for d in (0, 1):
-            s = np.zeros((b, h), np.float32)
-            for i in range(t) if d == 0 else range(t - 1, -1, -1):
-                g = e[d].take(x[i], axis=0)
-                q = s @ u[d]
-                zr = g[:, : 2 * h] + q[:, : 2 * h]
-                zr /= 1 + np.abs(zr)
-                zr *= 0.5
-                zr += 0.5
-                r = zr[:, h:]
-                m = q[:, 2 * h :]
-                a = m * r
-                a += g[:, 2 * h :]
-                n = _soft(a)
-                z = zr[:, :h]
-                if keep is not None:
-                    keep.append((d, i, s, g[:, : 2 * h] + q[:, : 2 * h], zr, m, a, n))
-                s = n + z * (s - n)
-                out[d, i] = s
+        out = np.empty((t, b, h), np.float32)
+        e, u = self.p["e"][d], self.p["u"][d]
+        real = x < 256
+        whole = real.all(axis=1)
+        s = np.zeros((b, h), np.float32)
+        for i in range(t) if d == 0 else range(t - 1, -1, -1):
+            g = e.take(x[i], axis=0)
+            q = s @ u
+            zr = g[:, : 2 * h] + q[:, : 2 * h]
+            zr /= 1 + np.abs(zr)
+            zr *= 0.5
+            zr += 0.5
+            r = zr[:, h:]
+            m = q[:, 2 * h :]
+            a = m * r
+            a += g[:, 2 * h :]
+            n = _soft(a)
+            z = zr[:, :h]
+            if keep is not None:
+                keep.append((d, i, s, g[:, : 2 * h] + q[:, : 2 * h], zr, m, a, n))
+            s = n + z * (s - n)
+            if not whole[i]:
+                s *= real[i][:, None]
+            out[i] = s
         return out
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """[T, B, classes]"""
-        s = self.states(x)
+    def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Hidden states [2, T, B, HIDDEN] of both directions."""
+        return np.stack([self.direction(d, x, keep) for d in (0, 1)])
+
+    def probabilities(self, x: np.ndarray, lead: int = 0) -> np.ndarray:
+        """[T - 2 * lead, B, classes]: of the positions but the first and last `lead`, which only run a recurrence in."""
         h = HIDDEN
-        logits = s[0] @ self.p["v"][:h]
-        logits += s[1] @ self.p["v"][h:]
+        logits = self.direction(0, x[: len(x) - lead])[lead:] @ self.p["v"][:h]
+        logits += self.direction(1, x[lead:])[: len(x) - 2 * lead] @ self.p["v"][h:]
         logits += self.p["c"]
         logits -= logits.max(axis=2, keepdims=True)
         np.exp(logits, out=logits)
@@ -102,7 +114,7 @@ class Network:
         ds = [np.zeros((b, h), np.float32), np.zeros((b, h), np.float32)]
         for d, i, before, raw, zr, m, a, n in reversed(keep):
             z, r = zr[:, :h], zr[:, h:]
-            ds[d] = ds[d] + into[i][:, d * h : (d + 1) * h]
+            ds[d] = (ds[d] + into[i][:, d * h : (d + 1) * h]) * (x[i] < 256)[:, None]
             da = ds[d] * (1 - z) / (1 + np.abs(a)) ** 2
             dzr = np.concatenate([ds[d] * (before - n), da * m], axis=1) * 0.5 / (1 + np.abs(raw)) ** 2
             dq = np.concatenate([dzr, da * r], axis=1)
@@ -160,14 +172,14 @@ def pooled(net: Network, column: pa.Array, classes: int) -> np.ndarray:
         return out
     rows = np.repeat(np.arange(len(sizes)), number)
     begin = offsets[:-1][rows] + (np.arange(at[-1]) - at[:-1][rows]) * WINDOW
-    end = offsets[1:][rows]
+    first, end = offsets[:-1][rows], offsets[1:][rows]
     sums = np.zeros((at[-1], classes))
     for a in range(0, at[-1], 2048):
-        pos = begin[a : a + 2048] + np.arange(WINDOW)[:, None]
-        real = pos < end[a : a + 2048]
-        x = np.where(real, data[np.minimum(pos, len(data) - 1)], 256)
-        p = net.probabilities(x)
-        p *= real[:, :, None]
+        pos = begin[a : a + 2048] + np.arange(-CONTEXT, WINDOW + CONTEXT)[:, None]
+        inside = (pos >= first[a : a + 2048]) & (pos < end[a : a + 2048])
+        x = np.where(inside, data[np.clip(pos, 0, len(data) - 1)].astype(np.int64), np.int64(256))
+        p = net.probabilities(x, CONTEXT)
+        p *= inside[CONTEXT : CONTEXT + WINDOW, :, None]
         sums[a : a + 2048] = p.sum(axis=0)
     some = np.flatnonzero(number)
     out[some] = np.add.reduceat(sums, at[:-1][some]) / sizes[some, None]
