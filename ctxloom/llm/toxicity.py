@@ -1,13 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary text, with absolute discounting at each level: word, the
-word's first six bytes, its first four. What they discount goes one level down, in shares
-that both classes have in common (continuation counts: the distinct words that continue a
-stem, over both classes), and at last to one shared distribution. So a rare form of a known stem is judged by its
-stem, and what neither class has often is equally likely in both. A text is compared by its
-length-normalised log-likelihoods, its most telling word, and the mean likelihood ratio of
-its words. A logistic curve maps the three to a probability. It is fitted to the training
-folds, each compared by a model whose counts leave that fold out.
+Two language models, of toxic and of ordinary text, each with interpolated absolute discounts
+at two orders: words given nothing, and the stems (first four bytes) of words given nothing.
+A model's discounted mass of words goes to words by way of their stem:
+
+    P_c(w) = max(n_c(w) - D, 0) / N_c + l_c * P_c(stem of w) / (V(stem) + 1)
+    P_c(s) = max(n_c(s) - E, 0) / N_c + m_c * B(s)
+
+with each class's own discounts (three each, from its counts of counts) and left masses l_c,
+m_c, so each sums to 1. V, the number of different words that continue a stem, and B, the share
+of stems in all different words, are continuation counts over both classes together: the shared
+backoff, in which a rare word counts like others of its stem. A text is judged by one figure:
+the log-likelihoods of the two models, length-normalised, compared over each WINDOW words in a
+row (over the whole text, if it has fewer), at its largest. One logistic curve maps that to a
+probability; it is fitted to the training folds, each compared by models that leave it out.
 
 Counts are taken over all labelled training texts, by bins of hashed words: the tables that
 reach the driver and are broadcast have at most BINS rows each, whatever the corpus.
@@ -21,43 +27,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .hashing import LOWER, SPACE, mix, slices, text_bytes, word_hashes
 
 BINS = 1 << 20
-DISCOUNT = 0.75
+#: Words over which likelihoods are compared.
+WINDOW = 8
+STEM = 4
 #: Labelled rows of each training fold that the logistic curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 BROADCAST_IDS = 1_000_000
 #: Training folds.
 PARTS = 3
-#: Ridges that the logistic curve chooses from.
-STRENGTHS = (0.001, 0.01, 0.1, 1.0, 10.0)
+#: Damping of the logistic curve's slope.
+RIDGE = 0.01
 
 
 def _words(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each word its bins (word, first 6, first 4 bytes), and its row."""
+    """For each word its bins (of the word and of its stem), and its row."""
     data, offsets = text_bytes(column)
     hashes, rows, starts = word_hashes(data, offsets)
     none = np.zeros(0, np.int64)
     if not len(rows):
-        return [none, none, none], rows
+        return [none, none], rows
     code, inside, limit = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool), offsets[1:][rows]
-    stems = {}
-    for j in range(6):
+    for j in range(STEM):
         at = np.minimum(starts + j, len(data) - 1)
         inside &= (starts + j < limit) & ~SPACE[data[at]]
         code = (code << np.uint64(8)) | np.where(inside, LOWER[data[at]], 0).astype(np.uint64)
-        stems[j + 1] = code
-    return [(x % np.uint64(BINS)).astype(np.int64) for x in (hashes, mix(stems[6].copy()), mix(stems[4].copy()))], rows
+    return [(x % np.uint64(BINS)).astype(np.int64) for x in (hashes, mix(code))], rows
 
 
 def _count(batches):
-    """Counts by one packed key: three bins of 20 bits, and three bits for the training fold and the class."""
+    """Counts by one packed key: two bins of 20 bits, and three bits for the training fold and the class."""
     for part in slices(batches):
-        (w, six, four), rows = _words(part.column("text"))
+        (word, stem), rows = _words(part.column("text"))
         kind = np.asarray(part.column("kind").to_pylist(), dtype=np.int64)[rows] if len(rows) else rows
-        keys, n = np.unique((((w << 20) | six) << 23) | (four << 3) | kind, return_counts=True)
+        keys, n = np.unique((((word << 20) | stem) << 3) | kind, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
@@ -70,100 +76,84 @@ def _without(levels: list[pd.DataFrame], part: int | None) -> list[pd.DataFrame]
     ]
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken from each count: three discounts, for 1, 2 and more, from the counts of counts; at least half of 1."""
+    n = [float((counts == i).sum()) for i in range(1, 5)]
+    y = n[0] / max(n[0] + 2 * n[1], 1.0)
+    d = [min(max(i + 1 - (i + 2) * y * n[i + 1] / max(n[i], 1.0), 0.5), i + 1.0) for i in range(3)]
+    return np.where(counts >= 3, d[2], np.where(counts == 2, d[1], np.where(counts == 1, d[0], 0.0)))
+
+
 class Model:
-    """Tables by bin: each level's class counts and shared continuation counts."""
+    """Tables by bin: per class the kept counts and left masses of both orders, and the shared continuation counts."""
 
     def __init__(self, levels):
-        """levels: frames (bin, ordinary, toxic, types) of words, six and four bytes."""
+        """levels: frames (bin, ordinary, toxic, types) of words and of stems; types of stems: the different words that continue them."""
 
         def dense(frame, column):
-            out = np.zeros(BINS, np.float32)
+            out = np.zeros(BINS)
             out[frame["bin"].to_numpy()] = frame[column].to_numpy()
             return out
 
-        self.types = [dense(x, "types") for x in levels]
-        self.total = max(float(self.types[0].sum()), 1.0)
-        self.own, self.left = [], []
-        for x in levels:
-            c = [dense(x, k) for k in ("ordinary", "toxic")]
-            n = [max(float(v.sum()), 1.0) for v in c]
-            self.own.append([np.maximum(v - DISCOUNT, 0) / m for v, m in zip(c, n, strict=True)])
-            # one share of discounted mass for both classes, else the smaller corpus would favour the unseen
-            self.left.append(min(1.0, DISCOUNT * sum(float((v > 0).sum()) for v in c) / sum(n)))
-
-    def ratios(self, bins: list[np.ndarray]) -> np.ndarray:
-        """log P(w | toxic) - log P(w | ordinary) for each word."""
-        w, six, four = bins
-        t = [x[b] for x, b in zip(self.types, bins, strict=True)]
-        spread = (t[2] + 0.5) / self.total
-        share = [(t[0] + 0.5) / (t[1] + 1), (t[1] + 0.5) / (t[2] + 1)]
-        logs = []
-        for k in (0, 1):
-            x = self.own[2][k][four] + self.left[2] * spread
-            x = self.own[1][k][six] + self.left[1] * share[1] * x
-            logs.append(np.log(self.own[0][k][w] + self.left[0] * share[0] * x + np.float32(1e-30)))
-        return logs[1] - logs[0]
-
-    def features(self, column: pa.Array) -> np.ndarray:
-        """[rows, 3]: mean ratio per word, the largest ratio, and the log of the mean likelihood ratio."""
+        words, stems = levels
+        self.types = dense(stems, "types").astype(np.float32)
+        self.base = ((self.types + 0.5) / (self.types.sum(dtype=np.float64) + 0.5 * BINS)).astype(np.float32)
+        self.words, self.stems = [], []
+        for c in ("ordinary", "toxic"):
+            for made, frame in ((self.words, words), (self.stems, stems)):
+                n = dense(frame, c)
+                total, cut = max(n.sum(), 1.0), discounts(n)
+                # without any text of a class all its mass is left to the backoff
+                made.append((((n - cut) / total).astype(np.float32), float(cut.sum() / total) if n.any() else 1.0))
+
+    def log_probabilities(self, bins: list[np.ndarray], c: int) -> np.ndarray:
+        """log P of each word; c: 0 ordinary, 1 toxic."""
+        word, stem = bins
+        kept, left = self.stems[c]
+        p = kept[stem].astype(np.float64) + left * self.base[stem]
+        kept, left = self.words[c]
+        return np.log(kept[word] + left * p / (self.types[stem] + 1))
+
+    def differences(self, column: pa.Array) -> np.ndarray:
+        """Of each text the largest mean difference of log-likelihoods per word, toxic less ordinary, over WINDOW words in a row; 0 without words."""
         bins, rows = _words(column)
-        out = np.zeros((len(column), 3))
+        out = np.zeros(len(column))
         if not len(rows):
             return out
-        r = self.ratios(bins).astype(np.float64)
+        total = np.concatenate([[0.0], np.cumsum(self.log_probabilities(bins, 1) - self.log_probabilities(bins, 0))])
         present, first = np.unique(rows, return_index=True)
-        n = np.diff(np.append(first, len(rows)))
-        out[present, 0] = np.add.reduceat(r, first) / n
-        out[present, 1] = np.maximum.reduceat(r, first)
-        out[present, 2] = np.log(np.add.reduceat(np.exp(r), first) / n)
+        number = np.diff(np.append(first, len(rows)))
+        size = np.minimum(number, WINDOW)
+        # the windows of a text end at its word `size` and at each later one
+        begin, width = np.repeat(first, number), np.repeat(size, number)
+        end = np.arange(1, len(rows) + 1)
+        mean = np.where(end - begin >= width, (total[end] - total[np.maximum(end - width, 0)]) / width, -np.inf)
+        out[present] = np.maximum.reduceat(mean, first)
         return out
 
 
-def _features(model):
+def _compare(model):
     def run(batches):
         for part in slices(batches):
-            f = model.value.features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(f[:, i]) for i in range(3))], ["toxic", "mean", "best", "odds"])
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(model.value.differences(part.column("text")))], ["toxic", "difference"])
 
     return run
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, strength: float, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge regression of log odds by Newton steps, so few labels give no extreme weights; weights for [1, x] and the scales of x."""
-    scale = np.maximum(np.abs(x).max(axis=0), 1e-6) if len(x) else np.ones(x.shape[1])
-    a = np.column_stack([np.ones(len(x)), x / scale])
-    b = np.zeros(a.shape[1])
-    ridge = np.diag([1e-6, *[strength] * x.shape[1]])
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Intercept and slope of the log odds, by Newton steps; the intercept is free."""
+    a, b = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    ridge = np.diag([1e-6, RIDGE])
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         b = b - np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge, a.T @ (p - y) + ridge @ b)
-    return b, scale
+    return b
 
 
-def _strength(x: np.ndarray, y: np.ndarray, parts: int = 5) -> float:
-    """The strongest ridge whose cross-validated log loss on the calibration rows is within one standard error of the least.
-
-    So few labels give more damping than many. Equal rows share a part.
-    """
-    if not len(x):
-        return STRENGTHS[-1]
-    part = np.unique(x, axis=0, return_inverse=True)[1].reshape(-1) % parts
-    loss = np.zeros((len(STRENGTHS), len(x)))
-    for k in np.unique(part):
-        own = part == k
-        for i, c in enumerate(STRENGTHS):
-            b, scale = _logistic(x[~own], y[~own], c)
-            z = np.clip(b[0] + x[own] / scale @ b[1:], -30, 30)
-            loss[i, own] = np.log1p(np.exp(z)) - y[own] * z
-    total, best = loss.sum(axis=1), loss.sum(axis=1).argmin()
-    return STRENGTHS[np.flatnonzero(total <= total[best] + loss[best].std() * np.sqrt(len(x)))[-1]]
-
-
-def _score(model, b, scale, threshold):
+def _score(model, curve, threshold):
     def run(batches):
         for part in slices(batches):
-            f = model.value.features(part.column("text")) / scale
-            p = 1 / (1 + np.exp(-np.clip(b[0] + f @ b[1:], -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * model.value.differences(part.column("text")), -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
             )
@@ -181,7 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
     labels(doc_id, toxic) are used in folds 0, 1 and 3 only; a document
     that several label rows name is toxic if one says so, null labels are ignored. Scores depend
-    on the text alone. Null, empty and wordless texts have features 0. Without labels every
+    on the text alone. Null, empty and wordless texts have difference 0. Without labels every
     score is 0.5. Repeated rows score alike; an empty table gives no rows; other columns are not
     carried.
     """
@@ -201,7 +191,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     others = [sum(F.col(c) for c in names if not c.endswith(f"_{f}")) for f in range(PARTS)]
     types = [F.count_if(x > 0).cast("int").alias(f"types_{f}") for f, x in enumerate(others)]
     levels = []
-    for shift in (40, 20, 0):
+    for shift in (20, 0):
         bin_ = F.shiftright("form", shift).bitwiseAND(mask).cast("int").alias("bin")
         levels.append(forms.groupBy(bin_).agg(*sums, *types, F.count("*").cast("int").alias("types_all")).toArrow().to_pandas())
 
@@ -211,16 +201,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
     fitted = []
     for f in range(PARTS):
         early = spark.sparkContext.broadcast(Model(_without(levels, f)))
-        run = some.where(F.col("part") == f).select("text", "toxic").mapInArrow(_features(early), "toxic long, mean double, best double, odds double")
+        run = some.where(F.col("part") == f).select("text", "toxic").mapInArrow(_compare(early), "toxic long, difference double")
         fitted.append(run.limit(CALIBRATION_ROWS).toPandas())
         early.unpersist()
     # the model that scores has seen all training folds
     model = spark.sparkContext.broadcast(Model(_without(levels, None)))
     del levels
+    release(counted)
 
     fitted = pd.concat(fitted)
-    x, y = fitted[["mean", "best", "odds"]].to_numpy(), fitted["toxic"].to_numpy(np.float64)
-    b, scale = _logistic(x, y, _strength(x, y))
+    curve = _logistic(fitted["difference"].to_numpy(), fitted["toxic"].to_numpy(np.float64))
     rows = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(_score(model, b, scale, threshold), "doc_id long, held_out boolean, score double, predicted int")
-
+    return rows.mapInArrow(_score(model, curve, threshold), "doc_id long, held_out boolean, score double, predicted int")

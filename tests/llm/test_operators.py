@@ -325,6 +325,96 @@ def test_toxicity_learns_from_the_training_folds_only(spark):
     assert m["hit"] >= 0.6 * m["n"] and m["false"] <= 5
 
 
+def brute_likelihoods(train, window=8):
+    """From (text, class) pairs: a function from a text to its largest mean difference, and the sums of both models, by dictionaries."""
+    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+    def words(t):
+        return [w.encode() for w in WORDS.findall((t or "").translate(lower))]
+
+    counts = [[Counter(), Counter()], [Counter(), Counter()]]
+    for t, c in train:
+        for w in words(t):
+            counts[c][0][w] += 1
+            counts[c][1][w[:4]] += 1
+    forms = set(counts[0][0]) | set(counts[1][0])
+    types = Counter(w[:4] for w in forms)
+    bins = toxicity.BINS
+
+    def cuts(n):
+        k = [sum(v == i for v in n.values()) for i in (1, 2, 3, 4)]
+        y = k[0] / max(k[0] + 2 * k[1], 1)
+        d = [min(max(i + 1 - (i + 2) * y * k[i + 1] / max(k[i], 1), 0.5), i + 1) for i in range(3)]
+        return {w: d[min(v, 3) - 1] for w, v in n.items()}
+
+    def p(c, w):
+        stem = w[:4]
+        out = (types[stem] + 0.5) / (len(forms) + 0.5 * bins)
+        for n, key, share in ((counts[c][1], stem, 1), (counts[c][0], w, types[stem] + 1)):
+            total, d = max(sum(n.values()), 1), cuts(n)
+            out = (n[key] - d.get(key, 0)) / total + (sum(d.values()) / total if n else 1.0) * out / share
+        return out
+
+    def difference(t):
+        r = [np.log(p(1, w)) - np.log(p(0, w)) for w in words(t)]
+        k = min(len(r), window)
+        return max((sum(r[i : i + k]) / k for i in range(len(r) - k + 1)), default=0.0) if r else 0.0
+
+    def whole(c):
+        """All known words, and for each stem the words not known: those of stems in the table, and the rest of the bins."""
+        rest = sum(p(c, s + b"\x00\x01unknown") for s in types)
+        return sum(p(c, w) for w in forms) + rest + (bins - len(types)) * p(c, b"\x02\x03\x04\x05none")
+
+    return difference, whole
+
+
+def test_toxicity_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"{a}{b}x{i}" for i, (a, b) in enumerate(itertools.product("bcdfgh", ("ra", "lo", "ti", "nu")))]
+    bad = ["Idiotic", "vermint", "scumbag"]
+    docs, labels = [], []
+    for i in range(90):
+        w = list(rng.choice(vocab, int(rng.integers(3, 40))))
+        if i % 3 == 0:
+            w.insert(int(rng.integers(0, len(w))), str(rng.choice(bad)))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    docs += [(200, None), (201, ""), (202, "unseen Idiotic words idiotic"), (0, "braxx0 lone")]
+    got = toxicity.score_toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+
+    kind = {i: c for i, c in labels}
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i, _ in docs}
+    train = [(t, kind[i], {3: 2}.get(part[i], part[i])) for i, t in docs if i in kind and part[i] != 2]
+    x, y = [], []
+    for f in range(3):
+        difference, _ = brute_likelihoods([(t, c) for t, c, g in train if g != f])
+        x += [difference(t) for t, _, g in train if g == f]
+        y += [c for _, c, g in train if g == f]
+    b = toxicity._logistic(np.array(x), np.array(y, float))
+    difference, whole = brute_likelihoods([(t, c) for t, c, _ in train])
+    want = sorted((i, part[i] == 2, round(float(1 / (1 + np.exp(-(b[0] + b[1] * difference(t))))), 4)) for i, t in docs)
+    assert sorted((r["doc_id"], r["held_out"], round(r["score"], 4)) for r in got) == want
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert all(abs(whole(c) - 1) < 1e-9 for c in (0, 1))
+
+
+def test_toxicity_models_sum_to_one():
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    stem = rng.integers(0, toxicity.BINS, 300)
+    frames = []
+    for bins, types in ((np.arange(300) * 7, np.ones(300)), (stem, np.ones(300))):
+        f = pd.DataFrame({"bin": bins, "ordinary": rng.integers(0, 9, 300), "toxic": rng.integers(0, 3, 300), "types": types})
+        frames.append(f.groupby("bin", as_index=False).sum())
+    model = toxicity.Model(frames)
+    for c in (0, 1):
+        stems = model.stems[c][0].astype(float) + model.stems[c][1] * model.base
+        assert abs(stems.sum() - 1) < 1e-5
+        # a stem's share is split evenly between its known words and the unknown ones
+        assert abs(model.words[c][0].sum(dtype=float) + model.words[c][1] - 1) < 1e-5
+
+
 def test_toxicity_of_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (0, None), (None, 1), (3, 0)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(docs, labels).collect()
@@ -355,6 +445,62 @@ def test_language_gradients():
         assert abs((up - down) / 2e-2 - g[k][at]) < 1e-3
 
 
+def plain_pooled(net, raw):
+    """One text by two recurrences over all of its bytes, one byte at a time."""
+    h, p = language_id.HIDDEN, {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def soft(x):
+        return x / (1 + abs(x))
+
+    states = np.zeros((2, len(raw), h))
+    for d, order in enumerate((range(len(raw)), reversed(range(len(raw))))):
+        s = np.zeros(h)
+        for i in order:
+            g, q = p["e"][d][raw[i]], s @ p["u"][d]
+            z, r = 0.5 + 0.5 * soft(g[:h] + q[:h]), 0.5 + 0.5 * soft(g[h : 2 * h] + q[h : 2 * h])
+            n = soft(g[2 * h :] + r * q[2 * h :])
+            s = (1 - z) * n + z * s
+            states[d, i] = s
+    logits = states[0] @ p["v"][:h] + states[1] @ p["v"][h:] + p["c"]
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return (e / e.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def test_language_probabilities_equal_whole_recurrences():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    net = language_id.Network(2)
+    texts = ["a", "abc xyz", "mnopq" * 25, "é" * 64, "".join(map(chr, rng.integers(97, 118, 128))), "".join(map(chr, rng.integers(97, 118, 3000))), "abcdefg " * 200 + "mnopqrs " * 200]
+    got = language_id.pooled(net, pa.array([*texts, "", None]), 2)
+    assert not got[-2:].any()
+    for text, have in zip(texts, got, strict=False):
+        raw = text.encode()
+        # within a window the recurrences are whole; beyond, CONTEXT bytes run them in
+        assert np.abs(have - plain_pooled(net, raw)).max() < (1e-6 if len(raw) <= language_id.WINDOW else 1e-4)
+
+
+def test_language_context_is_enough_for_a_trained_network():
+    """Whole recurrences and windows with their run-in: the same label for nearly every text, and near probabilities."""
+    import duckdb
+    import pyarrow as pa
+
+    rows = duckdb.sql("select text, lang from '/root/testdata/sf0.01/documents.parquet' where text <> '' and lang is not null order by doc_id").fetchall()
+    langs = sorted({x for _, x in rows})
+    windows, labels = [], []
+    for text, lang in rows[:400]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for k in np.unique(np.linspace(0, max(len(raw) - 32, 0), 12).astype(int)):
+            windows.append(np.pad(raw[k : k + 32].astype(np.int64), (0, max(0, 32 - len(raw))), constant_values=256))
+            labels.append(langs.index(lang))
+    net = language_id.train(np.array(windows), np.array(labels), len(langs))
+    texts = [t for t, _ in rows[400:] if 300 < len(t) < 3000][:40]
+    got = language_id.pooled(net, pa.array(texts), len(langs))
+    want = np.array([plain_pooled(net, t.encode()) for t in texts])
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).mean() >= 0.95
+    assert np.abs(got - want).mean() < 0.01
+
+
 def test_language_id(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = language_id.identify(d).join(d, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a")).first()
