@@ -8,6 +8,10 @@ inside a run, the longest common prefix of a text position with its neighbour in
 array is one less than that of the position before, so the samples give the matching
 statistics of every position in one pass over the text. Positions with a match of at least
 `length` bytes start a repeated window.
+
+A hash with very many different surroundings would be one large index. Its stretches are cut
+again by the least hash of longer strings, half and three quarters of `length`, and at last by
+whole windows, whose equal ones are counted; so no index grows with a passage's popularity.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import mark, materialize, release_since
 from .hashing import mix, slices, text_bytes
 
 _BASE = 0x9E3779B97F4A7C15
@@ -29,6 +33,8 @@ _DOWN = np.ones(1, np.uint64)
 _SALT = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 #: Text bytes that one index holds, unless a single hash has more.
 INDEX_BYTES = 1 << 20
+#: Different text bytes of one hash beyond which its stretches are cut again by longer strings.
+HOT_BYTES = 1 << 18
 BROADCAST_IDS = 1_000_000
 
 
@@ -261,6 +267,75 @@ def _bodies(length: int):
     return run
 
 
+def _cut_again(length: int, gram: int):
+    """Stretches of a hot anchor in, each cut by the least hash of longer strings; whole windows, where `gram` is their length, need no body."""
+
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], [], [], [], []]
+            for anchor, key, base, body in zip(*(b.column(c).to_pylist() for c in ("anchor", "text_key", "start", "body")), strict=True):
+                least, start, count, again = stretches(np.frombuffer(body, np.uint8), length, gram)
+                out[0].append(mix(least ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+                out[4].append(again)
+                for s, c in zip(start.tolist(), count.tolist(), strict=True):
+                    part = body[s : s + c + length - 1]
+                    out[1].append(key)
+                    out[2].append(base + s)
+                    out[3].append(c)
+                    out[5].append(hashlib.blake2b(part, digest_size=16).digest())
+                    out[6].append(part if gram < length else None)
+            if out[1]:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(out[0])),
+                        pa.array(out[1], pa.binary()),
+                        pa.array(out[2], pa.int64()),
+                        pa.array(out[3], pa.int64()),
+                        pa.array(np.concatenate(out[4])),
+                        pa.array(out[5], pa.binary()),
+                        pa.array(out[6], pa.binary()),
+                    ],
+                    ["anchor", "text_key", "start", "windows", "again", "content", "body"],
+                )
+
+    return run
+
+
+def _marks(bodies: DataFrame, length: int, grams: list[int]) -> list[DataFrame]:
+    """Frames (text_key, from, to) of the repeated windows among different stretches (anchor, text_key, start, body).
+
+    Anchors of at most HOT_BYTES are indexed; the stretches of the others are cut by the next
+    of `grams`, and counted where that makes them equal.
+    """
+
+    def index(rows):
+        dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "text_key", "start")
+        return dealt.mapInArrow(_mark(length), "text_key binary, from long, to long")
+
+    size = bodies.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"))
+    hot = materialize(size.where(F.col("bytes") > HOT_BYTES).select("anchor"), "hot")
+    number = hot.count() if grams else 0
+    if not number:
+        return [index(bodies)]
+    few = F.broadcast(hot) if number <= BROADCAST_IDS else hot
+    out = [index(bodies.join(few, "anchor", "left_anti"))]
+    cut = bodies.join(few, "anchor", "left_semi").select("anchor", "text_key", "start", "body").mapInArrow(
+        _cut_again(length, grams[0]), "anchor long, text_key binary, start long, windows long, again boolean, content binary, body binary"
+    )
+    cut = materialize(cut, "recut")
+    kinds = cut.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("text_key", "start")).alias("one"))
+    kinds = materialize(kinds, "rekinds")
+    often = kinds.where("n > 1").select("anchor", "content")
+    out.append(cut.join(often, ["anchor", "content"], "left_semi").select("text_key", F.col("start").alias("from"), (F.col("start") + F.col("windows") + length - 1).alias("to")))
+    if grams[0] < length:
+        shared = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+        wanted = kinds.join(shared, "anchor").where("kinds > 1 or again").select("anchor", "one.text_key", "one.start")
+        # one row of each kind goes on, with its body
+        left = materialize(cut.join(wanted, ["anchor", "text_key", "start"], "left_semi").select("anchor", "text_key", "start", "body"), "rebodies")
+        out += _marks(left, length, grams[1:])
+    return out
+
+
 def _text_key():
     """128 bits of the text's SHA-256; null is as empty."""
     return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
@@ -296,14 +371,17 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         hashed = hashed.join(F.broadcast(ids), "doc", "left_semi")
     texts = hashed.join(wanted, ["doc", "text_key"])
     bodies = texts.select("text_key", "text", "wanted").mapInArrow(_bodies(length), "anchor long, text_key binary, start long, body binary")
-    dealt = bodies.repartition("anchor").sortWithinPartitions("anchor", "text_key", "start")
-    found = dealt.mapInArrow(_mark(length), "text_key binary, from long, to long")
+    bodies = materialize(bodies, "bodies")
+    longer = sorted({x for x in (length // 2, 3 * length // 4, length) if x > gram})
+    found = _marks(bodies, length, longer)
 
     often = kinds.where("n > 1").select("anchor", "content")
     whole = cut.join(often, ["anchor", "content"], "left_semi").select(
         "text_key", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("windows") + length - 1).cast("long").alias("to")
     )
-    marks = found.unionByName(whole).groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    for more in found:
+        whole = whole.unionByName(more)
+    marks = whole.groupBy("text_key").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"))
     both = marks.join(copied.withColumnRenamed("spans", "all"), "text_key", "full_outer")
     return both.select("text_key", F.coalesce("all", "spans").alias("spans"))
 
@@ -363,16 +441,18 @@ def removal_report(docs: DataFrame, length: int = 400) -> DataFrame:
     character, the whole character stays in it, so it is valid (the digest is of the exact
     bytes). An empty table gives no rows; other columns are not carried.
     """
-    joined = _with_spans(docs.select("doc_id", "text"), length)
+    joined = docs.select("doc_id", "text", _text_key().alias("text_key")).join(_spans(docs, length), "text_key", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(
         _report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     )
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _spans(docs: DataFrame, length: int) -> DataFrame:
+    """repeated_spans() on disk, with what led to it deleted."""
+    point = mark()
     spans = materialize(repeated_spans(docs, length), "spans")
-    keyed = docs.withColumn("text_key", _text_key())
-    return keyed.join(spans, "text_key", "left").drop("text_key")
+    release_since(point, spans)
+    return spans
 
 
 def _clean(batches):
@@ -384,17 +464,20 @@ def _clean(batches):
                 continue
             raw = text.as_buffer().to_pybytes()
             out.append(_without(raw, _whole_characters(raw, _union(spans))).decode())
-        i = b.schema.get_field_index("text")
-        yield b.set_column(i, "text", pa.array(out, pa.string())).drop_columns(["spans"])
+        yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(out, pa.string())], ["rest", "text"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 240) -> DataFrame:
     """docs with repeated strings of at least `length` bytes taken out of the text; n_chars follows where it exists.
 
-    Rows and their other columns stay, also where nothing is left of the text.
+    Rows and their other columns, of any name, stay, also where nothing is left of the text.
+    Null texts stay null; an empty table gives no rows.
     """
-    joined = _with_spans(docs, length)
-    out = joined.mapInArrow(_clean, docs.schema)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("rest"), "text", _text_key().alias("text_key"))
+    joined = rows.join(_spans(docs, length), "text_key", "left").select("rest", "text", "spans")
+    schema = joined.select("rest", "text").schema
+    out = joined.mapInArrow(_clean, schema).select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -173,6 +173,13 @@ def test_suffix_dedup_equals_brute_force(docs, empty, length):
     assert suffix_dedup.removal_report(empty).count() == 0
 
 
+def test_hot_anchors_are_cut_again(docs, monkeypatch):
+    """Every anchor counts as hot: whole windows decide at last, and the result is the same."""
+    for limit in (0, 300, 3000):
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", limit)
+        assert Counter(tuple(r)[:5] for r in suffix_dedup.removal_report(docs, 60).collect()) == brute_removal(60)
+
+
 def test_run_index_statistics():
     texts = [b"abracadabra", b"cadabrab", b"zzzzz"]
     index = suffix_dedup.RunIndex(texts)
