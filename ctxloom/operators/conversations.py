@@ -79,8 +79,13 @@ def extract_cases(signals: DataFrame) -> DataFrame:
 
 
 def decide_cases(cases: DataFrame) -> DataFrame:
-    """cases(sanctions, anomaly, edd) with `route`: the first rule that holds."""
+    """cases(sanctions, watchlist_hit, anomaly, high_risk_jurisdiction) with `route`: the first rule that holds.
+
+    Without a screening result the match is 0.02, without a graph result the anomaly 0.35.
+    """
+    match, anomaly = F.coalesce("sanctions", F.lit(0.02)), F.coalesce("anomaly", F.lit(0.35))
+    hit, risky = (F.coalesce(c, F.lit(False)) for c in ("watchlist_hit", "high_risk_jurisdiction"))
     return cases.withColumn(
         "route",
-        F.when(F.col("sanctions") >= 0.9, "hold").when(F.col("anomaly") >= 0.75, "investigate").when(F.col("edd") >= 0.45, "enhanced_due_diligence").otherwise("clear"),
+        F.when((match >= 0.9) | hit, "freeze_and_sar").when(anomaly >= 0.75, "sar_only").when((anomaly >= 0.45) | risky, "enhanced_due_diligence").otherwise("monitor"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 # Per dimension its threshold and the direction that is bad.
-DIMENSIONS = {"overall": (0.2, -1), "redundancy": (0.4, 1), "diversity": (0.3, -1), "stale_ratio": (0.5, 1), "utilization": (0.5, 1), "density": (0.25, -1)}
+DIMENSIONS = {"overall": (0.2, -1), "redundancy": (0.4, 1), "diversity": (0.3, -1), "stale_ratio": (0.5, 1), "utilization": (0.5, -1), "density": (0.25, -1)}
 
 
 def drift(observations: DataFrame, dimensions: list[str], size: int = 10, least: int = 3) -> DataFrame:
@@ -33,6 +33,91 @@ def drift(observations: DataFrame, dimensions: list[str], size: int = 10, least:
     return rows.withColumn("severity", severity).drop("v")
 
 
+# Per dimension what an alert calls it and what it recommends.
+ALERTS = {
+    "overall": ("overall relevance", "re-score and re-rank context items to restore relevance"),
+    "redundancy": ("content redundancy", "deduplicate overlapping context items to reduce redundancy"),
+    "diversity": ("topic diversity", "broaden retrieval sources to restore topic diversity"),
+    "stale_ratio": ("stale item ratio", "prune stale retrieval items and refresh context sources"),
+    "utilization": ("budget utilization", "increase budget or add more context to improve utilization"),
+    "density": ("information density", "compress or summarize low-density items to improve information density"),
+}
+
+
+def trend_class(dimension: Column, trend: Column) -> Column:
+    """improving, degrading, or stable below 0.02."""
+    good_down = F.lit(False)
+    for d, (_, bad) in DIMENSIONS.items():
+        if bad > 0:
+            good_down = good_down | (dimension == d)
+    better = F.when(good_down, trend < 0).otherwise(trend > 0)
+    return F.when(F.abs(trend) < 0.02, "stable").when(better, "improving").otherwise("degrading")
+
+
+def alerts(drifted: DataFrame) -> DataFrame:
+    """The rows of drift() that are not healthy, with message and recommendation."""
+    name, advice = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d, (n, r) in ALERTS.items():
+        name, advice = F.when(F.col("dimension") == d, n).otherwise(name), F.when(F.col("dimension") == d, r).otherwise(advice)
+    critical = F.col("severity") == "critical"
+    moved = F.when(F.col("delta") > 0, "increased").otherwise("decreased")
+    message = F.concat(F.when(critical, "Critical").otherwise("Warning"), F.lit(": "), name, F.lit(" has "), moved, F.lit(" by "), F.format_string("%.3f", F.abs("delta")))
+    return drifted.where("severity <> 'healthy'").withColumns({"message": message, "recommendation": F.concat(F.when(critical, "Immediately ").otherwise("Consider "), advice)})
+
+
+def drift_status(drifted: DataFrame) -> DataFrame:
+    """(stream, ts, obs_id, status, since): the worst severity over the dimensions, and when the present run of drifting observations began."""
+    level = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    rows = drifted.groupBy("stream", "ts", "obs_id").agg(F.max(level).alias("_l"))
+    w = W.partitionBy("stream").orderBy("ts", "obs_id")
+    calm = F.last(F.when(F.col("_l") == 0, F.struct("ts", "obs_id")), ignorenulls=True).over(w)
+    rows = rows.withColumn("_calm", calm)
+    began = F.min(F.when(F.col("_l") > 0, F.col("ts"))).over(W.partitionBy("stream", "_calm"))
+    status = F.when(F.col("_l") == 2, "critical").when(F.col("_l") == 1, "warning").otherwise("healthy")
+    return rows.select("stream", "ts", "obs_id", status.alias("status"), F.when(F.col("_l") > 0, began).alias("since"))
+
+
+def publish(shared: DataFrame, new: DataFrame, now: str, ttl: float | None = None, default: str = "next-pack", most: int = 1000) -> DataFrame:
+    """shared(item_id, source_agent, kind, priority, scope, propagation, entangled_at, expires_at) with new rows added; the newest `most` of all stay.
+
+    new(item_id, source_agent, kind, priority, scope, propagation, expires_in, new_priority):
+    a null scope is for all, a null propagation the default one, expires_in (seconds) null the
+    ttl, and that null never; new_priority replaces the priority where it is given.
+    """
+    at = F.lit(now).cast("timestamp")
+    life = F.coalesce(F.col("expires_in").cast("double"), F.lit(ttl).cast("double"))
+    rows = new.select(
+        "item_id", "source_agent", "kind", F.coalesce("new_priority", "priority").alias("priority"), "scope", F.coalesce("propagation", F.lit(default)).alias("propagation"),
+        at.alias("entangled_at"), F.timestamp_millis((F.unix_millis(at) + life * 1000).cast("long")).alias("expires_at"),
+    )
+    return shared.unionByName(rows).orderBy(F.desc("entangled_at"), F.desc("item_id")).limit(most)
+
+
+def for_agents(items: DataFrame, agents: DataFrame, acks: DataFrame, now: str, packing: bool = True) -> DataFrame:
+    """(agent, item_id): what agents(agent, kinds: null or empty for any) are given of the scoped items(item_id, source_agent, kind, scope, propagation, expires_at).
+
+    Not their own, not expired, of their kinds; when packing, nothing on demand; immediate items
+    not once they are acknowledged. Items for all (null scope) are left to visible(), which does
+    not pair them with every agent.
+    """
+    live = items.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))).where("scope is not null")
+    if packing:
+        live = live.where(F.coalesce("propagation", F.lit("")) != "on-demand")
+    rows = live.select("item_id", "source_agent", "kind", "propagation", F.explode(F.array_distinct("scope")).alias("agent")).where(~F.col("agent").eqNullSafe(F.col("source_agent")))
+    rows = rows.join(agents, "agent").where((F.size(F.coalesce("kinds", F.array().cast("array<string>"))) == 0) | F.coalesce(F.array_contains("kinds", F.col("kind")), F.lit(False)))
+    done = acks.select("agent", "item_id").distinct().withColumn("_done", F.lit(True))
+    rows = rows.join(done, ["agent", "item_id"], "left")
+    return rows.where(~((F.col("propagation") == "immediate") & F.coalesce("_done", F.lit(False)))).select("agent", "item_id")
+
+
+def mesh_stats(shared: DataFrame) -> DataFrame:
+    """(side, agent, items): by source, and by target, where '*' stands for all."""
+    by_source = shared.groupBy(F.col("source_agent").cast("string").alias("agent")).agg(F.count("*").alias("items")).select(F.lit("source").alias("side"), "agent", "items")
+    targets = F.coalesce(F.transform("scope", lambda x: x.cast("string")), F.array(F.lit("*")))
+    by_target = shared.select(F.explode(targets).alias("agent")).groupBy("agent").agg(F.count("*").alias("items")).select(F.lit("target").alias("side"), "agent", "items")
+    return by_source.unionByName(by_target)
+
+
 def decayed(salience: Column, age_seconds: Column, half_life: float) -> Column:
     return salience * F.exp(F.lit(-0.6931471805599453) * age_seconds / F.lit(float(half_life)))
 
@@ -83,19 +168,36 @@ def learned_weight(base: Column, correlation: Column, samples: Column, rate: flo
 
 
 def confidence(samples: Column, variance: Column) -> Column:
-    return (1 - F.exp(-samples / 50.0)) * (1 / (1 + variance))
+    """0 to 1 from the number of outcomes and the population variance of their quality: too little variance teaches little, too much is noise."""
+    v = F.coalesce(variance, F.lit(0.0))
+    factor = F.when(v < 0.01, v / 0.01).when(v > 0.25, F.greatest(F.lit(0.0), 1 - (v - 0.25) / 0.25)).otherwise(1.0)
+    return F.when(samples > 0, F.least(F.greatest((1 - F.exp(-samples / 50.0)) * factor, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
-def route(requests: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Cheapest tier(model, max_tokens, cost, max_complexity) that is enough for requests(request_id, complexity, tokens), else the dearest.
+def route(requests: DataFrame, tiers: list[tuple], default: str | None = None) -> DataFrame:
+    """requests(request_id, complexity, tokens, needs) with model, alternative and cost_delta.
 
-    Tiers are a handful of configuration rows.
+    tiers: (model, max_tokens, cost, max_complexity, capabilities) of the configuration. The
+    cheapest tier that is enough and has all that `needs` names (null: nothing) is chosen, else
+    the default one, else the dearest; the alternative is the next dearer tier. An expression
+    over the tiers, so nothing is joined.
     """
-    best = tiers.agg(F.max_by("model", "cost").alias("_dearest"))
-    fits = (F.col("max_complexity") >= F.col("complexity")) & (F.col("max_tokens") >= F.col("tokens"))
-    pairs = requests.join(F.broadcast(tiers), fits, "left")
-    chosen = pairs.groupBy("request_id").agg(F.min_by("model", F.struct("cost", "model")).alias("model"))
-    return chosen.join(F.broadcast(best)).select("request_id", F.coalesce("model", "_dearest").alias("model"))
+    ranked = sorted(tiers, key=lambda t: t[2])
+    needs = F.coalesce("needs", F.array().cast("array<string>"))
+    fallback = next((i for i, t in enumerate(ranked) if t[0] == default), len(ranked) - 1)
+    at = F.lit(fallback)
+    for i in range(len(ranked) - 1, -1, -1):
+        _, most, _, hardest, has = ranked[i]
+        able = F.size(F.array_except(needs, F.array(*[F.lit(x) for x in has]).cast("array<string>"))) == 0
+        at = F.when((F.col("complexity") <= hardest) & (F.col("tokens") <= most) & able, F.lit(i)).otherwise(at)
+
+    def pick(values, kind):
+        return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_at"))
+
+    models, costs = [t[0] for t in ranked], [t[2] for t in ranked]
+    gaps = [round((b - a) * 10000) / 10000 for a, b in zip(costs, costs[1:], strict=False)]
+    out = requests.withColumn("_at", at)
+    return out.select("request_id", pick(models, "string").alias("model"), pick([*models[1:], None], "string").alias("alternative"), pick([*gaps, None], "double").alias("cost_delta"))
 
 
 def ready(issues: DataFrame, deps: DataFrame, now: str) -> DataFrame:
@@ -106,18 +208,47 @@ def ready(issues: DataFrame, deps: DataFrame, now: str) -> DataFrame:
     return live.join(blocked, "issue_id", "left_anti")
 
 
-def depth(edges: DataFrame, nodes: DataFrame, cap: int = 10) -> DataFrame:
-    """(node, depth): longest chain of dependencies, counted to `cap`; a cycle stops counting there.
+def depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, depth): edges on the longest chain of dependencies from a node that visits no node twice, and the step back into a cycle.
 
-    One join a step on the shrinking frontier of (node, reached) pairs.
+    A dependency that is no node counts as one step. Chains without a cycle are followed level
+    by level, from the nodes that need nothing upwards: a node is settled once all it needs is,
+    so each edge is joined once, and there is no cap. Nodes on or above a cycle are what is
+    left; only they are walked with the nodes visited so far, as their paths have to be.
     """
-    step = edges.select("node", F.col("needs").alias("at")).distinct()
-    reach, out = step.withColumn("d", F.lit(1)), nodes.select("node", F.lit(0).alias("d"))
-    for i in range(1, cap + 1):
-        out = out.unionByName(reach.select("node", "d"))
-        if i < cap:
-            reach = reach.join(step.select(F.col("node").alias("at"), F.col("at").alias("next")), "at").where("next <> node").select("node", F.col("next").alias("at"), F.lit(i + 1).alias("d")).distinct()
-    return out.groupBy("node").agg(F.max("d").alias("depth"))
+    from .scratch import cut
+
+    needs = cut(edges.select("node", F.col("needs").alias("at")).distinct())
+    done = cut(nodes.select("node").join(needs.select("node").distinct(), "node", "left_anti").select("node", F.lit(0).alias("depth")))
+    # what is needed and is no node, or needs nothing, has depth 0
+    leaves = needs.select(F.col("at").alias("node")).distinct().join(needs.select("node").distinct(), "node", "left_anti")
+    known = cut(done.unionByName(leaves.select("node", F.lit(0).alias("depth"))).distinct())
+    left = needs
+    while True:
+        step = left.join(known.select(F.col("node").alias("at"), "depth"), "at", "left")
+        ready = cut(step.groupBy("node").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select("node", (F.col("d") + 1).alias("depth")))
+        if ready.isEmpty():
+            break
+        known = cut(known.unionByName(ready))
+        left = cut(left.join(ready.select("node"), "node", "left_anti"))
+    if not left.isEmpty():
+        # paths among the nodes of cycles and above them
+        best = known.select(F.col("node").alias("at"), "depth")
+        paths = left.select("node", "at", F.array("node").alias("seen"), F.lit(1).alias("d"))
+        found = None
+        while True:
+            ended = F.array_contains("seen", F.col("at"))
+            here = paths.join(best, "at", "left")
+            gains = here.select("node", F.when(ended, F.col("d")).otherwise(F.col("d") + F.coalesce("depth", F.lit(0))).alias("depth"))
+            found = cut(gains if found is None else found.unionByName(gains).groupBy("node").agg(F.max("depth").alias("depth")))
+            paths = cut(
+                here.where(~ended & F.col("depth").isNull()).join(left.select(F.col("node").alias("at"), F.col("at").alias("next")), "at")
+                .select("node", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"), (F.col("d") + 1).alias("d"))
+            )
+            if paths.isEmpty():
+                break
+        known = known.unionByName(found.groupBy("node").agg(F.max("depth").alias("depth")))
+    return nodes.select("node").distinct().join(known, "node").groupBy("node").agg(F.max("depth").cast("int").alias("depth"))
 
 
 def kind_insights(features: DataFrame) -> DataFrame:
@@ -134,6 +265,52 @@ def kind_insights(features: DataFrame) -> DataFrame:
     return both.select("kind", F.col("n").alias("count"), inside.alias("included"), outside.alias("excluded"), (inside - outside).alias("lift"))
 
 
+def router_stats(outcomes: DataFrame) -> DataFrame:
+    """(model, uses, avg_quality, avg_complexity) to three digits."""
+    def three(x):
+        return F.floor(x * 1000 + 0.5) / 1000.0
+
+    return outcomes.groupBy("model").agg(F.count("*").alias("uses"), three(F.avg("quality")).alias("avg_quality"), three(F.avg("complexity")).alias("avg_complexity"))
+
+
+def potential_savings(tiers: list[tuple[str, float]], outcomes: DataFrame, band: float = 0.15, good: float = 0.5) -> DataFrame:
+    """One row: over all outcomes(model, complexity, quality), the cost saved by the cheapest tier(model, cost) that did well near the outcome's complexity.
+
+    Outcomes are first gathered by (model, complexity); with complexities rounded to three
+    digits these are few, so the band join does not grow with the outcomes.
+    """
+    cost = F.lit(None).cast("double")
+    for m, c in tiers:
+        cost = F.when(F.col("model") == m, float(c)).otherwise(cost)
+    cells = outcomes.groupBy("model", "complexity").agg(F.sum("quality").alias("s"), F.count("*").alias("n")).withColumn("cost", cost).where("cost is not null")
+    cheap = cells.select(F.col("model").alias("m"), F.col("complexity").alias("c"), F.col("cost").alias("k"), F.col("s").alias("t"), F.col("n").alias("u"))
+    near = cells.join(cheap, (F.col("k") < F.col("cost")) & (F.abs(F.col("c") - F.col("complexity")) <= band))
+    tried = near.groupBy("model", "complexity", "n", "cost", "m", "k").agg((F.sum("t") / F.sum("u")).alias("q")).where(F.col("q") >= good)
+    best = tried.groupBy("model", "complexity", "n", "cost").agg(F.min("k").alias("k"))
+    return best.agg((F.floor(F.coalesce(F.sum(F.col("n") * (F.col("cost") - F.col("k"))), F.lit(0.0)) * 10000 + 0.5) / 10000.0).alias("savings"))
+
+
+def complexity(quality: DataFrame, items: DataFrame, depths: DataFrame) -> DataFrame:
+    """(pack_id, six dimensions, overall) of items(pack_id, id, kind, content, tokens), with their quality and depths(node, depth)."""
+    from ..functions.text import SCRIPTS
+
+    # What each dimension weighs.
+    weights = {"diversity": 0.25, "density": 0.2, "dependency_depth": 0.2, "tool_calls": 0.15, "multilinguality": 0.1, "average_length": 0.1}
+    text = F.coalesce("content", F.lit(""))
+    rows = items.join(depths.withColumnRenamed("node", "id"), "id", "left")
+    per = rows.groupBy("pack_id").agg(
+        F.max(F.coalesce("depth", F.lit(0))).alias("_d"), F.avg(F.coalesce(F.contains(F.lower("kind"), F.lit("tool")), F.lit(False)).cast("double")).alias("_t"), F.avg("tokens").alias("_l"),
+        sum((F.max(text.rlike(f"[{r}]").cast("int")) for r in SCRIPTS), F.lit(0)).alias("_s"),
+    )
+    out = per.join(quality.select("pack_id", "diversity", "density"), "pack_id").select(
+        "pack_id", "diversity", "density", F.least(F.col("_d") / 10, F.lit(1.0)).alias("dependency_depth"), F.col("_t").alias("tool_calls"),
+        F.greatest(F.least((F.col("_s") - 1) / 4, F.lit(1.0)), F.lit(0.0)).alias("multilinguality"), F.least(F.col("_l") / 2000, F.lit(1.0)).alias("average_length"),
+    )
+    total = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
+    three = {c: F.floor(F.col(c) * 1000 + 0.5) / 1000.0 for c in weights}
+    return out.withColumn("overall", F.floor(total / sum(weights.values()) * 1000 + 0.5) / 1000.0).withColumns(three)
+
+
 def promote(tiers: DataFrame, outcomes: DataFrame, requests: DataFrame, least: int = 20, band: float = 0.15, good: float = 0.5) -> DataFrame:
     """requests(request_id, model, complexity) with `routed`: the next dearer tier where the model's outcomes near that complexity were poor.
 

@@ -23,12 +23,12 @@ def weighted_score() -> Column:
 
 
 def causal_score(base: Column) -> Column:
-    """Base times a factor; the last rule that holds decides."""
+    """Base times a factor: the active task's 2, another task's outcome 1.5, open tasks 1.2, closed ones 0.1, else pinned 2, else 1."""
     return base * (
-        F.when(F.col("issue_status") == "closed", 0.1)
-        .when(F.col("issue_active"), 2.0)
+        F.when(F.col("issue_active"), 2.0)
         .when(F.col("is_outcome"), 1.5)
         .when(F.col("issue_status").isin("open", "in_progress"), 1.2)
+        .when(F.col("issue_status") == "closed", 0.1)
         .when(F.col("pinned"), 2.0)
         .otherwise(1.0)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import cosine, tokens
+from ..functions.text import tokens
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -27,11 +27,65 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     return weighted.withColumn("part", part).join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k nearest by cosine. queries is a stated, small set of vectors."""
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
-    return top(scored, "query_id", "vec_id", k)
+def query_aware(items: DataFrame, asked: DataFrame, weight: float = 0.8) -> DataFrame:
+    """items(id, content, score) with the relevance to one query(query_id, text) in the score: BM25 over all items, squashed, times `weight`."""
+    found = bm25(items.select(F.col("id").alias("doc_id"), F.col("content").alias("text")), asked).select(F.col("doc_id").alias("id"), F.col("score").alias("_r"))
+    r = F.coalesce(F.col("_r") / (F.col("_r") + 1), F.lit(0.0))
+    return items.join(found, "id", "left").withColumn("score", F.col("score") + r * weight).drop("_r")
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 1024, cells: int = 64) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest vectors of each query by cosine, to six digits, ties by vec_id; with `least`, only scores from it up.
+
+    queries(query_id, query) is a stated set, not paired with itself by id. Blocks of queries meet
+    blocks of vectors: a query goes once to each of `cells` blocks of vectors, a vector once to
+    each block of queries, so nothing is broadcast and no pair is a row. A cell is one matrix
+    product, and gives each query its k best there. Vectors whose length differs from the
+    query's, and zero and null ones, score 0.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    number = max(1, math.ceil(queries.count() / block))
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(number)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("j"), F.col("query_id").alias("id"), F.col("query").alias("v"), F.lit(True).alias("asks"))
+    given = vectors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("j"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(False).alias("asks"))
+
+    def unit(rows):
+        width = int(rows.map(lambda x: 0 if x is None else len(x)).max()) if len(rows) else 0
+        size = rows.map(lambda x: 0 if x is None else len(x)).to_numpy()
+        out = np.zeros((len(rows), width))
+        for n, x in enumerate(rows):
+            if size[n]:
+                out[n, : size[n]] = x
+        norm = np.sqrt((out * out).sum(axis=1))
+        return out / np.where(norm == 0, 1, norm)[:, None], size
+
+    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, v = pdf[pdf["asks"]].sort_values("id"), pdf[~pdf["asks"]].sort_values("id")
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(q) or not len(v):
+            return empty
+        (a, m), (b, n) = unit(q["v"]), unit(v["v"])
+        width = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
+        out = []
+        ids = v["id"].to_numpy()
+        for at in range(0, len(q), 256):
+            score = np.floor((a[at : at + 256] @ b.T) * 1e6 + 0.5) / 1e6
+            score[m[at : at + 256][:, None] != n[None, :]] = 0.0
+            for row, own in zip(score, q["id"].to_numpy()[at : at + 256], strict=True):
+                held = ids != own
+                if least is not None:
+                    held &= row >= least
+                there = np.flatnonzero(held)
+                best = there[np.lexsort((ids[there], -row[there]))[:k]]
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": row[best]}))
+        return pd.concat(out) if out else empty
+
+    near = asked.unionByName(given).groupBy("i", "j").applyInPandas(cell, "query_id long, vec_id long, score double")
+    return top(near, "query_id", "vec_id", k)
 
 
 def top(scored: DataFrame, group: str, key: str, k: int) -> DataFrame:

@@ -46,7 +46,7 @@ def score_items(spark, d):
 
 
 @query(f"""with {ITEMS}, s as (select *, case id % 3 when 0 then 'closed' when 1 then 'open' end as st, id % 7 = 0 as act, id % 5 = 0 as outc, id % 13 = 0 as pin from items)
-select id, {r6("score * case when st = 'closed' then 0.1::double when act then 2.0::double when outc then 1.5::double when st in ('open','in_progress') then 1.2::double when pin then 2.0::double else 1.0::double end")} as score from s""")
+select id, {r6("score * case when act then 2.0::double when outc then 1.5::double when st in ('open','in_progress') then 1.2::double when st = 'closed' then 0.1::double when pin then 2.0::double else 1.0::double end")} as score from s""")
 def score_causal(spark, d):
     s = items(spark, d).withColumns(
         {"issue_status": F.when(F.col("id") % 3 == 0, "closed").when(F.col("id") % 3 == 1, "open"), "issue_active": F.col("id") % 7 == 0, "is_outcome": F.col("id") % 5 == 0, "pinned": F.col("id") % 13 == 0}
@@ -163,9 +163,7 @@ top as (select *, row_number() over (partition by query_id order by score desc,
 def _nearest(spark, d, k=10):
     v = table(spark, d, "embeddings")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    pairs = v.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", q6(T.cosine(F.col("embedding"), F.col("query"))).alias("score"))
-    return R.top(scored, "query_id", "vec_id", k)
+    return R.vector_top(v, asked, k)
 
 
 @query(f"with {_VEC} select query_id, vec_id, score, rank::int as rank from top")
@@ -319,8 +317,14 @@ def memory_upsert(spark, d):
 
 
 @query("""with m as (select user_id as session, row_number() over (partition by user_id order by ts, event_id) as k, event_type as id, floor(value)::bigint as tokens from events),
-x as (select session, (k - 1) // 5 as step, (k - 1) % 5 as pos, id || '-' || row_number() over (partition by session, (k - 1) // 5, id order by k) as id, md5(id) as h, tokens from m)
-select n.session, n.step, count(*) filter (p.id is null) as added, count(*) filter (p.id is not null and n.h = p.h) as kept from x n left join x p on p.session = n.session and p.step = n.step - 1 and p.id = n.id where n.step > 0 group by 1, 2""")
+x as (select session, (k - 1) // 5 as step, (k - 1) % 5 as pos, id || '-' || row_number() over (partition by session, (k - 1) // 5, id order by k) as id, md5(id || (tokens // 4)) as h, tokens from m),
+j as (select coalesce(n.session, p.session) as session, coalesce(n.step, p.step + 1) as step, n.pos as np, p.pos as pp, case when p.pos is null then 'added' when n.pos is null then 'removed' when n.h = p.h then 'kept' else 'changed' end as st,
+coalesce(n.tokens, p.tokens) as t, p.tokens as pt from x n full outer join x p on p.session = n.session and p.step = n.step - 1 and p.id = n.id),
+c as (select session, step, count(*) filter (st = 'added') as added, count(*) filter (st = 'removed') as removed, count(*) filter (st = 'changed') as changed, count(*) filter (st = 'kept') as kept,
+coalesce(sum(t) filter (st <> 'kept'), 0)::bigint as delta_tokens, coalesce(sum(pt), 0)::bigint as prev_tokens from j group by 1, 2 having count(np) > 0 and count(pp) > 0),
+q as (select p.session, p.step + 1 as step, p.pos, p.tokens, n.id is not null and n.id = p.id and n.h = p.h as same from x p left join x n on n.session = p.session and n.step = p.step + 1 and n.pos = p.pos),
+u as (select session, step, coalesce(sum(tokens) filter (pos < coalesce(e, 99)), 0)::bigint as reusable_tokens from (select *, min(case when not same then pos end) over (partition by session, step) as e from q) group by 1, 2)
+select c.*, u.reusable_tokens, case when prev_tokens > 0 then floor(u.reusable_tokens / prev_tokens::double * 1000 + 0.5) / 1000.0::double else 0 end as reuse_ratio from c join u using (session, step)""")
 def session_delta(spark, d):
     from pyspark.sql import Window as W
 
@@ -328,8 +332,8 @@ def session_delta(spark, d):
     m = table(spark, d, "events").select(F.col("user_id").alias("session"), "ts", "event_id", "event_type", F.floor("value").alias("tokens"))
     m = m.withColumn("k", F.row_number().over(w.orderBy("ts", "event_id")) - 1).withColumn("step", F.floor(F.col("k") / 5)).withColumn("pos", F.col("k") % 5)
     nth = F.row_number().over(W.partitionBy("session", "step", "event_type").orderBy("k"))
-    m = m.select("session", "step", "pos", F.concat("event_type", F.lit("-"), nth.cast("string")).alias("id"), F.md5("event_type").alias("content_hash"), "tokens")
-    return S.session_delta(m).select("session", "step", "added", "kept")
+    m = m.select("session", "step", "pos", F.concat("event_type", F.lit("-"), nth.cast("string")).alias("id"), F.md5(F.concat("event_type", F.floor(F.col("tokens") / 4).cast("string"))).alias("content_hash"), "tokens")
+    return S.session_delta(m)
 
 
 # memories, monitoring, sharing
@@ -337,10 +341,10 @@ def session_delta(spark, d):
 _DEC = "value * exp(-0.6931471805599453::double * ((epoch_ms(timestamp '2024-02-01') - epoch_ms(ts)) / 1000.0::double) / 2592000.0::double)"
 
 
-@query(f"select event_id, floor({_DEC} * 10000 + 0.5) / 10000.0::double as decayed from events where not (event_id % 3 = 0 and epoch_ms(ts) + 1296000 * 1000 <= epoch_ms(timestamp '2024-02-01')) and {_DEC} >= 5")
+@query(f"select event_id, floor({_DEC} * 1000 + 0.25) / 1000.0::double as decayed from events where not (event_id % 3 = 0 and epoch_ms(ts) + 1296000 * 1000 <= epoch_ms(timestamp '2024-02-01')) and {_DEC} >= 5")
 def memory_recall(spark, d):
     m = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("salience"), F.when(F.col("event_id") % 3 == 0, 1296000).alias("ttl_seconds"))
-    return M.recall(m, NOW, 2592000, 5.0).select("event_id", T.half_up(F.col("decayed"), 4).alias("decayed"))
+    return M.recall(m, NOW, 2592000, 5.0).select("event_id", (F.floor(F.col("decayed") * 1000 + 0.25) / 1000.0).alias("decayed"))
 
 
 @query("select event_id, floor(pow(0.5::double, (epoch_ms(timestamp '2024-02-01') - epoch_ms(ts)) / 1000.0::double / 604800.0::double) * 1000 + 0.5) / 100.0::double as recency from events")
@@ -404,12 +408,17 @@ def learned_weights(spark, d):
     return c.select("dimension", "samples", q6(F.col("correlation")).alias("correlation"), q6(w).alias("weight"))
 
 
-@query(f"""with {ITEMS}, r as (select id, tokens, (id % 100) / 100.0::double as c from items)
-select id as request_id, case when c <= 0.3::double and tokens <= 1000 then 'small' when c <= 0.7::double and tokens <= 4000 then 'medium' when c <= 1.0::double and tokens <= 20000 then 'large' else 'large' end as model from r""")
+TIERS = [("small", 1000, 0.1, 0.3, []), ("medium", 4000, 0.5, 0.7, ["tools"]), ("large", 20000, 2.0, 1.0, ["tools", "vision"])]
+
+
+@query(f"""with {ITEMS}, r as (select id, tokens, (id % 100) / 100.0::double as c, id % 8 = 3 as tools, id % 16 = 5 as vision from items),
+m as (select *, case when c <= 0.3::double and tokens <= 1000 and not tools and not vision then 'small' when c <= 0.7::double and tokens <= 4000 and not vision then 'medium' when c <= 1.0::double and tokens <= 20000 then 'large' else 'medium' end as model from r)
+select id as request_id, model, case model when 'small' then 'medium' when 'medium' then 'large' end as alternative, case model when 'small' then 0.4::double when 'medium' then 1.5::double else -1.0::double end as cost_delta from m""")
 def route_models(spark, d):
-    tiers = spark.createDataFrame([("small", 1000, 0.1, 0.3), ("medium", 4000, 0.5, 0.7), ("large", 20000, 2.0, 1.0)], "model string, max_tokens long, cost double, max_complexity double")
-    r = items(spark, d).select(F.col("id").alias("request_id"), ((F.col("id") % 100) / 100.0).alias("complexity"), "tokens")
-    return M.route(r, tiers)
+    i = F.col("id")
+    needs = F.when(i % 8 == 3, F.array(F.lit("tools"))).when(i % 16 == 5, F.array(F.lit("vision")))
+    r = items(spark, d).select(i.alias("request_id"), ((i % 100) / 100.0).alias("complexity"), "tokens", needs.alias("needs"))
+    return M.route(r, TIERS, default="medium").withColumn("cost_delta", F.coalesce("cost_delta", F.lit(-1.0)))
 
 
 _ISS = """i as (select p_partkey as issue_id, case p_size % 3 when 0 then 'closed' when 1 then 'open' else 'in_progress' end as status from part),
@@ -428,12 +437,26 @@ def ready_issues(spark, d):
     return M.ready(*_issues(spark, d), NOW).select("issue_id")
 
 
-@query("""with recursive n as (select doc_id as node from documents), e as (select doc_id as node, doc_id // 3 as needs from documents where doc_id % 2 = 0 and doc_id > 0),
-r as (select node, 0 as d, node as at from n union all select r.node, r.d + 1, e.needs from r join e on e.node = r.at where r.d < 10) select node, max(d)::int as depth from r group by 1""")
+_DEPS = """n as (select doc_id as node from documents), e as (select distinct node, needs from (select doc_id as node, doc_id // 3 as needs from documents where doc_id % 2 = 0 and doc_id > 0
+union all select doc_id, doc_id + 1 from documents where doc_id % 100 in (50, 51) union all select doc_id, doc_id - 2 from documents where doc_id % 100 = 52 and doc_id > 52 union all select doc_id, -7 from documents where doc_id % 25 = 9)),
+r as (select node, needs as at, [node] as seen, 1 as d from e union all select r.node, e.needs, list_append(r.seen, r.at), r.d + 1 from r join e on e.node = r.at where not list_contains(r.seen, r.at))"""
+
+
+def _needs(docs):
+    """A tree, knots of three nodes on a cycle, and needs that are no node."""
+    i = F.col("node")
+    edges = [docs.where("node % 2 = 0 and node > 0").withColumn("needs", F.floor(i / 3)), docs.where("node % 100 in (50, 51)").withColumn("needs", i + 1)]
+    edges += [docs.where("node % 100 = 52 and node > 52").withColumn("needs", i - 2), docs.where("node % 25 = 9").withColumn("needs", F.lit(-7).cast("long"))]
+    out = edges[0]
+    for x in edges[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query(f"with recursive {_DEPS} select n.node, coalesce(max(d), 0)::int as depth from n left join r on r.node = n.node group by 1")
 def dependency_depth(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
-    e = docs.where("node % 2 = 0 and node > 0").withColumn("needs", F.floor(F.col("node") / 3))
-    return M.depth(e, docs)
+    return M.depth(_needs(docs), docs)
 
 
 # conversations, segments, rules
@@ -470,11 +493,16 @@ def structural_segments(spark, d):
     return C.segments(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "segment", "tokens")
 
 
-@query("""with s as (select c_custkey as signal_id, c_custkey as n, abs(c_acctbal) as bal, 'CASE-' || c_custkey as case_id, 'ACC-' || c_nationkey as account_id from customer)
-select signal_id, case_id, account_id, case when (n % 100) / 100.0::double >= 0.9::double then 'hold' when bal / 10000 >= 0.75::double then 'investigate' when (n % 7) / 7.0::double >= 0.45::double then 'enhanced_due_diligence' else 'clear' end as route from s""")
+@query("""with s as (select c_custkey as signal_id, c_custkey as n, 'CASE-' || c_custkey as case_id, 'ACC-' || c_nationkey as account_id,
+case when c_custkey % 5 <> 0 then (abs(c_acctbal) / 10000)::double else 0.35::double end as a, case when c_custkey % 3 <> 0 then (c_custkey % 100) / 100.0::double else 0.02::double end as m from customer)
+select signal_id, case_id, account_id, case when m >= 0.9::double or n % 17 = 0 then 'freeze_and_sar' when a >= 0.75::double then 'sar_only' when a >= 0.45::double or n % 11 = 0 then 'enhanced_due_diligence' else 'monitor' end as route from s""")
 def aml_cases(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     s = c.select(k.alias("signal_id"), F.concat(F.lit("case-"), k.cast("string"), F.lit(" acc-"), F.col("c_nationkey").cast("string")).alias("text"))
-    facts = c.select(k.alias("signal_id"), ((k % 100) / 100.0).alias("sanctions"), (F.abs("c_acctbal") / 10000).alias("anomaly"), ((k % 7) / 7.0).alias("edd"))
+    # every third has no screening result, every fifth no graph result
+    facts = c.select(
+        k.alias("signal_id"), F.when(k % 3 != 0, (k % 100) / 100.0).alias("sanctions"), (k % 17 == 0).alias("watchlist_hit"),
+        F.when(k % 5 != 0, (F.abs("c_acctbal") / 10000).cast("double")).alias("anomaly"), (k % 11 == 0).alias("high_risk_jurisdiction"),
+    )
     return C.decide_cases(C.extract_cases(s).join(facts, "signal_id")).select("signal_id", "case_id", "account_id", "route")
