@@ -68,10 +68,14 @@ def diagnostics(packed: DataFrame, packs: DataFrame, required: list[tuple[str, s
     return stale.unionByName(rows)
 
 
-def dropped_analysis(decided: DataFrame, high: float = 7.0) -> DataFrame:
-    """(pack_id, kind, dropped, high_priority_dropped) of items that a pack left out."""
+def dropped_analysis(decided: DataFrame, high: float = 7.0, query: list[str] | None = None, least: float = 0.3) -> DataFrame:
+    """(pack_id, kind, dropped, high_priority_dropped, relevant_dropped) of items that a pack left out: priorities above `high`, and items that have more than `least` of the query's keywords."""
+    from ..functions.text import keyword_relevance, keywords
+
     out = decided.where(~F.col("chosen")).groupBy("pack_id", F.coalesce("kind", F.lit("unknown")).alias("kind"))
-    return out.agg(F.count("*").alias("dropped"), F.count_if(F.coalesce("priority", F.lit(0.0)) >= high).alias("high_priority_dropped"))
+    asked = F.array(*[F.lit(w) for w in query or []]).cast("array<string>")
+    relevant = F.count_if(keyword_relevance(asked, keywords(F.col("content"))) > least) if query else F.lit(0).cast("long")
+    return out.agg(F.count("*").alias("dropped"), F.count_if(F.coalesce("priority", F.lit(0.0)) > high).alias("high_priority_dropped"), relevant.alias("relevant_dropped"))
 
 
 def backtest(decided: DataFrame) -> DataFrame:
@@ -83,3 +87,89 @@ def backtest(decided: DataFrame) -> DataFrame:
         F.when(F.max("budget") > 0, F.floor(used / F.max("budget") * 100 + 0.5) / 100.0).otherwise(0.0).alias("budget_usage"),
     )
     return out.withColumn("passed", (F.col("missing_required") == 0) & (F.col("included_disallowed") == 0))
+
+
+def redundant_pairs(packed: DataFrame, num: int = 1, den: int = 2) -> DataFrame:
+    """(pack_id, a, b): packed items whose word sets (words above two characters) overlap by more than num / den."""
+    w = F.array_distinct(F.filter(words(F.col("content")), lambda x: F.length(x) > 2))
+    sets = packed.select(F.col("pack_id").alias("group"), F.col("id").alias("ord"), w.alias("words")).where(F.size("words") > 0)
+    return set_pairs(sets, num, den, strict=True).select(F.col("group").alias("pack_id"), "a", "b")
+
+
+def prune_stale(items: DataFrame, oldest: dict[str, float]) -> DataFrame:
+    """items without those whose recency is below their kind's limit; kinds without a limit stay."""
+    limit = F.lit(None).cast("double")
+    for kind, least in oldest.items():
+        limit = F.when(F.col("kind") == kind, float(least)).otherwise(limit)
+    return items.where(limit.isNull() | (F.coalesce("recency", F.lit(0.0)) >= limit))
+
+
+def drop_duplicates(items: DataFrame, kinds: list[str]) -> DataFrame:
+    """items(pack_id, id, kind, content) without those of the kinds that overlap by more than 4/5 with an earlier kept one of any of them, in id order."""
+    from .retrieval import leaders
+
+    own = items.where(F.col("kind").isin(kinds))
+    w = F.array_distinct(F.filter(words(F.col("content")), lambda x: F.length(x) > 2))
+    sets = own.select(F.col("pack_id").alias("group"), F.col("id").alias("ord"), w.alias("words"))
+    # an item is kept if no kept one before it is linked to it: that is what leads
+    led = leaders(sets.drop("words"), set_pairs(sets.where(F.size("words") > 0), 4, 5, strict=True))
+    gone = led.where("leader <> ord").select(F.col("group").alias("pack_id"), F.col("ord").alias("id"))
+    return items.join(gone, ["pack_id", "id"], "left_anti")
+
+
+def positioned(items: DataFrame, positions: dict[str, str], target: str, prefix: bool = False) -> DataFrame:
+    """items(pack_id, ord, id, kind, priority) with `position`: kinds that go first, then the others as the target reads best, then kinds that go last.
+
+    claude: the better half by priority, then the worse half from the worst up to the middle,
+    reversed; gpt4: by priority; gemini: by kind; else as they come. With `prefix`, those that
+    go first are ordered by id, so that they make the same prefix each time.
+    """
+    from pyspark.sql import Window as W
+
+    zone = F.lit(1)
+    for kind, p in positions.items():
+        zone = F.when(F.col("kind") == kind, {"first": 0, "last": 2}.get(p, 1)).otherwise(zone)
+    rows = items.withColumn("_z", zone)
+    w = W.partitionBy("pack_id", "_z")
+    k = F.row_number().over(w.orderBy(F.coalesce("priority", F.lit(0.0)).desc(), "ord"))
+    n = F.count("*").over(w)
+    rows = rows.withColumn("_k", k).withColumn("_n", n)
+    half = F.ceil(F.col("_n") / 2)
+    middle = {
+        "claude": F.when(F.col("_k") <= half, F.col("_k")).otherwise(half + 1 + F.col("_n") - F.col("_k")),
+        "gpt4": F.col("_k"),
+        "gemini": F.dense_rank().over(w.orderBy(F.coalesce("kind", F.lit("")))),
+    }.get(target, F.lit(0))
+    first = F.dense_rank().over(w.orderBy("id")) if prefix else F.lit(0)
+    at = F.when(F.col("_z") == 1, middle).when(F.col("_z") == 0, first).otherwise(0)
+    rows = rows.withColumn("_m", at)
+    spot = F.row_number().over(W.partitionBy("pack_id").orderBy("_z", "_m", "ord")) - 1
+    return rows.withColumn("position", spot.cast("long")).drop("_z", "_k", "_n", "_m")
+
+
+class Program:
+    """Declared slots and constraints, compiled over packs: stale ones out, duplicates out, slots filled, diagnosed, placed."""
+
+    def __init__(self, target: str = "generic"):
+        self.target, self.slots, self.positions, self.oldest, self.unique, self.required = target, [], {}, {}, [], []
+
+    def slot(self, name: str, kind: str | None, most: int, *, position: str = "any", max_staleness: float | None = None, deduplicate: bool = False, required: bool = False) -> Program:
+        self.slots.append((name, kind, most))
+        if kind is not None:
+            self.positions[kind] = position
+            if max_staleness is not None:
+                self.oldest[kind] = max_staleness
+            if deduplicate:
+                self.unique.append(kind)
+            if required:
+                self.required.append((name, kind))
+        return self
+
+    def compile(self, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the chosen items with slot and position, the diagnostics)."""
+        left = prune_stale(items, self.oldest)
+        if self.unique:
+            left = drop_duplicates(left, self.unique)
+        chosen = fill_slots(left, self.slots).where("chosen")
+        found = diagnostics(chosen, items.groupBy("pack_id").agg(F.max("budget").alias("budget")), self.required)
+        return positioned(chosen, self.positions, self.target, prefix=True), found

@@ -9,15 +9,20 @@ from pyspark.sql import Window as W
 from ..functions.text import tokens
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def spaced(text) -> F.Column:
+    """Lower-cased words between white space, as the framework's index splits them."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, tokenize=tokens) -> DataFrame:
     """(query_id, doc_id, score) of matching pairs, for docs(doc_id, text) and queries(query_id, text).
 
     Term frequencies are reduced to the queries' terms before anything is joined by document;
     repeated query terms count repeatedly.
     """
-    sized = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    sized = docs.select("doc_id", tokenize(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     terms = asked.select("term").distinct()
     tf = sized.select("doc_id", "len", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -135,27 +140,149 @@ def empty_links(sets: DataFrame) -> DataFrame:
     return empty.join(least, "group").where("a < b").select("group", "a", "b")
 
 
+def classes(sets: DataFrame) -> DataFrame:
+    """sets(group, ord, words) with `rep`: the least ord of those of the group with the same words. Equal sets are counted as one before anything is paired."""
+    key = F.sha2(F.to_json(F.array_sort("words")), 256)
+    keyed = sets.withColumn("_key", key)
+    least = keyed.groupBy("group", "_key").agg(F.min("ord").alias("rep"))
+    return keyed.join(least, ["group", "_key"]).drop("_key")
+
+
+def class_pairs(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of sets(group, ord, words): links (group, a, b) between representatives at Jaccard num / den or above, and each set's representative (group, ord, rep).
+
+    Copies are no pairs, so their number is free; empty sets are one class.
+    """
+    known = classes(sets)
+    reps = known.where("ord = rep").select("group", "ord", "words")
+    return set_pairs(reps, num, den), known.select("group", "ord", "rep")
+
+
 def leaders(items: DataFrame, edges: DataFrame) -> DataFrame:
     """items(group, ord) with `leader`: in ord order, an item joins the first leader that it is linked to, or leads.
 
-    Only linked items are resolved in order, each group's edges by one fold; all others lead.
+    Round by round, all items without an open smaller neighbour lead, and their larger neighbours
+    follow; a round is two joins over the edges still open, on all groups at once. The number of
+    rounds is that of the longest chain of items that wait for one another.
     """
+    from .scratch import cut
+
+    every = cut(edges.select("group", "a", "b").where("a < b").distinct())
+    open_, followers = every, None
+    while not open_.isEmpty():
+        waits = open_.select("group", F.col("b").alias("a")).distinct()
+        lead = cut(open_.select("group", "a").distinct().join(waits, ["group", "a"], "left_anti"))
+        gone = cut(open_.join(lead, ["group", "a"], "left_semi").select("group", F.col("b").alias("a")).distinct())
+        followers = gone if followers is None else cut(followers.unionByName(gone))
+        left = open_.join(lead.unionByName(gone), ["group", "a"], "left_anti")
+        open_ = cut(left.join(gone.withColumnRenamed("a", "b"), ["group", "b"], "left_anti").select("group", "a", "b"))
+    if followers is None:
+        return items.withColumn("leader", F.col("ord"))
+    led = every.join(followers, ["group", "a"], "left_anti").groupBy("group", F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
+    return items.join(led, ["group", "ord"], "left").withColumn("leader", F.coalesce("leader", "ord"))
+
+
+def survivors(items: DataFrame, num: int = 4, den: int = 5, by: str = "recent") -> DataFrame:
+    """Of items(group, ord, words, priority, recency) one for each cluster: the most recent (or, by "priority", the most important), the other figure and then ord deciding ties."""
+    links, members = class_pairs(items.select("group", "ord", "words"), num, den)
+    reps = members.where("ord = rep").select("group", "ord")
+    led = members.join(leaders(reps, links).withColumnsRenamed({"ord": "rep"}), ["group", "rep"]).select("group", "ord", "leader")
+    figures = ["recency", "priority"] if by == "recent" else ["priority", "recency"]
+    order = F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in figures], (-F.col("ord")).alias("o"))
+    best = items.join(led, ["group", "ord"]).groupBy("group", "leader").agg(F.max_by("ord", order).alias("ord"))
+    return items.join(best.select("group", "ord"), ["group", "ord"], "left_semi")
+
+
+def vector_links(vectors: DataFrame, threshold: float, cells: int = 64) -> DataFrame:
+    """(group, a, b) of vectors(group, ord, embedding) with a cosine of at least `threshold`, a < b; equal vectors are linked as a star to their least.
+
+    Vectors are dealt into blocks by hash; each pair of blocks is one matrix product. Zero and
+    null vectors are linked with nothing.
+    """
+    import numpy as np
     import pandas as pd
 
-    def resolve(pdf):
-        to = {}
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            to.setdefault(b, []).append(a)
-        lead, out = {}, []
-        for o in sorted(set(pdf["a"]) | set(pdf["b"])):
-            own = [a for a in to.get(o, ()) if lead[a] == a]
-            lead[o] = min(own) if own else o
-            out.append((pdf["group"].iloc[0], o, lead[o]))
-        return pd.DataFrame(out, columns=["group", "ord", "leader"])
-
-    schema = items.select("group", "ord", F.col("ord").alias("leader")).schema
-    led = edges.groupBy("group").applyInPandas(resolve, schema)
-    return items.join(led, ["group", "ord"], "left").withColumn("leader", F.coalesce("leader", "ord"))
+    known = vectors.where("embedding is not null").withColumn("_key", F.sha2(F.to_json("embedding"), 256))
+    least = known.groupBy("group", "_key").agg(F.min("ord").alias("rep"))
+    copies = known.join(least, ["group", "_key"]).where("ord > rep and " + "exists(embedding, x -> x <> 0)").select("group", F.col("rep").alias("a"), F.col("ord").alias("b"))
+    reps = known.join(least, ["group", "_key"]).where("ord = rep").select("group", "ord", "embedding")
+    own = F.pmod(F.xxhash64("ord"), F.lit(cells)).cast("int")
+    dealt = reps.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    dealt = dealt.select("group", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "ord", "embedding").distinct()
+
+    def cell(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        x, y = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
+        out = []
+        for width in set(x["embedding"].map(len)) & set(y["embedding"].map(len)):
+            p, q = (f[f["embedding"].map(len) == width] for f in (x, y))
+            a, b = (np.stack(f["embedding"].to_numpy()).astype(float) for f in (p, q))
+            a, b = (m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None] for m in (a, b))
+            u, v = p["ord"].to_numpy(), q["ord"].to_numpy()
+            for at in range(0, len(a), 512):
+                r, c = np.nonzero(a[at : at + 512] @ b.T >= threshold)
+                keep = (u[at + r] < v[c]) if i == j else u[at + r] != v[c]
+                out.append(pd.DataFrame({"a": np.minimum(u[at + r], v[c])[keep], "b": np.maximum(u[at + r], v[c])[keep]}))
+        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found.insert(0, "group", key[0])
+        return found
+
+    schema = reps.select("group", F.col("ord").alias("a"), F.col("ord").alias("b")).schema
+    return dealt.groupBy("group", "i", "j").applyInPandas(cell, schema).unionByName(copies)
+
+
+def gain_filter(candidates: DataFrame, context: DataFrame, least: float = 0.1, neutral: float = 0.5) -> DataFrame:
+    """candidates(query_id, id, words, ...) with novelty and gain, of those whose gain reaches `least`.
+
+    Novelty is 1 less the largest Jaccard with context(ctx, words); the relevance is `neutral`,
+    unless the candidates have a column of it.
+    """
+    gains = information_gain(candidates.select("id", "words").distinct(), context).select("id", "novelty")
+    relevance = F.col("relevance") if "relevance" in candidates.columns else F.lit(neutral)
+    return candidates.join(gains, "id").withColumn("gain", F.col("novelty") * 0.6 + relevance * 0.4).where(F.col("gain") >= least)
+
+
+def retrieve(candidates: DataFrame, context: DataFrame, budget: int, least: float = 0.1, by_gain: bool = True) -> DataFrame:
+    """candidates(query_id, id, rank, words, tokens) filtered by gain and taken, best gain first (or in rank order), as far as they fit the budget."""
+    from .packing import greedy
+
+    kept = gain_filter(candidates, context, least)
+    offered = kept.withColumn("score", F.col("gain") if by_gain else F.lit(0.0)).withColumn("recency", F.lit(0.0)).withColumn("ord", F.col("rank")).withColumn("budget", F.lit(budget).cast("long"))
+    return greedy(offered, ["query_id"]).where("chosen").select("query_id", "id", "rank", "tokens", "gain")
+
+
+def hybrid_ranks(vector_ranked: DataFrame, text_scored: DataFrame, weights: tuple[float, float] = (0.6, 0.4), k: int = 60) -> DataFrame:
+    """(query_id, id, rank): candidates vector_ranked(query_id, id, rank) by weighted reciprocal ranks with their text score; one without a text score ranks behind all candidates."""
+    n = W.partitionBy("query_id")
+    text = text_scored.join(vector_ranked.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    text = text.select("query_id", "id", F.row_number().over(n.orderBy(F.col("score").desc(), "id")).alias("_t"))
+    both = vector_ranked.withColumn("_n", F.count("*").over(n)).join(text, ["query_id", "id"], "left")
+    fused = F.lit(weights[0]) / (F.col("rank") + k) + F.lit(weights[1]) / (F.coalesce("_t", F.col("_n") + 1) + k)
+    return both.select("query_id", "id", F.row_number().over(n.orderBy(fused.desc(), "rank")).alias("rank"))
+
+
+def adapter_score(distance, metric: str):
+    """A score from a store's distance: l2 to 1 / (1 + d), cosine to 1 - d, ip to -d."""
+    if metric not in ("l2", "cosine", "ip"):
+        raise ValueError(f"no metric {metric}")
+    return {"l2": 1 / (1 + distance), "cosine": 1 - distance, "ip": -distance}[metric]
+
+
+class Retrievers:
+    """Retrievers by name: functions of queries(query_id, text) that give (query_id, id, score)."""
+
+    def __init__(self):
+        self._known = {}
+
+    def register(self, name: str, retriever) -> None:
+        self._known[name] = retriever
+
+    def ingest(self, name: str, queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
+        """The k best documents(id, ...) of each query, with retrieval_score and rank."""
+        if name not in self._known:
+            raise ValueError(f"no retriever {name}")
+        best = top(self._known[name](queries), "query_id", "id", k).withColumnRenamed("score", "retrieval_score")
+        return documents.join(best, "id")
 
 
 def ranking_metrics(ranked: DataFrame, k: int) -> DataFrame:

@@ -204,18 +204,22 @@ def _word_sets(spark, d):
     return table(spark, d, "documents").select(F.lit(0).alias("group"), F.col("doc_id").alias("ord"), T.word_set(F.col("text")).alias("words"))
 
 
-@query(rf"""with s as (select doc_id, {_SET.format('text')} as w from documents), x as (select doc_id, unnest(w) as t, len(w) as n from s),
+@query(rf"""with s as (select doc_id, list_sort({_SET.format('text')}) as w from documents), r as (select doc_id, w, min(doc_id) over (partition by w) as rep from s),
+x as (select doc_id, unnest(w) as t, len(w) as n from r where doc_id = rep),
 p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from x a join x b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2)
-select a, b from p where i * 5 >= (na + nb - i) * 4""")
+select 'link' as kind, a, b from p where i * 5 >= (na + nb - i) * 4 union all select 'copy', rep, doc_id from r where doc_id <> rep""")
 def jaccard_pairs(spark, d):
-    return R.set_pairs(_word_sets(spark, d), 4, 5).select("a", "b")
+    """Links between representatives, the least documents of each word set, and the copies of each."""
+    links, members = R.class_pairs(_word_sets(spark, d), 4, 5)
+    copies = members.where("ord <> rep").select(F.lit("copy").alias("kind"), F.col("rep").alias("a"), F.col("ord").alias("b"))
+    return links.select(F.lit("link").alias("kind"), "a", "b").unionByName(copies)
 
 
 @query()
 def leader_clusters(spark, d):
-    sets = _word_sets(spark, d)
-    links = R.set_pairs(sets, 4, 5).unionByName(R.empty_links(sets))
-    return R.leaders(sets.drop("words"), links).select(F.col("ord").alias("doc_id"), "leader")
+    links, members = R.class_pairs(_word_sets(spark, d), 4, 5)
+    led = R.leaders(members.where("ord = rep").select("group", "ord"), links)
+    return members.join(led.select("group", F.col("ord").alias("rep"), "leader"), ["group", "rep"]).select(F.col("ord").alias("doc_id"), "leader")
 
 
 # quality

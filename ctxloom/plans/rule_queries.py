@@ -48,9 +48,10 @@ def _decided(spark, d, content=False):
     return P.greedy(items(spark, d, content=content), ["pack_id"])
 
 
-@query(f"with recursive {_G} select pack_id, coalesce(kind, 'unknown') as kind, count(*) as dropped, count(*) filter (priority >= 7) as high_priority_dropped from g where not chosen group by 1, 2")
+@query(rf"""with recursive {_G} select pack_id, coalesce(kind, 'unknown') as kind, count(*) as dropped, count(*) filter (priority > 7) as high_priority_dropped,
+count(*) filter (len(list_intersect(['thon', 'erer', 'zzz'], list_distinct(regexp_extract_all(lower(content), '([\p{{L}}\p{{N}}]+)', 1)))) >= 1) as relevant_dropped from g where not chosen group by 1, 2""")
 def dropped_items(spark, d):
-    return K.dropped_analysis(_decided(spark, d))
+    return K.dropped_analysis(_decided(spark, d, content=True), query=["thon", "erer", "zzz"])
 
 
 @query(f"""with recursive {_G} select pack_id, count(*) filter (id % 50 = 1 and not chosen) as missing_required, count(*) filter (id % 50 = 2 and chosen) as included_disallowed,
