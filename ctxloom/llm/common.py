@@ -122,22 +122,24 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return out
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, block: int = 50_000) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, spread: Column | None = None, block: int = 50_000) -> DataFrame:
     """Add `name`: 0, 1, 2, ... within each group, without a task that holds a group.
 
-    Equal rows are counted first, so a row that the table repeats is one row here, and a hot
-    one no burden. Rows are dealt into hash blocks of about `block` rows; a block's offset is
-    the number of rows in the blocks before it. The order follows (block, order columns), which
-    must tell different rows apart; equal rows are interchangeable.
+    Rows follow `spread`, a hash of 0 to 2**32 - 1 (by default of the order columns), and then
+    the order columns, which must tell different rows apart, nulls first; so the ranks are the
+    same at every size. Equal rows are interchangeable: they are counted first, so a row that
+    the table repeats is one row here, and a hot one no burden. Rows are dealt into ranges of
+    the hash, of about `block` rows; a range's offset is the number of rows before it.
     """
+    low = F.xxhash64(*order).bitwiseAND(F.lit(2**32 - 1)) if spread is None else spread
     counted = materialize(df.groupBy(*df.columns).agg(F.count("*").alias("_m")), "counted")
     kinds, most = counted.agg(F.count("*"), F.max("_m")).first()
     n = max(1, math.ceil(kinds / block))
-    dealt = counted.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(n)))
+    dealt = counted.withColumn("_h", low).withColumn("_block", F.floor(F.col("_h") * F.lit(n) / F.lit(2.0**32)))
     counts = dealt.groupBy(*group, "_block").agg(F.sum("_m").alias("_n"))
     before = W.partitionBy(*group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = W.partitionBy(*group, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*group, "_block").orderBy("_h", *order).rowsBetween(W.unboundedPreceding, -1)
     ranked = dealt.withColumn("_at", F.coalesce(F.sum("_m").over(inside), F.lit(0)))
     # groups are never null here: callers deal rows into numbered shards or buckets
     placed = ranked.join(offsets, [*group, "_block"]).select(*df.columns, "_m", (F.col("_from") + F.col("_at")).alias("_first"))

@@ -277,3 +277,16 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     stays = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "number")).alias("s")).select("s.number")
     gone = found.select("number").join(stays, "number", "left_anti")
     return rows.join(_few(gone), "number", "left_anti").select("row.*")
+
+
+def sql(width: int, percent: int) -> str:
+    """The rows of near_duplicates() in SQL: all pairs of different sets that share a shingle."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_sort(list_distinct(case when len(w) >= {width} then list_transform(range(1, len(w) - {width - 2}), lambda i: {shingle}) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from w),
+k as (select doc_id, s, case when len(s) > 0 then min(doc_id) over (partition by s) else doc_id end as rep from s),
+x as (select doc_id, unnest(s) as t, len(s) as n from k where doc_id = rep),
+p as (select a.doc_id as a, b.doc_id as b from x a join x b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2 having 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+e as (select a, b from p union all select b, a from p), r as (select a as rep, a as node from e union select r.rep, e.b from r join e on e.a = r.node),
+c as (select rep, min(node) as lo from r group by 1)
+select doc_id, len(s)::bigint as n_shingles, coalesce(lo, k.rep) as component_id, doc_id = coalesce(lo, k.rep) as kept from k left join c on c.rep = k.rep"""

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from .common import table
-from . import fingerprints
+from . import fingerprints, minhash, sharding
 from .importance import resample
 from .language_id import identify
-from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
 from .quality_rules import judge
-from .sharding import shard_documents
 from .suffix_dedup import removal_report
 from .toxicity import score_toxicity
 
 
 def op1_minhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op2_mixing(spark, sf_dir):
@@ -53,7 +51,7 @@ def op9_language_id(spark, sf_dir):
 
 
 def op10_sharding(spark, sf_dir):
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = (
@@ -75,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_fingerprints": fingerprints.SQL}
+    return {"op1_minhash": minhash.sql(3, 85), "op7_fingerprints": fingerprints.SQL, "op10_sharding": sharding.SQL}
