@@ -84,9 +84,9 @@ def reassembled_messages(spark, d):
     return C.reassembled(t, C.digests(t))
 
 
-@query(f"with recursive {_G} select pack_id, coalesce(max(priority) filter (chosen), 0)::double as best, 'I abstain: insufficient evidence to answer.' as message from g group by 1 having coalesce(max(priority) filter (chosen), 0) < 9")
+@query(f"with recursive {ITEMS}, sm as (select * exclude (budget), 90::bigint as budget from items), {sql_greedy('sm', 'pack_id')} select pack_id, coalesce(max(priority) filter (chosen), 0)::double as best, 'I abstain: insufficient evidence to answer.' as message from g group by 1 having coalesce(max(priority) filter (chosen), 0) < 9")
 def abstentions(spark, d):
-    p = P.greedy(items(spark, d), ["pack_id"])
+    p = P.greedy(items(spark, d).withColumn("budget", F.lit(90).cast("long")), ["pack_id"])
     return C.abstentions(p.where("chosen"), p.select("pack_id").distinct(), least=9.0)
 
 
@@ -98,8 +98,8 @@ def handoff_items(spark, d):
 
 # retrieval
 
-_CTX = f"""c as (select doc_id, list_distinct({_TOK.format('text')}) as w from documents where doc_id % 50 = 0), dw as (select doc_id as id, list_distinct({_TOK.format('text')}) as w, {sql_tokens('text')} as tokens from documents),
-nv as (select dw.id, greatest(0, 1 - max(len(list_intersect(dw.w, c.w)) / nullif(len(dw.w) + len(c.w) - len(list_intersect(dw.w, c.w)), 0)::double)) as novelty from dw, c group by 1)"""
+_CTX = f"""cx as (select doc_id, list_distinct({_TOK.format('text')}) as w from documents where doc_id % 50 = 0), dw as (select doc_id as id, list_distinct({_TOK.format('text')}) as w, {sql_tokens('text')} as tokens from documents),
+nv as (select dw.id, greatest(0, 1 - max(len(list_intersect(dw.w, cx.w)) / nullif(len(dw.w) + len(cx.w) - len(list_intersect(dw.w, cx.w)), 0)::double)) as novelty from dw, cx group by 1)"""
 
 
 def _candidates(spark, d, k):
@@ -122,10 +122,10 @@ def retrieve_by_gain(spark, d):
 # compiler
 
 @query(rf"""with recursive {_G}, x as (select pack_id, id, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda y: length(y) > 2)) as w from g where chosen),
-p as (select a.pack_id, a.id as a, b.id as b, len(list_intersect(a.w, b.w)) as i, len(a.w) as m, len(b.w) as n from x a join x b on a.pack_id = b.pack_id and a.id < b.id) select pack_id, a, b from p where i > 0 and i * 4 > (m + n - i)""")
+p as (select a.pack_id, a.id as a, b.id as b, len(list_intersect(a.w, b.w)) as i, len(a.w) as m, len(b.w) as n from x a join x b on a.pack_id = b.pack_id and a.id < b.id) select pack_id, a, b from p where i > 0 and i * 12 > (m + n - i)""")
 def redundant_pairs(spark, d):
     p = P.greedy(items(spark, d, content=True), ["pack_id"]).where("chosen")
-    return K.redundant_pairs(p, 1, 4)
+    return K.redundant_pairs(p, 1, 12)
 
 
 @query(f"with {ITEMS} select pack_id, id from items where case kind when 'memory' then recency >= 3 when 'system' then recency >= 7 else true end")
