@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,8 +72,6 @@ def bpe_tokens(text: Column, encoding) -> Column:
 
     The encoding is the caller's: without one, estimate_tokens() is the fallback.
     """
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(lambda t: len(encoding.encode_ordinary(t)) if t.strip() else 0)

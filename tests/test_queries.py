@@ -106,10 +106,15 @@ def test_leaders_follow_input_order(spark):
     assert sorted((r["ord"], r["leader"]) for r in R.leaders(items, edges).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
 
 
-def test_cycle_depth_is_capped(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 1)], "node long, needs long")
-    got = M.depth(edges, edges.select("node"), 3).collect()
-    assert all(r["depth"] <= 3 for r in got)
+def test_depth_ends_where_a_cycle_closes(spark):
+    """No cap: a cycle's last step counts, chains of any length do, and needs that are no node are one step."""
+    def depths(edges, nodes):
+        e = spark.createDataFrame(edges, "node long, needs long")
+        return {r["node"]: r["depth"] for r in M.depth(e, spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
+
+    assert depths([(1, 2), (2, 1)], [1, 2]) == {1: 2, 2: 2}
+    assert depths([(0, 1), (1, 2), (2, 3), (3, 1)], [0])[0] == 4
+    assert depths([(i, i + 1) for i in range(14)] + [(7, 99)], range(14)) == {i: 14 - i for i in range(14)}
 
 
 def test_diff_pairs_duplicates(spark):
@@ -173,7 +178,7 @@ def test_leader_clusters_keep_documents_without_words(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["leader"] for r in L.leader_clusters(spark, str(tmp_path)).collect()}
     assert got == leaders_by_hand(texts) == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2, 6: 6, 7: 2}
-    assert [(r["a"], r["b"]) for r in L.jaccard_pairs(spark, str(tmp_path)).collect()] == [(1, 4)]
+    assert sorted(map(tuple, L.jaccard_pairs(spark, str(tmp_path)).collect())) == [("copy", 1, 4), ("copy", 2, 3), ("copy", 2, 5), ("copy", 2, 7)]
 
 
 def test_items_for_all_reach_the_operator(spark):
