@@ -79,3 +79,11 @@ def unseen(tasks: DataFrame, seen: DataFrame, now: str, ttl: int) -> DataFrame:
     live = seen.where(F.unix_millis("at") + ttl * 1000 > at).select("key").distinct()
     first = tasks.withColumn("_k", F.row_number().over(W.partitionBy("key").orderBy("ord"))).where("_k = 1").drop("_k")
     return first.join(live, "key", "left_anti")
+
+
+def bridged(memories: DataFrame, now: str, half_life: float = 3600.0, priority: float = 5.0, kind: str = "memory") -> DataFrame:
+    """memories(id, content, created_at, salience) as items: recency from 10 down by half lives, salience 1 where there is none."""
+    from .monitoring import bridge_recency
+
+    age = (F.unix_millis(F.lit(now).cast("timestamp")) - F.unix_millis("created_at")) / 1000.0
+    return memories.select("id", "content", F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), bridge_recency(age, half_life).alias("recency"), F.coalesce("salience", F.lit(1.0)).alias("salience"))

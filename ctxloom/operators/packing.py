@@ -118,6 +118,13 @@ def trace(decided: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def variant_trace(decided: DataFrame, group: list[str]) -> DataFrame:
+    """greedy_variants() with step and reason: fits_budget, compressed_to_fit or over_budget."""
+    step = F.row_number().over(W.partitionBy(*group).orderBy(F.col("score").desc(), F.col("recency").desc(), "ord"))
+    reason = F.when(F.col("decision") == "include", "fits_budget").when(F.col("decision") == "compress", "compressed_to_fit").otherwise("over_budget")
+    return decided.withColumn("step", step.cast("long")).withColumn("reason", reason)
+
+
 def without_superseded(items: DataFrame) -> DataFrame:
     """Items that no item of the pack supersedes."""
     gone = items.where("supersedes is not null").select("pack_id", F.col("supersedes").alias("id")).distinct()
@@ -177,8 +184,15 @@ def allocate(items: DataFrame, packs: DataFrame, kinds: list[tuple[str, float, i
     return own.join(marks, ["pack_id", "ord"], "left").withColumn("chosen", F.coalesce("_c", F.lit(False))).drop("_c")
 
 
-def volatility(kind: Column, static: list[str], session: list[str]) -> Column:
-    return F.when(F.lower(kind).isin(static), "static").when(F.lower(kind).isin(session), "session").otherwise("request")
+def volatility(kind: Column, static: list[str], session: list[str], given: Column | None = None) -> Column:
+    """static, session or request by kind; what an item says itself (`given`, if it is one of the three) goes first."""
+    by_kind = F.when(F.lower(kind).isin(static), "static").when(F.lower(kind).isin(session), "session").otherwise("request")
+    return by_kind if given is None else F.when(given.isin("static", "session", "request"), given).otherwise(by_kind)
+
+
+# The kinds of each class; all others are of requests.
+STATIC = ["system", "tool", "schema", "example", "instruction", "few-shot"]
+SESSION = ["memory", "conversation", "history", "session"]
 
 
 def by_volatility(items: DataFrame) -> DataFrame:
@@ -206,6 +220,12 @@ ATTENTION = {
 }
 
 
+def place_by_score(items: DataFrame) -> DataFrame:
+    """items(pack_id, ord, score) with `position`: best first."""
+    w = W.partitionBy("pack_id").orderBy(F.col("score").desc(), "ord")
+    return items.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+
+
 def place(items: DataFrame, profile: str = "default") -> DataFrame:
     """items(pack_id, ord, score) with `position`: the k-th best item at the position of k-th most attention.
 

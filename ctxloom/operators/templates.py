@@ -50,3 +50,28 @@ def system_and_turns(messages: DataFrame) -> DataFrame:
     system = F.array_join(F.transform(F.filter("m", lambda x: x["role"] == "system"), lambda x: x["content"]), "\n\n")
     turns = F.transform(F.filter("m", lambda x: x["role"] != "system"), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     return out.select("pack_id", system.alias("system"), turns.alias("messages"))
+
+
+def role_tokens(messages: DataFrame) -> DataFrame:
+    """Per pack of to_messages(): tokens in all and by role."""
+    roles = ("system", "user", "assistant")
+    return messages.groupBy("pack_id").agg(F.sum("tokens").alias("total_tokens"), *[F.coalesce(F.sum(F.when(F.col("role") == r, F.col("tokens"))), F.lit(0)).alias(f"{r}_tokens") for r in roles])
+
+
+def flat_messages(messages: DataFrame) -> DataFrame:
+    """(pack_id, position, role, content): each message on its own, the system's ones too, in order."""
+    from pyspark.sql import Window as W
+
+    at = F.row_number().over(W.partitionBy("pack_id").orderBy("section", "first")) - 1
+    return messages.select("pack_id", at.alias("position"), "role", "content")
+
+
+def with_turns(turns: DataFrame, messages: DataFrame) -> DataFrame:
+    """(pack_id, position, role, content): the turns(pack_id, turn, role, text) of a conversation first, tools as the user, then the messages of its items."""
+    from pyspark.sql import Window as W
+
+    role = F.when(F.col("role") == "tool", "user").otherwise(F.col("role"))
+    said = turns.select("pack_id", F.lit(0).alias("_p"), F.lit(0).alias("_s"), F.col("turn").cast("long").alias("_f"), role.alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    rows = said.unionByName(messages.select("pack_id", F.lit(1).alias("_p"), F.col("section").alias("_s"), F.col("first").cast("long").alias("_f"), "role", "content"))
+    at = F.row_number().over(W.partitionBy("pack_id").orderBy("_p", "_s", "_f")) - 1
+    return rows.select("pack_id", at.alias("position"), "role", "content")

@@ -11,6 +11,7 @@ from ..operators import issues as B
 from ..operators import packing as P
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import templates as E
 from .model import ITEMS, NOW, items, sql_greedy, sql_tokens, table
 from .queries import _TOK, _VEC, q6, r6
 from .registry import query
@@ -96,6 +97,52 @@ def handoff_items(spark, d):
     return C.import_handoffs(made).withColumn("source_agent", F.lit("a1")).select("source_agent", "pack_id", "budget", "ord", "id", "tokens")
 
 
+_MSG = f"""s(kind, role, o, m, prefix) as (values {', '.join(f"('{k}', '{r}', {o}, {m}, '{p.strip()}' || case when '{p.strip()}' <> '' then chr(10) else '' end)" for k, r, o, m, p in E.SECTIONS)}),
+z as (select g.pack_id, coalesce(o, 999) as section, coalesce(role, 'user') as role, case when not coalesce(m, false) then ord end as own, ord, tokens, coalesce(prefix, '') || coalesce(content, '') as content from g left join s on s.kind = g.kind where chosen),
+y as (select pack_id, section, role, min(ord) as first, string_agg(content, chr(10) || chr(10) order by ord) as content, sum(tokens)::bigint as tokens from z group by pack_id, section, role, own)"""
+
+
+def _messages(spark, d):
+    return E.to_messages(P.greedy(items(spark, d, content=True), ["pack_id"]).where("chosen"))
+
+
+@query(f"with recursive {_G}, {_MSG} select pack_id, coalesce(string_agg(content, chr(10) || chr(10) order by section, first) filter (role = 'system'), '') as system, count(*) filter (role <> 'system')::int as turns, coalesce(string_agg(role || ': ' || content, chr(10) order by section, first) filter (role <> 'system'), '') as said from y group by 1")
+def system_messages(spark, d):
+    m = E.system_and_turns(_messages(spark, d))
+    return m.select("pack_id", "system", F.size("messages").alias("turns"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(": "), x["content"])), "\n").alias("said"))
+
+
+@query(f"with recursive {_G}, {_MSG} select pack_id, sum(tokens)::bigint as total_tokens, coalesce(sum(tokens) filter (role = 'system'), 0)::bigint as system_tokens, coalesce(sum(tokens) filter (role = 'user'), 0)::bigint as user_tokens, coalesce(sum(tokens) filter (role = 'assistant'), 0)::bigint as assistant_tokens from y group by 1")
+def message_tokens(spark, d):
+    return E.role_tokens(_messages(spark, d))
+
+
+@query(f"""with recursive {_G}, {_MSG}, c as (select 'src' || (conv_id % 20) as pack_id, turn + 1000 * conv_id as t, case when role = 'tool' then 'user' else role end as role, coalesce(text, '') as content from conversations),
+u as (select pack_id, 0 as p, 0 as s, t as f, role, content from c union all select pack_id, 1, section, first, role, content from y) select pack_id, row_number() over (partition by pack_id order by p, s, f)::int - 1 as position, role, content from u""")
+def compiled_messages(spark, d):
+    t = table(spark, d, "conversations")
+    said = t.select(F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("pack_id"), (F.col("turn") + 1000 * F.col("conv_id")).alias("turn"), "role", "text")
+    return E.with_turns(said, _messages(spark, d))
+
+
+@query(f"with {_T} select conv_id, sum(tokens)::bigint as total_tokens, greatest(300 - sum(tokens), 0)::bigint as remaining from t group by 1")
+def budget_usage(spark, d):
+    return Q.conversation_usage(_turns(spark, d), 300).select("conv_id", "total_tokens", F.col("remaining").cast("long").alias("remaining"))
+
+
+_SPACED = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> '')"
+
+
+@query(f"""with t as (select doc_id, {_SPACED.format('text')} as t from documents), sz as (select doc_id, len(t) as n from t), st as (select count(*) as nd, avg(n) as av from sz), q as (select item_id as query_id, unnest({_SPACED.format('text')}) as term from benchmark),
+qt as (select query_id, term, count(*) as times from q group by 1, 2), tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from t) where term in (select term from qt) group by 1, 2), df as (select term, count(*) as df from tf group by 1),
+bm as (select qt.query_id, tf.doc_id, sum(times * ln((nd - df + 0.5::double) / (df + 0.5::double) + 1) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * n / av))) as score from tf join df on tf.term = df.term join sz on tf.doc_id = sz.doc_id cross join st join qt on qt.term = tf.term group by 1, 2)
+select query_id, doc_id, {r6('score')} as score from bm qualify row_number() over (partition by query_id order by floor(score * 1000000 + 0.5) desc, doc_id) <= 5""")
+def bm25_spaced(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scored = R.bm25(table(spark, d, "documents"), asked, k1=1.5, tokenize=R.spaced).withColumn("score", q6(F.col("score")))
+    return R.top(scored, "query_id", "doc_id", 5).select("query_id", "doc_id", "score")
+
+
 # retrieval
 
 _CTX = f"""cx as (select doc_id, list_distinct({_TOK.format('text')}) as w from documents where doc_id % 50 = 0), dw as (select doc_id as id, list_distinct({_TOK.format('text')}) as w, {sql_tokens('text')} as tokens from documents),

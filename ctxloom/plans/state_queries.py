@@ -12,8 +12,8 @@ from ..operators import packing as P
 from ..operators import quality as Q
 from ..operators import sets as S
 from .model import ITEMS, NOW, items, sql_greedy, table
-from .queries import q6, r6
-from .registry import query
+from .queries import _DEPS, _needs, q6, r6
+from .registry import oracle_sql, query
 
 # memories
 
@@ -204,6 +204,25 @@ def potential_savings(spark, d):
     return s.select((F.floor(F.col("savings") * 1000 + 0.5) / 1000.0).alias("savings"))
 
 
+_SCR = " + ".join(f"max(regexp_matches(coalesce(content, ''), '[{r}]')::int)" for r in T.SCRIPTS)
+
+
+@query(f"""with recursive q as ({oracle_sql()['quality_metrics']}), {ITEMS}, {_DEPS}, dd as (select node, max(d) as d from r group by 1),
+p as (select i.pack_id, least(max(coalesce(d, 0)) / 10.0::double, 1) as dp, avg(case when contains(lower(kind), 'tool') then 1.0::double else 0.0::double end) as tc, greatest(least(({_SCR} - 1) / 4.0::double, 1), 0) as ml, least(avg(tokens) / 2000.0::double, 1) as al
+from items i left join dd on dd.node = i.id group by 1)
+select p.pack_id, diversity, density, floor(dp * 1000 + 0.5) / 1000.0::double as dependency_depth, floor(tc * 1000 + 0.5) / 1000.0::double as tool_calls, floor(ml * 1000 + 0.5) / 1000.0::double as multilinguality, floor(al * 1000 + 0.5) / 1000.0::double as average_length,
+floor((diversity * 0.25::double + density * 0.2::double + dp * 0.2::double + tc * 0.15::double + ml * 0.1::double + al * 0.1::double) * 1000 + 0.5) / 1000.0::double as overall from p join q on q.pack_id = p.pack_id""")
+def pack_complexity(spark, d):
+    i = items(spark, d, content=True)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
+    return M.complexity(Q.analyze(i), i, M.depth(_needs(docs), docs))
+
+
+@query("select event_id as id, 'memory' as kind, 5.0::double as priority, floor(pow(0.5::double, (epoch_ms(timestamp '2024-02-01') - epoch_ms(ts)) / 1000.0::double / 604800.0::double) * 1000 + 0.5) / 100.0::double as recency, floor(coalesce(case when event_id % 4 <> 0 then value / 100 end, 1) * 10000 + 0.5) / 10000.0::double as salience from events")
+def memory_items(spark, d):
+    return Y.bridged(_memories(spark, d), NOW, 604800.0).select("id", "kind", "priority", "recency", T.half_up(F.col("salience"), 4).alias("salience"))
+
+
 # replay and comparison
 
 _REPLAY = f"""{sql_greedy('items', 'pack_id', 'a')}, v as (select i.* exclude (budget), 3000::bigint as budget from items i), {sql_greedy('v', 'pack_id', 'b')}"""
