@@ -7,7 +7,7 @@ documents.
 
 from __future__ import annotations
 
-from ctxloom.llm.common import materialize, table
+from ctxloom.llm.common import mark, materialize, release, release_since, table
 from ctxloom.llm.minhash import drop_near_duplicates
 from ctxloom.llm.mixing import mix_documents
 from ctxloom.llm.packing import pack
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over documents. What a stage wrote on its way goes once its result is on disk, and that once the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        point = mark()
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        release_since(point, kept)
+        if i:
+            release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
