@@ -64,6 +64,15 @@ def test_pipeline_of_an_empty_table(spark, labels, tmp_path):
         assert docs.count() == 0 and (name == "packing" or "text" in docs.columns)
 
 
+def test_pipeline_runs_and_leaves_only_what_is_read(spark):
+    import corpus_pipeline
+
+    point = common.mark()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = [path.rsplit("/", 1)[1].split("-")[0] for _, path in common._written[point:]]
+    assert out.count() > 0 and sorted(left) == ["counted", "lengths", "source_mixing"]
+
+
 def test_materialized_files_go_when_released(spark):
     import os
 
