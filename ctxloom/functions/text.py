@@ -258,3 +258,37 @@ def protected_zones(text: Column, entities: list[str] = ()) -> Column:
 def safe_cut(zones: Column, at: Column) -> Column:
     """Whether a cut before the `at`-th character (from 0) falls into none of protected_zones()."""
     return ~F.exists(zones, lambda z: (z["start"] < at) & (at < z["end"]))
+
+
+def hash64(text: Column) -> Column:
+    """Two 32-bit hashes of the characters end to end in base 36: by 31, and FNV-1a. Characters are code points."""
+    codes = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    low = F.lit(_LOW)
+    first = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(low))
+    second = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193).cast("long")).bitwiseAND(low))
+    return F.lower(F.concat(*[F.conv(h.cast("string"), 10, 36) for h in (first, second)]))
+
+
+def alphabetical(text: Column) -> Column:
+    """A key that sorts as dictionaries do, not by code points."""
+    return F.collate(text, "UNICODE")
+
+
+# What words of a candidate count for and against it, and what makes its context urgent.
+FOR = {"contain": 0.22, "targeted": 0.14, "rollback": 0.18, "monitor": 0.1, "idempotency": 0.2, "isolate": 0.18, "priority": 0.12, "safe": 0.2}
+AGAINST = {"delay": 0.35, "wait": 0.3, "monitor-only": 0.5}
+URGENT = ["critical", "incident", "compromise", "containment", "outage", "fraud", "patient safety"]
+
+
+def candidate_score(candidate: Column, context: Column) -> Column:
+    """From 0.5: a word for the candidate counts, half as much again if the context has it too; a word against it counts in an urgent context; 0 at least."""
+    c, x = F.lower(candidate), F.lower(context)
+    urgent = F.lit(False)
+    for w in URGENT:
+        urgent = urgent | F.contains(x, F.lit(w))
+    score = F.lit(0.5)
+    for w, k in FOR.items():
+        score = score + F.when(F.contains(c, F.lit(w)), F.when(F.contains(x, F.lit(w)), k * 1.5).otherwise(k)).otherwise(0.0)
+    for w, k in AGAINST.items():
+        score = score - F.when(F.contains(c, F.lit(w)) & urgent, k).otherwise(0.0)
+    return F.greatest(F.lit(0.0), score)

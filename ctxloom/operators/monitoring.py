@@ -326,3 +326,16 @@ def promote(tiers: DataFrame, outcomes: DataFrame, requests: DataFrame, least: i
     out = requests.join(seen, ["model", "complexity"], "left").join(total, "model", "left").join(F.broadcast(ranked), "model", "left")
     poor = (F.coalesce("n", F.lit(0)) >= least) & (F.col("q") < good)
     return out.select("request_id", "model", F.when(poor, F.coalesce("dearer", "model")).otherwise(F.col("model")).alias("routed"))
+
+
+def fall_back(routed: DataFrame, least: float, retries: int = 1) -> DataFrame:
+    """routed(request_id, model, alternative, quality, retry_qualities) with final_model, attempts and fell_back.
+
+    `quality` is that of the model's own answer, retry_qualities those of the alternative's
+    answers in turn, as the caller has measured them. A model without alternative stays.
+    """
+    stays = (F.col("quality") >= least) | F.col("alternative").isNull()
+    tried = F.slice(F.coalesce("retry_qualities", F.array().cast("array<double>")), 1, retries)
+    good = F.array_position(F.transform(tried, lambda q: q >= least), F.lit(True))
+    attempts = F.when(stays, 1).otherwise(1 + F.when(good > 0, good).otherwise(retries))
+    return routed.withColumns({"final_model": F.when(stays, F.col("model")).otherwise(F.col("alternative")), "attempts": attempts.cast("long"), "fell_back": ~stays})

@@ -374,3 +374,40 @@ def linear_recency(at: str, group: list[str]) -> Column:
     w = W.partitionBy(*group)
     low, high = F.min(at).over(w), F.max(at).over(w)
     return F.when(high > low, (F.col(at) - low) / (high - low)).otherwise(1.0)
+
+
+def build_context(items: DataFrame, recent: int = 12) -> DataFrame:
+    """items(pack_id, ord, kind, pinned, text, at, importance, relevance, budget) with phase, taken_tokens and the text taken.
+
+    In turn: system items by ord and pinned ones by importance and time, each cut to what is left
+    if it does not fit; the `recent` newest messages; all others by relevance, importance and
+    recency. A phase starts with what the ones before it left; in the first two everything is
+    taken up to the first item that is cut, and nothing after it. Tokens are quarters of a character.
+    """
+    from ..functions.text import estimate_chars, truncated
+
+    w = W.partitionBy("pack_id")
+    message = F.col("kind") == "message"
+    back = F.row_number().over(W.partitionBy("pack_id", message).orderBy(F.col("at").desc(), "ord"))
+    phase = F.when(F.col("kind") == "system", 0).when(F.coalesce("pinned", F.lit(False)), 1).when(message & (back <= recent), 2).otherwise(3)
+    rows = items.withColumn("tokens", estimate_chars(F.col("text"))).withColumn("phase", phase)
+    left = rows.groupBy("pack_id").agg(F.max("budget").cast("long").alias("_left"))
+    done = None
+    for p in range(4):
+        own = rows.where(F.col("phase") == p).drop("budget").join(left, "pack_id")
+        if p < 2:
+            order = ["ord"] if p == 0 else [F.coalesce("importance", F.lit(0.0)).desc(), F.col("at").desc(), "ord"]
+            before = F.coalesce(F.sum("tokens").over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+            room = F.greatest(F.col("_left") - before, F.lit(0))
+            got = own.withColumn("_room", room).withColumn("_text", F.when(F.col("_room") > 0, truncated(F.col("text"), F.col("_room"))))
+            got = got.withColumn("taken_tokens", F.when(F.col("_text").isNotNull(), F.least("tokens", "_room"))).drop("_room", "_left")
+        else:
+            low, high = F.min("at").over(w), F.max("at").over(w)
+            age = F.when(high > low, (F.col("at") - low) / (high - low)).otherwise(1.0)
+            score_ = F.col("at").cast("double") if p == 2 else manager_score(F.coalesce("relevance", F.lit(0.0)), F.coalesce("importance", F.lit(0.0)), age)
+            packed = greedy(own.withColumn("score", score_).withColumn("recency", F.col("at").cast("double")).withColumnRenamed("_left", "budget"), ["pack_id"])
+            got = packed.withColumn("_text", F.when(F.col("chosen"), F.col("text"))).withColumn("taken_tokens", F.when(F.col("chosen"), F.col("tokens"))).drop("chosen", "score", "recency", "budget")
+        used = got.groupBy("pack_id").agg(F.coalesce(F.sum("taken_tokens"), F.lit(0)).alias("_u"))
+        left = left.join(used, "pack_id", "left").select("pack_id", (F.col("_left") - F.coalesce("_u", F.lit(0))).cast("long").alias("_left"))
+        done = got if done is None else done.unionByName(got)
+    return done.withColumn("text", F.col("_text")).drop("_text")

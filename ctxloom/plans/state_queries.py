@@ -223,6 +223,14 @@ def memory_items(spark, d):
     return Y.bridged(_memories(spark, d), NOW, 604800.0).select("id", "kind", "priority", "recency", T.half_up(F.col("salience"), 4).alias("salience"))
 
 
+@query("""with r as (select o_orderkey, o_orderkey % 100 / 100.0::double as q, case when o_orderkey % 6 <> 0 then 'large' end as alt, [o_custkey % 100 / 100.0::double, (o_custkey + 37) % 100 / 100.0::double] as t from orders)
+select o_orderkey, case when q >= 0.6::double or alt is null then 'small' else alt end as final_model, case when q >= 0.6::double or alt is null then 1 when t[1] >= 0.6::double then 2 else 3 end::bigint as attempts, not (q >= 0.6::double or alt is null) as fell_back from r""")
+def fallback_routes(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, d, "orders").select("o_orderkey", F.lit("small").alias("model"), F.when(k % 6 != 0, "large").alias("alternative"), (k % 100 / 100.0).alias("quality"), F.array(c % 100 / 100.0, (c + 37) % 100 / 100.0).alias("retry_qualities"))
+    return M.fall_back(rows, 0.6, retries=2).select("o_orderkey", "final_model", "attempts", "fell_back")
+
+
 # replay and comparison
 
 _REPLAY = f"""{sql_greedy('items', 'pack_id', 'a')}, v as (select i.* exclude (budget), 3000::bigint as budget from items i), {sql_greedy('v', 'pack_id', 'b')}"""

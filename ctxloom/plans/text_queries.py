@@ -82,3 +82,31 @@ or contains(lower(text), 'refactor') or contains(lower(text), 'summarize everyth
 def adaptive_budgets(spark, d):
     depth = F.when(F.col("turn") % 9 == 8, "exhaustive")
     return table(spark, d, "conversations").select("conv_id", "turn", T.adaptive_budget(F.col("text"), depth).alias("budget"))
+
+
+_CODES = "list_transform(string_split(url, ''), lambda x: unicode(x)::bigint)"
+
+
+@query(f"""select page_id, lower(to_base(list_reduce(list_prepend(0::bigint, {_CODES}), lambda h, c: (h * 31 + c) % 4294967296), 36)
+|| to_base(list_reduce(list_prepend(2166136261::bigint, {_CODES}), lambda h, c: (xor(h, c) * 16777619) % 4294967296), 36)) as hash from pages""")
+def url_hashes(spark, d):
+    return table(spark, d, "pages").select("page_id", T.hash64(F.col("url")).alias("hash"))
+
+
+_CAND = ["Contain the host", "monitor-only and wait", "targeted rollback", "safe isolate with priority", "Delay"]
+_SCEN = ["critical incident: isolate and contain", "a calm day to monitor"]
+
+
+def _sql_candidates():
+    c, x = "lower(c)", "lower(x)"
+    urgent = " or ".join(f"contains({x}, '{w}')" for w in T.URGENT)
+    plus = " + ".join(f"case when contains({c}, '{w}') then case when contains({x}, '{w}') then {k * 1.5}::double else {k}::double end else 0::double end" for w, k in T.FOR.items())
+    minus = " - ".join(f"case when contains({c}, '{w}') and ({urgent}) then {k}::double else 0::double end" for w, k in T.AGAINST.items())
+    return f"with r as (select o_orderkey, {_CAND}[o_orderkey % 5 + 1] as c, {_SCEN}[o_orderkey % 2 + 1] as x from orders) select o_orderkey, {r6(f'greatest(0, 0.5::double + {plus} - {minus})')} as score from r"
+
+
+@query(_sql_candidates())
+def candidate_scores(spark, d):
+    k = F.col("o_orderkey")
+    pick = [F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int")) for values in (_CAND, _SCEN)]
+    return table(spark, d, "orders").select("o_orderkey", q6(T.candidate_score(*pick)).alias("score"))

@@ -157,6 +157,24 @@ def test_pack_of_distinct_items_and_mesh(spark):
     assert got == {1: (False, False), 2: (True, False), 3: (True, True)}
 
 
+def test_context_is_built_in_phases(spark):
+    rows = [
+        (0, "system", False, "s" * 40, 0, 0.0, 0.0), (1, "doc", True, "p" * 40, 5, 0.9, 0.0), (2, "doc", True, "q" * 400, 6, 0.5, 0.0), (3, "message", False, "m" * 8, 9, 0.0, 0.0), (4, "doc", False, "d" * 8, 1, 0.0, 1.0),
+    ]
+    def taken(budget):
+        df = spark.createDataFrame(rows, "ord long, kind string, pinned boolean, text string, at long, importance double, relevance double").withColumns({"pack_id": F.lit(1), "budget": F.lit(budget)})
+        return {r["ord"]: r["taken_tokens"] for r in P.build_context(df).collect() if r["taken_tokens"] is not None}
+
+    assert taken(200) == {0: 10, 1: 10, 2: 100, 3: 2, 4: 2}
+    assert taken(30) == {0: 10, 1: 10, 2: 10}
+    assert taken(5) == {0: 5}
+
+
+def test_dictionary_order(spark):
+    df = spark.createDataFrame([("b",), ("B",), ("a",), ("é",), ("f",)], "t string")
+    assert [r["t"] for r in df.orderBy(T.alphabetical(F.col("t"))).collect()] == ["a", "b", "B", "é", "f"]
+
+
 def test_quality_gate_drops_the_least_score_until_it_passes(spark):
     same = "alpha beta gamma delta epsilon zeta eta theta"
     rows = [(0, same, 10, 9.0, 5.0), (1, same, 10, 9.0, 1.0), (2, same, 10, 9.0, 1.0), (3, "one totally different line of other words here", 10, 9.0, 4.0)]
