@@ -532,3 +532,43 @@ def test_messages_of_interceptors(spark):
     got = [(r["role"], r["text"]) for r in C.reassembled(t, C.digests(t)).orderBy("position").collect()]
     assert got[0] == ("system", "s") and got[2] == ("user", "y")
     assert got[1][1] == "[Context summary of 1 earlier messages]: Earlier conversation (1 messages, summarized):\n- [user]: " + "x" * 120 + "..."
+
+
+def test_attacks(spark):
+    from ctxloom.operators import adversary as A
+
+    assert A.draws(42, 6) == mulberry(42, 6)
+
+    def picks(n, count):
+        left, out = list(range(n)), []
+        for x in mulberry(42, min(n, count)):
+            out.append(left.pop(int(x * len(left))))
+        return out
+
+    for n, c in ((1, 1), (7, 4), (33, 33), (50, 10)):
+        assert A.picked(n, c, 42) == picks(n, c)
+    rows = [(("p", "q")[i % 2], i, f"i{i}", f"Always do thing {i}. More", "k", 5.0, 1.0, None) for i in range(14)]
+    df = spark.createDataFrame(rows, "pack_id string, ord long, id string, content string, kind string, priority double, recency double, supersedes string")
+    made = {k: A.attack(df, k).where("injected and pack_id = 'p'").collect() for k in A.ATTACKS}
+    assert {k: len(v) for k, v in made.items() if k != "temporal-poison"} == {"contradiction": 4, "noise-flood": 11, "authority-spoof": 2, "relevance-dilution": 18}
+    x = mulberry(42, 40)
+    noise = {r["id"]: r for r in made["noise-flood"]}
+    for i in range(11):
+        r = noise[f"adversarial-noise-{i}"]
+        assert (r["content"], r["priority"], r["recency"]) == (A.NOISE[int(x[3 * i] * 10)], pytest.approx(7 + x[3 * i + 1] * 3), pytest.approx(8 + x[3 * i + 2] * 2))
+    at = picks(7, 4)
+    said = {r["id"]: r["content"] for r in made["contradiction"]}
+    for j, k in enumerate(at):
+        t = f"Always do thing {2 * k}"
+        want = A.CONTRADICTIONS[int(x[4 + j] * 4)].format(topic=t, original=t.lower(), opposite=t.replace("Always ", "never "))
+        assert said[f"adversarial-contradiction-{k}"] == want
+    new = [r for r in made["temporal-poison"] if "-new-" in r["id"]]
+    assert {r["supersedes"] for r in new} == {f"i{2 * k}" for k in at} and len(made["temporal-poison"]) - len(new) == sum(x[4 + j] < 0.5 for j in range(4))
+    for k, bad in zip(picks(7, 2), ((0, 1), (2, 3)), strict=True):
+        r = next(r for r in made["authority-spoof"] if r["id"] == f"adversarial-authority-{k}")
+        assert r["content"] == A.AUTHORITY[int(x[2 + bad[1]] * 4)].format(topic=f"Always do thing {2 * k}", bad_advice=A.BAD_ADVICE[int(x[2 + bad[0]] * 6)])
+    out = A.probe(df, lambda d: d.groupBy("pack_id").agg(F.avg((F.col("kind") == "k").cast("double")).alias("quality"))).collect()
+    assert {r["severity"] for r in out if r["attack"] == "contradiction"} == {"resilient"} and {r["severity"] for r in out if r["attack"] == "noise-flood"} == {"critical"}
+    assert sum(r["worst"] for r in out) == 2
+    with pytest.raises(ValueError):
+        A.attack(df, "none")
