@@ -33,8 +33,8 @@ _DOWN = np.ones(1, np.uint64)
 _SALT = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 #: Text bytes that one index holds, unless a single hash has more.
 INDEX_BYTES = 1 << 20
-#: Different text bytes of one hash beyond which its stretches are cut again by longer strings.
-HOT_BYTES = 1 << 18
+#: Different text bytes of one hash beyond which its stretches are cut again by longer strings: more than an index holds.
+HOT_BYTES = INDEX_BYTES
 BROADCAST_IDS = 1_000_000
 
 
@@ -375,8 +375,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     longer = sorted({x for x in (length // 2, 3 * length // 4, length) if x > gram})
     found = _marks(bodies, length, longer)
 
+    # texts that several rows share are marked whole already
+    several = copied.select("text_key")
+    if several.count() <= BROADCAST_IDS:
+        several = F.broadcast(several)
     often = kinds.where("n > 1").select("anchor", "content")
-    whole = cut.join(often, ["anchor", "content"], "left_semi").select(
+    whole = cut.join(several, "text_key", "left_anti").join(often, ["anchor", "content"], "left_semi").select(
         "text_key", F.col("start").cast("long").alias("from"), (F.col("start") + F.col("windows") + length - 1).cast("long").alias("to")
     )
     for more in found:
