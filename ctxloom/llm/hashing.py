@@ -58,11 +58,11 @@ def slices(batches, budget: int = 1 << 21) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hash of each word, the row that it is in, and the byte at which it starts."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash of each word, the row that it is in, and the byte at which it starts; `space` flags the bytes between words."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
     rows = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash, sharding
+from . import exact_search, fingerprints, lexical_search, minhash, sharding, spelling
 from .common import table
 from .importance import resample
 from .language_id import identify
@@ -54,6 +54,18 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark, sf_dir):
+    return lexical_search.search_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_search(spark, sf_dir):
+    return exact_search.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = (
     op1_minhash,
     op2_mixing,
@@ -65,6 +77,9 @@ QUERIES = (
     op8_quality_rules,
     op9_language_id,
     op10_sharding,
+    op11_spelling,
+    op12_lexical_search,
+    op13_exact_search,
 )
 
 
@@ -73,4 +88,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash": minhash.sql(3, 85), "op7_fingerprints": fingerprints.SQL, "op10_sharding": sharding.SQL}
+    return {
+        "op1_minhash": minhash.sql(3, 85),
+        "op7_fingerprints": fingerprints.SQL,
+        "op10_sharding": sharding.SQL,
+        "op11_spelling": spelling.SQL,
+        "op12_lexical_search": lexical_search.SQL,
+        "op13_exact_search": exact_search.SQL,
+    }

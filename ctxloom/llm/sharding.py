@@ -114,6 +114,14 @@ def _crc_table() -> list[int]:
     return out
 
 
+def crc_sql(text: str) -> str:
+    """SQL of the unsigned CRC-32 of the UTF-8 bytes of a text expression, by half bytes."""
+    size = f"octet_length(encode({text}))"
+    digits = f"list_transform(string_split(hex(encode({text})), ''), lambda x: instr('0123456789ABCDEF', x) - 1)"
+    return f"""case when {size} = 0 then 0::bigint else xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, 2 * {size}), lambda i: {digits}[case when i % 2 = 0 then i + 2 else i end]::bigint)),
+lambda a, x: xor(a >> 4, {_crc_table()}[(xor(a, x) & 15) + 1])), 4294967295::bigint) end"""
+
+
 #: The same rows in SQL: the checksum by half bytes, the jumps one a step.
 SQL = f"""with recursive d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, md5(coalesce(doc_id::varchar, '')) as m from documents),
 c as (select r, doc_id, m, t, octet_length(encode(t)) as n, list_transform(string_split(hex(encode(t)), ''), lambda x: instr('0123456789ABCDEF', x) - 1) as h from d),
