@@ -188,8 +188,10 @@ class Shard:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         ends = np.append(edges[1:], self.number)
-        least, got, take = 1, none, 4 * k
+        least, got, reach = 1, none, 4 * k
         while len(order):
+            # so many intervals as hold about `reach` documents
+            take = int(np.searchsorted(np.cumsum((ends - edges)[order]), reach)) + 1
             chosen, order = np.sort(order[:take]), order[take:]
             score = np.zeros(self.number, np.int64)
             for t, w in zip(lists, weights, strict=True):
@@ -207,7 +209,7 @@ class Shard:
                 docs, score = docs[score >= least], score[score >= least]
             got = docs, score
             order = order[bound[order] >= least]
-            take *= 2
+            reach *= 2
         return got
 
 

@@ -142,25 +142,25 @@ def _first_place(a: str, b: str, mask_a: int, mask_b: int) -> int:
 
 
 def _pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of places in `rows` (role, place, block, word, n, mask) of one cell that are one edit apart."""
+    """Pairs of positions in `rows` (role, place, block, cross, word, n, mask) of one cell that are one edit apart."""
     role, place, block = (np.array([r[i] for r in rows]) for i in range(3))
-    masks = np.array([r[5] for r in rows], np.int64).view(np.uint64)
+    masks = np.array([r[6] for r in rows], np.int64).view(np.uint64)
     found = []
     same = role[0] == SAME
     left = np.arange(len(rows)) if same else np.flatnonzero(role == SHORT)
     right = left if same else np.flatnonzero(role == LONG)
-    split = block.min() != block.max()
+    cross = rows[0][3]
     for begin in range(0, len(left), 512):
         at = left[begin : begin + 512]
         near = np.bitwise_count(masks[at][:, None] ^ masks[right]) <= (2 if same else 1)
         near &= place[at][:, None] == place[right]
         if same:
             near &= at[:, None] < right
-        if split:  # inside a block, pairs are its own cell's
+        if cross:  # pairs inside a block are its own cell's
             near &= block[at][:, None] != block[right]
         for i, j in zip(*np.nonzero(near), strict=True):
             x, y = rows[at[i]], rows[right[j]]
-            if one_edit(x[3], y[3]) and _first_place(x[3], y[3], int(masks[at[i]]), int(masks[right[j]])) == x[1]:
+            if one_edit(x[4], y[4]) and _first_place(x[4], y[4], int(masks[at[i]]), int(masks[right[j]])) == x[1]:
                 found.append((at[i], right[j]))
     return found
 
@@ -171,11 +171,11 @@ def _near(batches):
     def out(rows):
         pairs = _pairs(rows) if len(rows) > 1 else []
         both = [(rows[i], rows[j]) for i, j in pairs] + [(rows[j], rows[i]) for i, j in pairs]
-        return pa.RecordBatch.from_arrays([pa.array([x[3] for x, _ in both], pa.string()), pa.array([y[3] for _, y in both], pa.string()), pa.array([y[4] for _, y in both], pa.int64())], ["word", "near", "near_n"])
+        return pa.RecordBatch.from_arrays([pa.array([x[4] for x, _ in both], pa.string()), pa.array([y[4] for _, y in both], pa.string()), pa.array([y[5] for _, y in both], pa.int64())], ["word", "near", "near_n"])
 
     rows, cell = [], None
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("cell", "role", "place", "block", "word", "n", "mask")), strict=True):
+        for r in zip(*(b.column(c).to_pylist() for c in ("cell", "role", "place", "block", "cross", "word", "n", "mask")), strict=True):
             if rows and r[0] != cell:
                 yield out(rows)
                 rows = []
@@ -191,7 +191,8 @@ def near_words(words: DataFrame) -> DataFrame:
     full = places.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("role") == SHORT).alias("short")).where("size > 1 and (short = 0 or short < size)")
     met = places.join(full.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key")
     dealt = met.withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.withColumn("cell", F.xxhash64("key", F.least("block", "_o"), F.greatest("block", "_o"))).select("cell", "role", "place", "block", "word", "n", "mask")
+    cells = dealt.withColumn("cell", F.xxhash64("key", F.least("block", "_o"), F.greatest("block", "_o"))).withColumn("cross", F.col("block") != F.col("_o"))
+    cells = cells.select("cell", "role", "place", "block", "cross", "word", "n", "mask")
     found = materialize(cells.repartition("cell").sortWithinPartitions("cell", "word").mapInArrow(_near, "word string, near string, near_n long"), "near")
     release(places)
     return found
