@@ -69,14 +69,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Least hash, first window start, number of windows, and whether the hash occurs again inside, for each stretch."""
+def stretches(data: np.ndarray, length: int, gram: int, look: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least hash, first window start, number of windows, and (if `look`) whether the hash occurs again inside, for each stretch."""
     hashes = gram_hashes(data, gram)
     least = sliding_min(hashes, length - gram + 1)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     start = np.concatenate([[0], cut])
     count = np.diff(np.append(start, len(least)))
     key = least[start]
+    if not look:
+        return key, start, count, np.zeros(len(start), bool)
     again = np.array([np.count_nonzero(hashes[s : s + c + length - gram] == k) > 1 for s, c, k in zip(start, count, key, strict=True)], bool)
     return key, start, count, again
 
@@ -237,8 +239,6 @@ def _mark(length: int):
                 if size >= INDEX_BYTES and r[0] != anchor:
                     yield index(rows)
                     rows, size = [], 0
-                if rows and rows[-1][:3] == r[:3]:  # a row that the table repeats
-                    continue
                 rows.append(r)
                 size += len(r[3])
                 anchor = r[0]
@@ -267,36 +267,40 @@ def _bodies(length: int):
     return run
 
 
+#: Rows that a cut hands on at once.
+CHUNK = 20_000
+_RECUT = "anchor long, text_key binary, start long, windows long, again boolean, content binary, body binary"
+
+
 def _cut_again(length: int, gram: int):
-    """Stretches of a hot anchor in, each cut by the least hash of longer strings; whole windows, where `gram` is their length, need no body."""
+    """Stretches of a hot anchor in, each cut by the least hash of longer strings.
 
-    def run(batches):
+    Where `gram` is the length of a window, a row is a run of equal windows: its content is one
+    window, which needs no body.
+    """
+    last = gram == length
+
+    def rows(batches):
         for b in batches:
-            out = [[], [], [], [], [], [], []]
             for anchor, key, base, body in zip(*(b.column(c).to_pylist() for c in ("anchor", "text_key", "start", "body")), strict=True):
-                least, start, count, again = stretches(np.frombuffer(body, np.uint8), length, gram)
-                out[0].append(mix(least ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-                out[4].append(again)
-                for s, c in zip(start.tolist(), count.tolist(), strict=True):
-                    part = body[s : s + c + length - 1]
-                    out[1].append(key)
-                    out[2].append(base + s)
-                    out[3].append(c)
-                    out[5].append(hashlib.blake2b(part, digest_size=16).digest())
-                    out[6].append(part if gram < length else None)
-            if out[1]:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(out[0])),
-                        pa.array(out[1], pa.binary()),
-                        pa.array(out[2], pa.int64()),
-                        pa.array(out[3], pa.int64()),
-                        pa.array(np.concatenate(out[4])),
-                        pa.array(out[5], pa.binary()),
-                        pa.array(out[6], pa.binary()),
-                    ],
-                    ["anchor", "text_key", "start", "windows", "again", "content", "body"],
-                )
+                least, start, count, again = stretches(np.frombuffer(body, np.uint8), length, gram, not last)
+                anchors = mix(least ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+                for x, s, c, more in zip(anchors.tolist(), start.tolist(), count.tolist(), again.tolist(), strict=True):
+                    part = body[s : s + (length if last else c + length - 1)]
+                    yield x, key, base + s, c, more, hashlib.blake2b(part, digest_size=16).digest(), None if last else part
+
+    def run(batches):
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        names = [x.split()[0] for x in _RECUT.split(", ")]
+        held, size = [], 0
+        for row in rows(batches):
+            held.append(row)
+            size += len(row[6] or b"")
+            if len(held) >= CHUNK or size >= INDEX_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
     return run
 
@@ -305,7 +309,8 @@ def _marks(bodies: DataFrame, length: int, grams: list[int]) -> list[DataFrame]:
     """Frames (text_key, from, to) of the repeated windows among different stretches (anchor, text_key, start, body).
 
     Anchors of at most HOT_BYTES are indexed; the stretches of the others are cut by the next
-    of `grams`, and counted where that makes them equal.
+    of `grams`, and counted where that makes them equal. The last of `grams` is `length`, where
+    whole windows are counted, so nothing is left open.
     """
 
     def index(rows):
@@ -314,20 +319,21 @@ def _marks(bodies: DataFrame, length: int, grams: list[int]) -> list[DataFrame]:
 
     size = bodies.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"))
     hot = materialize(size.where(F.col("bytes") > HOT_BYTES).select("anchor"), "hot")
-    number = hot.count() if grams else 0
+    number = hot.count()
     if not number:
         return [index(bodies)]
     few = F.broadcast(hot) if number <= BROADCAST_IDS else hot
     out = [index(bodies.join(few, "anchor", "left_anti"))]
-    cut = bodies.join(few, "anchor", "left_semi").select("anchor", "text_key", "start", "body").mapInArrow(
-        _cut_again(length, grams[0]), "anchor long, text_key binary, start long, windows long, again boolean, content binary, body binary"
-    )
+    cut = bodies.join(few, "anchor", "left_semi").select("anchor", "text_key", "start", "body").mapInArrow(_cut_again(length, grams[0]), _RECUT)
     cut = materialize(cut, "recut")
-    kinds = cut.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("text_key", "start")).alias("one"))
+    last = grams[0] == length
+    # a run of equal windows repeats in itself, and equal runs are alike however long they are
+    n = F.sum("windows") if last else F.count("*")
+    kinds = cut.groupBy("anchor", "content").agg(n.alias("n"), F.max("again").alias("again"), F.min(F.struct("text_key", "start")).alias("one"))
     kinds = materialize(kinds, "rekinds")
     often = kinds.where("n > 1").select("anchor", "content")
     out.append(cut.join(often, ["anchor", "content"], "left_semi").select("text_key", F.col("start").alias("from"), (F.col("start") + F.col("windows") + length - 1).alias("to")))
-    if grams[0] < length:
+    if not last:
         shared = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
         wanted = kinds.join(shared, "anchor").where("kinds > 1 or again").select("anchor", "one.text_key", "one.start")
         # one row of each kind goes on, with its body
@@ -341,6 +347,21 @@ def _text_key():
     return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
 
 
+def _one_of_each(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """One row of each text of rows(text_key, doc, text): that of the least doc, and one of those if the table repeats it."""
+    shared = copies.where("copies > 1").select("text_key", F.col("doc").alias("first"), "same")
+    number, most = shared.agg(F.count("*"), F.max("same")).first()
+    if not number:
+        return rows
+    joined = rows.join(F.broadcast(shared) if number <= BROADCAST_IDS else shared, "text_key", "left")
+    one = joined.where("first is null or (doc = first and same = 1)").select("text_key", "doc", "text")
+    if most > 1:
+        # equal rows: each task hands on one of them
+        repeated = joined.where("doc = first and same > 1").groupBy("text_key").agg(F.min("doc").alias("doc"), F.min("text").alias("text"))
+        one = one.unionByName(repeated)
+    return one
+
+
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(text_key, spans): for each distinct text with repeats, its maximal byte spans covered by repeated windows.
 
@@ -348,15 +369,17 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     repeats in all of its windows.
     """
     gram = max(8, length // 4)
-    hashed = docs.where(F.octet_length("text") >= length).select(_text_key().alias("text_key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text")
-    copies = hashed.groupBy("text_key").agg(F.count("*").alias("copies"), F.min(F.octet_length("text")).alias("n"), F.min("doc").alias("doc"))
-    copies = materialize(copies, "copies")
+    rows = docs.where(F.octet_length("text") >= length).select(_text_key().alias("text_key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "text")
+    counted = rows.groupBy("text_key", "doc").agg(F.count("*").alias("same"), F.min(F.octet_length("text")).alias("n"))
+    copies = counted.groupBy("text_key").agg(F.sum("same").alias("copies"), F.min("n").alias("n"), F.min(F.struct("doc", "same")).alias("first"))
+    copies = materialize(copies.select("text_key", "copies", "n", "first.doc", "first.same"), "copies")
     copied = copies.where("copies > 1").select("text_key", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n").cast("long").alias("to"))).alias("spans"))
+    hashed = _one_of_each(rows, copies)
 
     cut = materialize(
         hashed.mapInArrow(_cut(length, gram), "anchor long, text_key binary, start int, windows int, again boolean, content binary"), "stretches"
     )
-    # equal stretches of one anchor are one kind; rows of a shared text count once each
+    # equal stretches of one anchor are one kind; a text that rows share is here once
     kinds = cut.groupBy("anchor", "content").agg(
         F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("text_key", "start", "windows")).alias("one")
     )
