@@ -73,21 +73,40 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def _sign(width: int, with_sets: bool):
+def _set_key(members: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
+
+
+def _load(width: int):
+    """Rows (rep, set_key, text) in; the sets with that key out, each once a task."""
+
+    def run(batches):
+        seen = set()
+        for part in slices(batches):
+            reps, keys, sets = [], [], []
+            for rep, key, members in zip(part.column("rep").to_pylist(), part.column("set_key").to_pylist(), shingle_sets(part.column("text"), width), strict=True):
+                if (rep, key) not in seen and _set_key(members) == key:
+                    seen.add((rep, key))
+                    reps.append(rep)
+                    keys.append(key)
+                    sets.append(members.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], ["rep", "set_key", "members"])
+
+    return run
+
+
+def _sign(width: int):
     def run(batches):
         for part in slices(batches):
             sets = shingle_sets(part.column("text"), width)
             ids = part.column("doc_id")
-            if with_sets:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "members"])
-                continue
             full = [i for i, s in enumerate(sets) if len(s)]
             starts = np.cumsum([0] + [len(sets[i]) for i in full])[:-1]
             signed = signatures(np.concatenate([sets[i] for i in full]), starts) if full else []
             sig: list[bytes | None] = [None] * len(sets)
             for i, row in zip(full, signed, strict=True):
                 sig[i] = row.tobytes()
-            key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            key = [_set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
                 ["doc_id", "n_shingles", "set_key", "sig"],
@@ -194,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     table gives no rows; other columns are not carried.
     """
     source = docs.select("doc_id", "text")
-    signed = materialize(source.mapInArrow(_sign(width, False), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
+    signed = materialize(source.mapInArrow(_sign(width), "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
     full = signed.where("set_key is not null").groupBy("set_key")
     reps = materialize(full.agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n")).where("rep is not null"), "reps")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
@@ -206,7 +225,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tried = stars.join(sigs.withColumnsRenamed({"rep": "b", "sig": "sig_b"}), "b").join(sigs.withColumnsRenamed({"rep": "a", "sig": "sig_a"}), "a")
     alike = materialize(tried.select("a", "b", "sig_a", "sig_b").mapInArrow(_alike(_least_agreement(percent)), "a long, b long"), "alike")
 
-    sets = _sets_of(source, bands.select("rep").distinct(), width)
+    loaded = _sets_of(source, reps.join(bands.select("rep").distinct(), "rep", "left_semi").select("rep", "set_key"), width)
+    sets = loaded.select("rep", "members")
     held = alike.join(sets.withColumnsRenamed({"rep": "b", "members": "set_b"}), "b").join(sets.withColumnsRenamed({"rep": "a", "members": "set_a"}), "a")
     links = materialize(held.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
     first = components(links)
@@ -223,26 +243,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # a row goes to every cell (i, j), i <= j, that has its block
     cells = members.withColumn("_b", block).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("band", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("cell")
-    loaded = cells.select(cell, "rep", "component").distinct().join(sigs, "rep").join(sets, "rep")
-    dealt = loaded.repartition("cell").sortWithinPartitions("cell", "rep")
+    filled = cells.select(cell, "rep", "component").distinct().join(sigs, "rep").join(sets, "rep")
+    dealt = filled.repartition("cell").sortWithinPartitions("cell", "rep")
     more = materialize(dealt.select("cell", "rep", "component", "sig", "members").mapInArrow(_inside(percent), "a long, b long"), "more")
     joined = components(links.unionByName(more))
-    release(bands, alike, sets, links, first, labelled, more)
+    release(bands, alike, loaded, links, first, labelled, more)
 
-    own = signed.join(reps.select("set_key", "rep"), "set_key", "left")
+    # empty sets are linked with nothing and join nothing, so that they meet in no task
+    own = signed.where("set_key is not null").join(reps.select("set_key", "rep"), "set_key", "left")
     named = own.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
+    named = named.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    empty = signed.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     # rows of one doc_id belong together whatever their texts
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _sets_of(source: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(rep, members): the sets of the candidates alone. Few ids are broadcast, many are joined by shuffle."""
-    named = ids.withColumnRenamed("rep", "doc_id")
-    if named.count() <= BROADCAST_IDS:
-        named = F.broadcast(named)
-    made = source.join(named, "doc_id", "left_semi").mapInArrow(_sign(width, True), "doc_id long, members binary")
-    return materialize(made.withColumnRenamed("doc_id", "rep"), "sets")
+def _sets_of(source: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, set_key, members): the sets of wanted(rep, set_key), one row for each. Few are broadcast, many are joined by shuffle.
+
+    A doc_id may stand on many rows, with this text or others: a task hands on one row of it that
+    has the set, and where several tasks do, one of theirs stays.
+    """
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    found = source.join(wanted, source["doc_id"] == wanted["rep"]).select("rep", "set_key", "text")
+    sets = materialize(found.mapInArrow(_load(width), "rep long, set_key binary, members binary"), "sets")
+    if sets.groupBy("rep", "set_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return sets
+    single = materialize(sets.dropDuplicates(["rep", "set_key"]), "sets")
+    release(sets)
+    return single
 
 
 def _few(ids: DataFrame) -> DataFrame:
