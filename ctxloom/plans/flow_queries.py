@@ -188,10 +188,10 @@ def place_positioned(spark, d):
 
 # task records
 
-_ISSUE = f"""i as (select 'ce-' || id as id, id::varchar as title, case when chosen then 'open' else 'deferred' end as status, greatest(0, least(4, 4 - floor(priority / 10 * 4)))::int as priority, 'context' as issue_type from g)"""
+_ISSUE = f"""i as (select 'item-' || id as id, id::varchar as title, case when chosen then 'open' else 'deferred' end as status, greatest(0, least(4, 4 - floor(priority / 10 * 4)))::int as priority, 'context' as issue_type from g)"""
 
 
-@query(f"with recursive {_G}, {_ISSUE} select * from i union all select 'ce-handoff-h1', 'Context Engineering Handoff', 'pinned', 0, 'message'")
+@query(f"with recursive {_G}, {_ISSUE} select * from i union all select 'handoff-h1', 'Handoff', 'pinned', 0, 'message'")
 def handoff_issues(spark, d):
     made = B.create_handoff(P.greedy(items(spark, d, content=True), ["pack_id"]), NOW, "h1")
     return made.select("id", "title", "status", "priority", "issue_type")

@@ -382,7 +382,7 @@ def test_issue_files_merge(spark, tmp_path):
 
 
 def test_pickup_parts(spark):
-    rows = [("ce-handoff-1", "message", ["handoff"], "pinned"), ("ce-a", "context", None, "open"), ("ce-b", "task", [B.OWN], "deferred"), ("ce-c", "context", [], "closed"), ("w", "task", None, "open")]
+    rows = [("handoff-1", "message", ["handoff"], "pinned"), ("item-a", "context", None, "open"), ("item-b", "task", [B.NAMES.source], "deferred"), ("item-c", "context", [], "closed"), ("w", "task", None, "open")]
     df = spark.createDataFrame(rows, "id string, issue_type string, labels array<string>, status string").withColumns({"source_system": F.lit(None).cast("string"), "metadata": F.lit(None).cast("string")})
     assert [r["part"] for r in B.pickup(df).collect()] == ["manifest", "item", "deferred", "closed", "work"]
 
