@@ -36,8 +36,8 @@ def compact(turns: DataFrame, budget: int, keep: int = 2) -> DataFrame:
 
 
 #: White space as Unicode has it; the regex class of that name is ASCII only.
-_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_HEADING = rf"(?md)(^#+{_BLANK}+.*$)"
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_HEADING = rf"(?md)(^#+{BLANK}+.*$)"
 _BLANK_LINES = r"(\n\n+)"
 
 
@@ -53,10 +53,10 @@ def segments(docs: DataFrame, limit: int = 500, markdown: bool = True) -> DataFr
     text = F.coalesce("text", F.lit(""))
     at = _HEADING if markdown else _BLANK_LINES
     pieces = F.flatten(F.zip_with(F.split(text, at), F.regexp_extract_all(text, F.lit(at), F.lit(1)), lambda x, y: F.array(x, y)))
-    parts = F.filter(pieces, lambda x: x.rlike(f"(?!{_BLANK})(?s:.)"))
+    parts = F.filter(pieces, lambda x: x.rlike(f"(?!{BLANK})(?s:.)"))
 
     def step(acc, part):
-        grown = F.regexp_replace(F.concat(acc["now"], F.lit("\n"), part), rf"\A{_BLANK}+|{_BLANK}+\z", "")
+        grown = F.regexp_replace(F.concat(acc["now"], F.lit("\n"), part), rf"\A{BLANK}+|{BLANK}+\z", "")
         over = (estimate_tokens(grown) > limit) & (F.length(acc["now"]) > 0)
         return F.when(over, F.struct(F.concat(acc["done"], F.array(acc["now"])).alias("done"), part.alias("now"))).otherwise(F.struct(acc["done"].alias("done"), grown.alias("now")))
 

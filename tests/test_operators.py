@@ -466,11 +466,10 @@ def test_segments_by_meaning_and_surprise(spark):
     got = [(r["doc_id"], r["body"]) for r in G.semantic(docs, embed).orderBy("doc_id", "segment").collect()]
     assert " ".join(b for i, b in got if i == 1) == text and got[-1] == (3, "One.") and any(b.endswith("A cat ate.") for _, b in got)
     calm = " ".join(f"Line {i}." for i in range(12)) + " Odd one! Last."
-    got = [r["body"] for r in G.surprise(spark.createDataFrame([(1, calm)], "doc_id long, text string"), lambda s: 9.0 if "Odd" in s else 1.0).orderBy("segment").collect()]
+    got = [r["body"] for r in G.surprise(spark.createDataFrame([(1, calm)], "doc_id long, text string"), lambda t: [9.0 if "Odd" in s else 1.0 for s in t]).orderBy("segment").collect()]
     assert len(got) == 2 and got[1].startswith("Odd one!")
-    both = G.hybrid(docs, embed, lambda s: 1.0).where("doc_id = 1").orderBy("segment").collect()
+    both = G.hybrid(docs, embed, lambda t: [1.0] * len(t)).where("doc_id = 1").orderBy("segment").collect()
     assert [r["segment"] for r in both] == list(range(len(both))) and " ".join(r["body"] for r in both) == text
-    assert G.sentences("a. b") == [("a.", 2), ("b", 4)] and G.semantic_chunks("", embed) == []
 
 
 def test_hooks(spark):
