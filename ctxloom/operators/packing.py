@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -242,98 +238,6 @@ def place(items: DataFrame, profile: str = "default") -> DataFrame:
     return joined.withColumn("position", F.when(F.col("_n") <= 2, F.col("_k") - 1).otherwise(F.col("position")).cast("long")).drop("_k", "_n")
 
 
-class _Pack:
-    """One pack while its rows pass: what is in, and the linked items that wait for their turn."""
-
-    def __init__(self, name, budget: int, boost: float, redundancy: float | None):
-        self.name, self.left, self.boost, self.redundancy = name, budget, boost, redundancy
-        self.ids, self.vectors, self.done = set(), [], set()
-        self.turns, self.waiting, self.gain = [], {}, {}
-
-    def turn(self, r):
-        return -(r.score + self.gain.get(r.ord, 0.0)), -r.recency, r.ord
-
-    def wait(self, r) -> None:
-        heapq.heappush(self.turns, (self.turn(r), r.ord, r))
-        for x in r.links:
-            self.waiting.setdefault(x, []).append(r)
-
-    def until(self, turn) -> list[tuple]:
-        """Decide the linked items whose turn is before the given one (None: all)."""
-        out = []
-        while self.turns and (turn is None or self.turns[0][0] < turn):
-            at, _, r = heapq.heappop(self.turns)
-            # a turn that a boost has outdated, or an item that is decided, is passed over
-            if r.ord not in self.done and at == self.turn(r):
-                out.append(self.decide(r))
-        return out
-
-    def decide(self, r) -> tuple:
-        if len(r.links):
-            self.done.add(r.ord)
-        if r.parent is not None and r.parent in self.ids:
-            return self.name, r.ord, "parent_already_included"
-        v = None
-        if self.redundancy is not None and r.embedding is not None:
-            v = np.asarray(r.embedding, float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            if any(len(x) == len(v) and float(x @ v) > self.redundancy for x in self.vectors):
-                return self.name, r.ord, "semantic_redundancy"
-        if r.tokens > self.left:
-            return self.name, r.ord, "over_budget"
-        self.left -= r.tokens
-        self.ids.add(r.id)
-        if v is not None:
-            self.vectors.append(v)
-        for w in self.waiting.get(r.id, ()):
-            if w.ord not in self.done:
-                self.gain[w.ord] = self.gain.get(w.ord, 0.0) + self.boost
-                heapq.heappush(self.turns, (self.turn(w), w.ord, w))
-        return self.name, r.ord, "include"
-
-
-def extended(items: DataFrame, boost: float = 2.0, redundancy: float | None = None) -> DataFrame:
-    """items(pack_id, id, ord, tokens, score, recency, parent_id, links, embedding, budget, supersedes) with `decision`: include, or why not.
-
-    Superseded items are out first. The others are offered by score, recency and ord; one is left
-    out if its parent is in, if its vector is nearer than `redundancy` to one that is in, or if it
-    does not fit; each item that is in adds `boost` to the score of those that link to it. The
-    order depends on what is in, so a pack is one pass of one task over its rows as Spark has
-    sorted them; it holds what is in, which the budget bounds, and the keys of items with links.
-    Rows that could never fit are decided before, and texts never move.
-    """
-    alive = without_superseded(items).select("pack_id", "ord").withColumn("_a", F.lit(True))
-    rows = items.join(alive, ["pack_id", "ord"], "left")
-    links = F.coalesce("links", F.array().cast("array<string>"))
-    offered = rows.where(F.col("_a") & (F.col("tokens") <= F.col("budget"))).select(
-        "pack_id", F.col("id").cast("string").alias("id"), "ord", F.col("tokens").cast("long").alias("tokens"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("recency", F.lit(0.0)).alias("recency"),
-        F.col("parent_id").cast("string").alias("parent"), links.alias("links"), "embedding", F.col("budget").cast("long").alias("budget"),
-    )
-    dealt = offered.repartition("pack_id").sortWithinPartitions("pack_id", (F.size("links") > 0).desc(), F.desc("score"), F.desc("recency"), "ord")
-
-    def run(batches):
-        pack = None
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if pack is None or r.pack_id != pack.name:
-                    out += pack.until(None) if pack else []
-                    pack = _Pack(r.pack_id, r.budget, boost, redundancy)
-                if len(r.links):
-                    pack.wait(r)
-                else:
-                    out += pack.until(pack.turn(r))
-                    out.append(pack.decide(r))
-            yield pd.DataFrame(out, columns=["pack_id", "ord", "_d"])
-        if pack:
-            yield pd.DataFrame(pack.until(None), columns=["pack_id", "ord", "_d"])
-
-    schema = items.select("pack_id", "ord", F.lit("").alias("_d")).schema
-    joined = rows.join(dealt.mapInPandas(run, schema), ["pack_id", "ord"], "left")
-    why = F.when(F.col("_a").isNull(), "negated_by_newer_info").otherwise(F.coalesce("_d", F.lit("over_budget")))
-    return joined.withColumn("decision", why).drop("_a", "_d")
-
-
 def pack_distinct(items: DataFrame, by: str = "recent") -> DataFrame:
     """items(pack_id, ord, content, ...) with `chosen`: one item of each cluster of near-equal texts is offered, the others are left out."""
     from ..functions.text import tokens

@@ -20,6 +20,7 @@ from ctxloom.operators import packing as P
 from ctxloom.operators import quality as Q
 from ctxloom.operators import retrieval as R
 from ctxloom.operators import risk
+from ctxloom.operators import extended_pack as XP
 from ctxloom.operators import segmentation as G
 from ctxloom.operators import sets as S
 from ctxloom.sources import records as X
@@ -128,24 +129,26 @@ def test_extended_pack_equals_brute_force(spark):
             vector = [float(x) for x in rng.normal(size=2)] if rng.random() < 0.5 else None
             rows.append({"id": f"i{i}", "ord": i, "tokens": int(rng.integers(1, 20)), "score": float(rng.integers(0, 12)), "recency": float(rng.integers(0, 3)), "parent_id": parent, "links": links, "embedding": vector, "supersedes": f"i{i - 9}" if i % 13 == 12 else None})
         df = spark.createDataFrame([tuple(r.values()) for r in rows], EXT).withColumns({"pack_id": F.lit(seed), "budget": F.lit(120)})
-        got = {r["id"]: r["decision"] for r in P.extended(df, boost=3.0, redundancy=0.95).collect()}
-        assert got == brute_extended(rows, 120, 3.0, 0.95)
+        want = brute_extended(rows, 120, 3.0, 0.95)
+        for width in (3, 1000):
+            assert {r["id"]: r["decision"] for r in XP.extended(df, boost=3.0, redundancy=0.95, width=width).collect()} == want
+        assert set(want.values()) == {"include", "negated_by_newer_info", "parent_already_included", "semantic_redundancy", "over_budget"}
 
 
 def test_relation_boost_golden(spark):
     rows = [("A", 0, 40, 10.0, 0.0, None, None, None, None), ("B", 1, 40, 1.0, 0.0, None, ["A"], None, None), ("noise", 2, 40, 8.0, 0.0, None, None, None, None)]
     df = spark.createDataFrame(rows, EXT).withColumns({"pack_id": F.lit(1), "budget": F.lit(90)})
-    assert {r["id"] for r in P.extended(df, boost=15.0).where("decision = 'include'").collect()} == {"A", "B"}
+    assert {r["id"] for r in XP.extended(df, boost=15.0).where("decision = 'include'").collect()} == {"A", "B"}
 
 
 def test_supersession_chain_and_mirror_goldens(spark):
     chain = [("v1", 0, 5, 1.0, 0.0, None, None, None, None), ("v2", 1, 5, 1.0, 0.0, None, None, None, "v1"), ("v3", 2, 5, 1.0, 0.0, None, None, None, "v2")]
     df = spark.createDataFrame(chain, EXT).withColumns({"pack_id": F.lit(1), "budget": F.lit(1000)})
-    assert [r["id"] for r in P.extended(df).where("decision = 'include'").collect()] == ["v3"]
+    assert [r["id"] for r in XP.extended(df).where("decision = 'include'").collect()] == ["v3"]
     mirror = [("x", 0, 5, 1.0, 0.0, None, None, [1.0, 0.0], None), ("y", 1, 5, 1.0, 0.0, None, None, [1.0, 0.01], None)]
     df = spark.createDataFrame(mirror, EXT).withColumns({"pack_id": F.lit(1), "budget": F.lit(1000)})
-    assert P.extended(df, redundancy=0.99999).where("decision = 'include'").count() == 2
-    assert P.extended(df, redundancy=0.9).where("decision = 'include'").count() == 1
+    assert XP.extended(df, redundancy=0.99999).where("decision = 'include'").count() == 2
+    assert XP.extended(df, redundancy=0.9).where("decision = 'include'").count() == 1
 
 
 def test_pack_of_distinct_items_and_mesh(spark):
