@@ -39,12 +39,17 @@ def query_aware(items: DataFrame, asked: DataFrame, weight: float = 0.8) -> Data
     return items.join(found, "id", "left").withColumn("score", F.col("score") + r * weight).drop("_r")
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 1024, cells: int = 64) -> DataFrame:
+#: Vectors that one task of an exact search holds, about.
+CELL = 4096
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 1024, cells: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of each query by cosine, to six digits, ties by vec_id; with `least`, only scores from it up.
 
     queries(query_id, query) is a stated set, not paired with itself by id. Blocks of queries meet
-    blocks of vectors: a query goes once to each of `cells` blocks of vectors, a vector once to
-    each block of queries, so nothing is broadcast and no pair is a row. A cell is one matrix
+    blocks of vectors: a query goes once to each of `cells` blocks of vectors (by default so many
+    that a block holds about CELL), a vector once to each block of queries, so nothing is
+    broadcast, no task grows with the data and no pair is a row. A cell is one matrix
     product, and gives each query its k best there. Vectors whose length differs from the
     query's, and zero and null ones, score 0.
     """
@@ -54,6 +59,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float | No
     import pandas as pd
 
     number = max(1, math.ceil(queries.count() / block))
+    cells = cells or max(1, math.ceil(vectors.count() / CELL))
     asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(number)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("j"), F.col("query_id").alias("id"), F.col("query").alias("v"), F.lit(True).alias("asks"))
     given = vectors.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("j"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(False).alias("asks"))
 
@@ -193,12 +199,15 @@ def survivors(items: DataFrame, num: int = 4, den: int = 5, by: str = "recent")
     return items.join(best.select("group", "ord"), ["group", "ord"], "left_semi")
 
 
-def vector_links(vectors: DataFrame, threshold: float, cells: int = 64) -> DataFrame:
+def vector_links(vectors: DataFrame, threshold: float, cells: int | None = None) -> DataFrame:
     """(group, a, b) of vectors(group, ord, embedding) with a cosine of at least `threshold`, a < b; equal vectors are linked as a star to their least.
 
-    Vectors are dealt into blocks by hash; each pair of blocks is one matrix product. Zero and
-    null vectors are linked with nothing.
+    Vectors are dealt into blocks by hash, by default so many that a block of the largest group
+    holds about CELL; each pair of blocks is one matrix product. Zero and null vectors are
+    linked with nothing.
     """
+    import math
+
     import numpy as np
     import pandas as pd
 
@@ -206,6 +215,7 @@ def vector_links(vectors: DataFrame, threshold: float, cells: int = 64) -> DataF
     least = known.groupBy("group", "_key").agg(F.min("ord").alias("rep"))
     copies = known.join(least, ["group", "_key"]).where("ord > rep and " + "exists(embedding, x -> x <> 0)").select("group", F.col("rep").alias("a"), F.col("ord").alias("b"))
     reps = known.join(least, ["group", "_key"]).where("ord = rep").select("group", "ord", "embedding")
+    cells = cells or max(1, math.ceil((reps.groupBy("group").count().agg(F.max("count")).first()[0] or 0) / CELL))
     own = F.pmod(F.xxhash64("ord"), F.lit(cells)).cast("int")
     dealt = reps.withColumn("_b", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
     dealt = dealt.select("group", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "ord", "embedding").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from .model import ITEMS, items, sql_tokens, table
 from .queries import _STOP, _TOK, q6, r6
 from .registry import query
@@ -110,3 +111,10 @@ def candidate_scores(spark, d):
     k = F.col("o_orderkey")
     pick = [F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int")) for values in (_CAND, _SCEN)]
     return table(spark, d, "orders").select("o_orderkey", q6(T.candidate_score(*pick)).alias("score"))
+
+
+@query()
+def indexed_top10(spark, d):
+    """The ten nearest of each 20th vector among all, by an index; its recall against cosine_top10 is tested."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return V.nearest(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
