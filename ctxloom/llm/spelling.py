@@ -141,48 +141,61 @@ def _first_place(a: str, b: str, mask_a: int, mask_b: int) -> int:
     return 2 * band + (a[:half] != b[:half])
 
 
-def _pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of positions in `rows` (role, place, block, cross, word, n, mask) of one cell that are one edit apart."""
-    role, place, block = (np.array([r[i] for r in rows]) for i in range(3))
-    masks = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-    found = []
-    same = role[0] == SAME
-    left = np.arange(len(rows)) if same else np.flatnonzero(role == SHORT)
-    right = left if same else np.flatnonzero(role == LONG)
-    cross = rows[0][3]
-    for begin in range(0, len(left), 512):
-        at = left[begin : begin + 512]
-        near = np.bitwise_count(masks[at][:, None] ^ masks[right]) <= (2 if same else 1)
-        near &= place[at][:, None] == place[right]
-        if same:
-            near &= at[:, None] < right
-        if cross:  # pairs inside a block are its own cell's
-            near &= block[at][:, None] != block[right]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            x, y = rows[at[i]], rows[right[j]]
-            if one_edit(x[4], y[4]) and _first_place(x[4], y[4], int(masks[at[i]]), int(masks[right[j]])) == x[1]:
-                found.append((at[i], right[j]))
-    return found
+#: Pairs of rows that are held against each other at once, about.
+PAIRS = 1 << 20
+
+
+def _pairs(cell: np.ndarray, role: np.ndarray, place: np.ndarray, block: np.ndarray, cross: np.ndarray, masks: np.ndarray, words: list[str]):
+    """Positions (i, j) of the pairs one edit apart that first meet in these cells; rows of a cell stand together."""
+    n = len(cell)
+    end = np.searchsorted(cell, cell, side="right")
+    later = end - np.arange(n) - 1
+    done = np.concatenate([[0], np.cumsum(later)])
+    begin = 0
+    while begin < n:
+        stop = max(begin + 1, int(np.searchsorted(done, done[begin] + PAIRS, side="right")) - 1)
+        left = np.repeat(np.arange(begin, stop), later[begin:stop])
+        right = left + 1 + np.arange(len(left)) - np.repeat(done[begin:stop] - done[begin], later[begin:stop])
+        same = role[left] == SAME
+        near = np.bitwise_count(masks[left] ^ masks[right]) <= np.where(same, 2, 1)
+        near &= (role[left] != role[right]) | same
+        near &= place[left] == place[right]
+        # pairs inside a block are its own cell's
+        near &= ~cross[left] | (block[left] != block[right])
+        for i, j in zip(left[near].tolist(), right[near].tolist(), strict=True):
+            x, y = words[i], words[j]
+            if one_edit(x, y) and _first_place(x, y, int(masks[i]), int(masks[j])) == place[i]:
+                yield i, j
+        begin = stop
 
 
 def _near(batches):
     """Rows sorted by cell in; (word, near, near_n) in both directions out."""
 
-    def out(rows):
-        pairs = _pairs(rows) if len(rows) > 1 else []
-        both = [(rows[i], rows[j]) for i, j in pairs] + [(rows[j], rows[i]) for i, j in pairs]
-        return pa.RecordBatch.from_arrays([pa.array([x[4] for x, _ in both], pa.string()), pa.array([y[4] for _, y in both], pa.string()), pa.array([y[5] for _, y in both], pa.int64())], ["word", "near", "near_n"])
+    def out(rows: pa.Table):
+        column = lambda name: rows.column(name).to_numpy()
+        words, counts = rows.column("word").to_pylist(), column("n")
+        found = list(_pairs(column("cell"), column("role"), column("place"), column("block"), column("cross"), column("mask").view(np.uint64), words))
+        both = found + [(j, i) for i, j in found]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([words[i] for i, _ in both], pa.string()), pa.array([words[j] for _, j in both], pa.string()), pa.array(counts[np.array([j for _, j in both], np.int64)])], ["word", "near", "near_n"]
+        )
 
-    rows, cell = [], None
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for r in zip(*(b.column(c).to_pylist() for c in ("cell", "role", "place", "block", "cross", "word", "n", "mask")), strict=True):
-            if rows and r[0] != cell:
-                yield out(rows)
-                rows = []
-            cell = r[0]
-            rows.append(r[1:])
-    if rows:
-        yield out(rows)
+        if not b.num_rows:
+            continue
+        cells = b.column("cell").to_numpy()
+        # the last cell of a batch may go on in the next
+        last = int(np.searchsorted(cells, cells[-1]))
+        if last or (held and held[-1].column("cell")[-1].as_py() != cells[0]):
+            held.append(b.slice(0, last))
+            yield out(pa.Table.from_batches(held))
+            held = [b.slice(last)]
+        else:
+            held.append(b)
+    if held:
+        yield out(pa.Table.from_batches(held))
 
 
 def near_words(words: DataFrame) -> DataFrame:
