@@ -78,3 +78,31 @@ def council(members: list[str], question: DataFrame, respond: Callable[[DataFram
         prompt = F.concat(F.col("text"), F.lit("\n\nOther answers:\n"), others)
         asked = open_.select("council", "member").join(seen, "council").join(question, "council").select("council", F.lit(n + 1).alias("round"), "member", prompt.alias("prompt"))
     return done
+
+
+#: A model that shortens texts: (text, tokens that are left) pairs in, for each a text and its tokens (None: estimated), or None.
+Summarize = Callable[[list[tuple[str, int]]], list[tuple[str, int | None] | None]]
+
+
+def summaries(rows: DataFrame, text: str, room: str, summarize: Summarize, names: tuple[str, str] = ("summary", "summary_tokens")) -> DataFrame:
+    """rows with a summary of `text` in at most `room` tokens, and its tokens; both null where there is none or it does not fit.
+
+    summarize() gets the rows of a whole Arrow batch in one call. Null texts, and rows with no
+    room, are not handed to it.
+    """
+    from .text import estimate_tokens
+
+    @F.pandas_udf("struct<body:string,tokens:long>")
+    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, rooms in batches:
+            asked = [(i, t, int(r)) for i, (t, r) in enumerate(zip(texts, rooms, strict=True)) if t is not None and pd.notna(r) and r > 0]
+            out = [(None, None)] * len(texts)
+            if asked:
+                for (i, _, _), got in zip(asked, summarize([(t, r) for _, t, r in asked]), strict=True):
+                    out[i] = got or (None, None)
+            yield pd.DataFrame({"body": pd.Series([b for b, _ in out], dtype="object"), "tokens": pd.Series([t for _, t in out], dtype="Int64")})
+
+    said = rows.withColumn("_said", made(F.col(text), F.col(room).cast("long")))
+    tokens = F.when(F.col("_said.body").isNotNull(), F.coalesce("_said.tokens", estimate_tokens(F.col("_said.body")).cast("long")))
+    fits = tokens <= F.col(room)
+    return said.withColumns({names[0]: F.when(fits, F.col("_said.body")), names[1]: F.when(fits, tokens)}).drop("_said")

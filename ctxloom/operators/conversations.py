@@ -164,6 +164,14 @@ def summarized(batched: DataFrame, summarize) -> DataFrame:
     return batched.withColumn("summary", F.when(trimmed(F.coalesce(made, F.lit(""))) != "", made).otherwise(F.substring("text", 1, 120)))
 
 
+def summarized_at_once(batched: DataFrame, summarize, tokens: int) -> DataFrame:
+    """batches() with `summary` by a model that gets the texts of many batches in one call, with `tokens` for each; where it gives none that fits, the text's first 120 characters."""
+    from ..functions.hooks import summaries
+
+    made = summaries(batched.withColumn("_room", F.lit(tokens)), "text", "_room", summarize)
+    return made.withColumn("summary", F.when(F.trim(F.coalesce("summary", F.lit(""))) != "", F.col("summary")).otherwise(F.substring("text", 1, 120))).drop("_room", "summary_tokens")
+
+
 def rolling_summaries(turns: DataFrame, trigger: int = 18, keep: int = 6, tokens: int = 256, snippet: int = 140) -> DataFrame:
     """(conv_id, folded, summary) of conversations with more than `trigger` turns: all but the last `keep`, one line each, clipped to the tokens (quarters of a character).
 

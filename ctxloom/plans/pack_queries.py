@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import conversations as C
 from ..operators import extended_pack as X
-from .model import ITEMS, items, table
+from ..operators import summary_pack as S
+from .flow_queries import _T, _turns
+from .model import ITEMS, items, sql_tokens, table
 from .registry import query
 
 NEAR = 0.25
@@ -48,3 +51,38 @@ from e left join a on a.pack_id = e.pack_id and a.id = e.id left join t on t.pac
 def extended_packs(spark, d):
     """All sources under their budgets, with links, parents, superseded items and near vectors."""
     return X.extended(linked_items(spark, d), redundancy=NEAR).select("pack_id", "id", "decision")
+
+
+def shorten(asked: list[tuple[str, int]]) -> list[tuple[str, int | None] | None]:
+    """A deterministic summarizer: as many of the first words as half the tokens that are left."""
+    out = []
+    for text, room in asked:
+        words = text.split()[: room // 2]
+        out.append((" ".join(words), None) if words else None)
+    return out
+
+
+# what an item would take in a summary, with `room` tokens left
+_SHORT = r"list_filter(regexp_split_to_array(content, '\s+'), lambda w: w <> '')"
+_SUM = f"len({_SHORT}[1:(room // 2)::int])"
+_EATEN = f"case when tokens <= room then tokens when id % 3 = 0 and tokens // 4 <= room then tokens // 4 when room > 0 and {_SUM} > 0 and greatest(1, ceil({_SUM} * 1.3::double)) <= room then greatest(1, ceil({_SUM} * 1.3::double))::bigint end"
+
+
+@query(f"""with recursive {ITEMS}, o as (select *, row_number() over (partition by pack_id order by score desc, recency desc, ord) as rn from items),
+f as (select pack_id, 0::bigint as rn, max(budget)::bigint as room, null::bigint as id, null::bigint as eaten, null::varchar as summary, null::bigint as tokens from items group by 1
+union all select pack_id, rn, (room - coalesce(eaten, 0))::bigint, id, eaten, summary, tokens from (select o.pack_id, o.rn, f.room, o.id, o.tokens, {_EATEN.replace('tokens', 'o.tokens').replace('id %', 'o.id %').replace('room', 'f.room')} as eaten,
+array_to_string({_SHORT}[1:(f.room // 2)::int], ' ') as summary from f join o on o.pack_id = f.pack_id and o.rn = f.rn + 1))
+select pack_id, id, case when eaten is null then 'exclude' when eaten = tokens then 'include' when id % 3 = 0 and eaten = tokens // 4 then 'compress' else 'summarize' end as decision, eaten as taken_tokens,
+case when eaten is not null and eaten <> tokens and not (id % 3 = 0 and eaten = tokens // 4) then summary end as summary from f where rn > 0""")
+def summary_packs(spark, d):
+    """All sources under their budgets; every third item has a variant of a quarter, the others are summarized where they do not fit."""
+    rows = items(spark, d, content=True).withColumn("sizes", F.when(F.col("id") % 3 == 0, F.array(F.floor(F.col("tokens") / 4))))
+    return S.summary_pack(rows, shorten).select("pack_id", "id", "decision", "taken_tokens", "summary")
+
+
+@query(rf"""with {_T}, x as (select *, row_number() over (partition by conv_id order by turn desc) <= 2 as preserved from t), o as (select *, (row_number() over (partition by conv_id order by turn) - 1) // 2 as batch from x where not preserved),
+b as (select conv_id, batch, count(*) as turns, string_agg('[' || role || ']: ' || coalesce(text, ''), chr(10) order by turn) as text from o group by 1, 2)
+select conv_id, batch, turns, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')[1:20], ' ') as summary from b""")
+def model_summaries(spark, d):
+    """The older turns of each conversation, two at a time, by the summarizer."""
+    return C.summarized_at_once(C.batches(_turns(spark, d), size=2), shorten, 40).select("conv_id", "batch", "turns", "summary")
