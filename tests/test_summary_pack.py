@@ -72,6 +72,6 @@ def test_one_call_for_many_texts(spark, tmp_path):
             f.write(f"{len(asked)}\n")
         return [("x", 1) for _ in asked]
 
-    rows = spark.range(500).coalesce(1).select(F.when(F.col("id") % 5 > 0, F.lit("a b c")).alias("t"), (F.col("id") % 2).alias("room"))
+    rows = spark.range(0, 500, 1, 1).select(F.when(F.col("id") % 5 > 0, F.lit("a b c")).alias("t"), (F.col("id") % 2).alias("room"))
     assert summaries(rows, "t", "room", count).where("summary is not null").count() == 200
     assert open(calls).read().split() == ["200"]
