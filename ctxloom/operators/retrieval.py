@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import tokens
+from .scratch import stored
 
 
 def spaced(text) -> F.Column:
@@ -113,27 +116,61 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = 60) -> DataFrame:
     return out.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
+#: Words whose frequency orders the words of a set; all others come first, by their hash.
+FREQUENT = 20_000
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray, num: int, den: int):
+    """Rows (set, hashes, n) in; a row (set, n, w, p) for each of a set's first words, in the order of all sets: rare words first."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("hashes")
+            sizes = lists.value_lengths().to_numpy().astype(np.int64)
+            words, rows = lists.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+            often = np.zeros(len(words), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+                often = np.where(common[at] == words, counts[at], 0)
+            order = np.lexsort((words, often, rows))
+            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = b.column("n").to_numpy()
+            keep = place < (n - -(-n * num // den) + 1)[rows]
+            own = rows[keep]
+            yield pa.RecordBatch.from_arrays([b.column("set").take(pa.array(own)), pa.array(n[own]), pa.array(words[order][keep]), pa.array(place[keep])], ["set", "n", "w", "p"])
+
+    return run
+
+
 def set_pairs(sets: DataFrame, num: int, den: int, strict: bool = False) -> DataFrame:
     """(group, a, b) with a < b and Jaccard >= num / den (strict: above it), for sets(group, ord, words).
 
     Prefix filter: two such sets share one of their first size - ceil(t * size) + 1 words in a
-    common order (rare words first), so only those are joined; sizes must be in ratio too. The
-    intersection is then counted on the full sets. Empty sets share no word and are in no pair
-    here; `empty_links` has theirs.
+    common order, so only those are joined, if their sizes are in ratio and enough words stand
+    behind the shared one. Words are hashed once; the order has the most frequent ones last, whose
+    list is bounded (FREQUENT). Candidates are counted on hashes, which can only find too much, and
+    those left on the words. Empty sets share no word and are in no pair here; `empty_links` has theirs.
     """
-    words = sets.select("group", "ord", F.size("words").alias("n"), F.explode("words").alias("w"))
-    freq = words.groupBy("group", "w").agg(F.count("*").alias("f"))
-    ordered = words.join(freq, ["group", "w"]).withColumn("p", F.row_number().over(W.partitionBy("group", "ord").orderBy("f", "w")))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    prefix = ordered.where((F.col("p") <= keep) & (F.col("f") > 1)).select("group", "ord", "n", "w")
-    a, b = prefix.withColumnsRenamed({"ord": "a", "n": "na"}), prefix.withColumnsRenamed({"ord": "b", "n": "nb"})
-    near = a.join(b, ["group", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    hashed = stored(sets.select("group", "ord", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.size("words").cast("long").alias("n")).where("n > 0"))
+    often = hashed.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count("*").alias("f")).where("f > 1").orderBy(F.desc("f"), "w").limit(FREQUENT).toArrow()
+    common, counts = often.column("w").to_numpy(), often.column("f").to_numpy()
+    by = np.argsort(common)
+    schema = hashed.select(F.struct("group", "ord").alias("set"), "n", F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("p")).schema
+    prefix = hashed.select(F.struct("group", "ord").alias("set"), "hashes", "n").mapInArrow(_prefixes(common[by], counts[by], num, den), schema).select("set.group", "set.ord", "n", "w", "p")
+    a, b = prefix.withColumnsRenamed({"ord": "a", "n": "na", "p": "pa"}), prefix.withColumnsRenamed({"ord": "b", "n": "nb", "p": "pb"})
+    # at least this many words are shared, and no more can be than what stands from the shared one on and before it
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    near = a.join(b, ["group", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (room * (num + den) >= (F.col("na") + F.col("nb")) * num))
     found = near.select("group", "a", "b").distinct()
-    x, y = sets.withColumnsRenamed({"ord": "a", "words": "wa"}), sets.withColumnsRenamed({"ord": "b", "words": "wb"})
-    both = found.join(x, ["group", "a"]).join(y, ["group", "b"])
-    same = F.size(F.array_intersect("wa", "wb"))
-    over = same * den - (F.size("wa") + F.size("wb") - same) * num
-    return both.where(over > 0 if strict else over >= 0).select("group", "a", "b")
+
+    def counted(pairs, sides, column):
+        x, y = (sides.select("group", F.col("ord").alias(k), F.col(column).alias(f"w{k}")) for k in ("a", "b"))
+        both = pairs.join(x, ["group", "a"]).join(y, ["group", "b"])
+        same = F.size(F.array_intersect("wa", "wb"))
+        over = same * den - (F.size("wa") + F.size("wb") - same) * num
+        return both.where(over > 0 if strict else over >= 0).select("group", "a", "b")
+
+    return counted(counted(found, hashed, "hashes"), sets, "words")
 
 
 def empty_links(sets: DataFrame) -> DataFrame:
@@ -148,8 +185,7 @@ def empty_links(sets: DataFrame) -> DataFrame:
 
 def classes(sets: DataFrame) -> DataFrame:
     """sets(group, ord, words) with `rep`: the least ord of those of the group with the same words. Equal sets are counted as one before anything is paired."""
-    key = F.sha2(F.to_json(F.array_sort("words")), 256)
-    keyed = sets.withColumn("_key", key)
+    keyed = stored(sets.withColumn("_key", F.sha2(F.to_json(F.array_sort("words")), 256)))
     least = keyed.groupBy("group", "_key").agg(F.min("ord").alias("rep"))
     return keyed.join(least, ["group", "_key"]).drop("_key")
 
