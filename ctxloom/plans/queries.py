@@ -11,6 +11,7 @@ from ..operators import packing as P
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import sets as S
+from ..operators.scratch import stored
 from .model import BUDGET, ITEMS, NOW, items, sql_greedy, sql_tokens, table
 from .registry import oracle_sql, queries, query  # noqa: F401  the first two are read from here
 
@@ -64,7 +65,8 @@ def score_weighted(spark, d):
 
 @query(f"with recursive {ITEMS}, {sql_greedy('items', 'pack_id')} select pack_id, id, tokens, {r6('score')} as score, chosen from g")
 def pack_greedy(spark, d):
-    return P.greedy(items(spark, d), ["pack_id"]).select("pack_id", "id", "tokens", q6(F.col("score")).alias("score"), "chosen")
+    # the texts are read once for their tokens, not again for the join
+    return P.greedy(stored(items(spark, d)), ["pack_id"]).select("pack_id", "id", "tokens", q6(F.col("score")).alias("score"), "chosen")
 
 
 @query(f"""with recursive {ITEMS}, {sql_greedy('items', 'pack_id')} select pack_id, coalesce(sum(tokens) filter (chosen), 0)::bigint as total_tokens,
