@@ -208,49 +208,6 @@ def ready(issues: DataFrame, deps: DataFrame, now: str) -> DataFrame:
     return live.join(blocked, "issue_id", "left_anti")
 
 
-def depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, depth): edges on the longest chain of dependencies from a node that visits no node twice, and the step back into a cycle.
-
-    A dependency that is no node counts as one step. Chains without a cycle are followed level
-    by level, from the nodes that need nothing upwards: a node is settled once all it needs is,
-    so each edge is joined once, and there is no cap. Nodes on or above a cycle are what is
-    left; only they are walked with the nodes visited so far, as their paths have to be.
-    """
-    from .scratch import cut
-
-    needs = cut(edges.select("node", F.col("needs").alias("at")).distinct())
-    done = cut(nodes.select("node").join(needs.select("node").distinct(), "node", "left_anti").select("node", F.lit(0).alias("depth")))
-    # what is needed and is no node, or needs nothing, has depth 0
-    leaves = needs.select(F.col("at").alias("node")).distinct().join(needs.select("node").distinct(), "node", "left_anti")
-    known = cut(done.unionByName(leaves.select("node", F.lit(0).alias("depth"))).distinct())
-    left = needs
-    while True:
-        step = left.join(known.select(F.col("node").alias("at"), "depth"), "at", "left")
-        ready = cut(step.groupBy("node").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select("node", (F.col("d") + 1).alias("depth")))
-        if ready.isEmpty():
-            break
-        known = cut(known.unionByName(ready))
-        left = cut(left.join(ready.select("node"), "node", "left_anti"))
-    if not left.isEmpty():
-        # paths among the nodes of cycles and above them
-        best = known.select(F.col("node").alias("at"), "depth")
-        paths = left.select("node", "at", F.array("node").alias("seen"), F.lit(1).alias("d"))
-        found = None
-        while True:
-            ended = F.array_contains("seen", F.col("at"))
-            here = paths.join(best, "at", "left")
-            gains = here.select("node", F.when(ended, F.col("d")).otherwise(F.col("d") + F.coalesce("depth", F.lit(0))).alias("depth"))
-            found = cut(gains if found is None else found.unionByName(gains).groupBy("node").agg(F.max("depth").alias("depth")))
-            paths = cut(
-                here.where(~ended & F.col("depth").isNull()).join(left.select(F.col("node").alias("at"), F.col("at").alias("next")), "at")
-                .select("node", F.col("next").alias("at"), F.array_append("seen", F.col("at")).alias("seen"), (F.col("d") + 1).alias("d"))
-            )
-            if paths.isEmpty():
-                break
-        known = known.unionByName(found.groupBy("node").agg(F.max("depth").alias("depth")))
-    return nodes.select("node").distinct().join(known, "node").groupBy("node").agg(F.max("depth").cast("int").alias("depth"))
-
-
 def kind_insights(features: DataFrame) -> DataFrame:
     """Per kind of features(record_id, kind, selected, quality): mean quality of the records with and without a selected item of it, and the lift.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import conversations as C
+from ..operators import graph as G
 from ..operators import monitoring as M
 from ..operators import packing as P
 from ..operators import quality as Q
@@ -462,7 +463,7 @@ def _needs(docs):
 @query(f"with recursive {_DEPS} select n.node, coalesce(max(d), 0)::int as depth from n left join r on r.node = n.node group by 1")
 def dependency_depth(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
-    return M.depth(_needs(docs), docs)
+    return G.depth(_needs(docs), docs)
 
 
 # conversations, segments, rules

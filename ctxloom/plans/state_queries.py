@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import graph as G
 from ..operators import immune as I
 from ..operators import memory as Y
 from ..operators import monitoring as M
@@ -215,7 +216,7 @@ floor((diversity * 0.25::double + density * 0.2::double + dp * 0.2::double + tc
 def pack_complexity(spark, d):
     i = items(spark, d, content=True)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("node"))
-    return M.complexity(Q.analyze(i), i, M.depth(_needs(docs), docs))
+    return M.complexity(Q.analyze(i), i, G.depth(_needs(docs), docs))
 
 
 @query("select event_id as id, 'memory' as kind, 5.0::double as priority, floor(pow(0.5::double, (epoch_ms(timestamp '2024-02-01') - epoch_ms(ts)) / 1000.0::double / 604800.0::double) * 1000 + 0.5) / 100.0::double as recency, floor(coalesce(case when event_id % 4 <> 0 then value / 100 end, 1) * 10000 + 0.5) / 10000.0::double as salience from events")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
 from ctxloom.operators import compiler as K
+from ctxloom.operators import graph as GR
 from ctxloom.operators import monitoring as M
 from ctxloom.operators import packing as P
 from ctxloom.operators import quality as Q
@@ -110,7 +111,7 @@ def test_depth_ends_where_a_cycle_closes(spark):
     """No cap: a cycle's last step counts, chains of any length do, and needs that are no node are one step."""
     def depths(edges, nodes):
         e = spark.createDataFrame(edges, "node long, needs long")
-        return {r["node"]: r["depth"] for r in M.depth(e, spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
+        return {r["node"]: r["depth"] for r in GR.depth(e, spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
 
     assert depths([(1, 2), (2, 1)], [1, 2]) == {1: 2, 2: 2}
     assert depths([(0, 1), (1, 2), (2, 3), (3, 1)], [0])[0] == 4
