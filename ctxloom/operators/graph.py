@@ -89,25 +89,67 @@ def depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     components, which is large in a dense one.
     """
     needs = stored(edges.select("node", F.col("needs").alias("at")).where("at is not null").distinct())
-    on = stored(needs.join(cycles(needs), "node", "left").select("node", "at", "component"))
-    of = on.select(F.col("node").alias("at"), F.col("component").alias("_to")).distinct()
-    left = stored(on.join(of, "at", "left").withColumn("inner", F.coalesce(F.col("component") == F.col("_to"), F.lit(False))).select("node", "at", "component", "inner"))
     every = nodes.select("node").unionByName(needs.select(F.col("at").alias("node"))).distinct()
-    known = stored(every.join(needs.select("node").distinct(), "node", "left_anti").select("node", F.lit(0).cast("long").alias("depth")))
+    known = _Known(every.join(needs.select("node").distinct(), "node", "left_anti").select("node", F.lit(0).cast("long").alias("depth")))
+    left = needs
+    while True:
+        step = left.join(known.frame().withColumnRenamed("node", "at"), "at", "left")
+        ready = stored(step.groupBy("node").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select("node", (F.col("d") + 1).alias("depth")))
+        if ready.isEmpty():
+            dropped(ready)
+            break
+        left = _without(left, ready)
+        known.add(ready)
+    if not left.isEmpty():
+        # what is left lies on cycles or above them
+        own = stored(cycles(left))
+        of = own.select(F.col("node").alias("at"), F.col("component").alias("_to"))
+        on = left.join(own, "node", "left").join(of, "at", "left").withColumn("inner", F.coalesce(F.col("component") == F.col("_to"), F.lit(False)))
+        last, left = left, stored(on.select("node", "at", "component", "inner"))
+        dropped(last, own)
     while not left.isEmpty():
-        step = stored(left.join(known.select(F.col("node").alias("at"), "depth"), "at", "left"))
-        plain = step.where("component is null").groupBy("node").agg(F.max("depth").alias("d"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select("node", (F.col("d") + 1).alias("depth"))
-        ready = step.where("component is not null").groupBy("component").agg(F.count_if(~F.col("inner") & F.col("depth").isNull()).alias("open")).where("open = 0").select("component")
-        whole = step.join(ready, "component", "left_semi")
-        new = plain
-        if not ready.isEmpty():
-            new = new.unionByName(_inside(whole))
-        new = stored(new)
-        last, known = known, stored(known.unionByName(new))
-        before, left = left, stored(left.join(new.select("node"), "node", "left_anti"))
-        dropped(step, new, last, before)
-    dropped(needs, on, left)
-    return nodes.select("node").distinct().join(known, "node").select("node", F.col("depth").cast("int").alias("depth"))
+        step = stored(left.join(known.frame().withColumnRenamed("node", "at"), "at", "left"))
+        # a component waits as one for what is outside of it, a plain node by itself
+        unit = F.struct(F.col("component").alias("c"), F.when(F.col("component").isNull(), F.col("node")).alias("n"))
+        free = step.groupBy(unit.alias("u")).agg(F.count_if(~F.col("inner") & F.col("depth").isNull()).alias("open")).where("open = 0").select("u.c", "u.n")
+        free = stored(free)
+        plain = step.join(free.where("c is null").select(F.col("n").alias("node")), "node", "left_semi").groupBy("node").agg((F.max("depth") + 1).alias("depth"))
+        whole = step.join(free.where("c is not null").select(F.col("c").alias("component")), "component", "left_semi")
+        new = stored(plain if whole.isEmpty() else plain.unionByName(_inside(whole)))
+        left = _without(left, new)
+        known.add(new)
+        dropped(step, free)
+    dropped(left)
+    return nodes.select("node").distinct().join(known.frame(), "node").select("node", F.col("depth").cast("int").alias("depth"))
+
+
+class _Known:
+    """Settled nodes (node, depth), in files that are merged before they are many."""
+
+    MOST = 8
+
+    def __init__(self, first: DataFrame):
+        self.frames = [stored(first)]
+
+    def frame(self) -> DataFrame:
+        out = self.frames[0]
+        for f in self.frames[1:]:
+            out = out.unionByName(f)
+        return out
+
+    def add(self, new: DataFrame) -> None:
+        self.frames.append(new)
+        if len(self.frames) > self.MOST:
+            merged = stored(self.frame())
+            dropped(*self.frames)
+            self.frames = [merged]
+
+
+def _without(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """rows (stored) without those of settled nodes; its files go."""
+    out = stored(rows.join(settled.select("node"), "node", "left_anti"))
+    dropped(rows)
+    return out
 
 
 def _inside(edges: DataFrame) -> DataFrame:
