@@ -45,9 +45,12 @@ def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], list[list[
 
 
 def merged(ours: DataFrame, theirs: DataFrame, key: str, resolve: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """A merge by the caller's resolver, held to the columns of ours and one row a key."""
+    """A merge by the caller's resolver, held to the columns of ours and one row a key: of several the one whose JSON is least."""
+    from pyspark.sql import Window as W
+
     out = resolve(ours, theirs).select(*ours.columns)
-    return out.dropDuplicates([key])
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.to_json(F.struct(*[F.col(c) for c in ours.columns]))))
+    return out.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def evaluated(rows: DataFrame, group: str, evaluate: Callable[[DataFrame], Column]) -> DataFrame:

@@ -47,6 +47,19 @@ def contradictions(packed: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
     return both.where(F.col("neg_a") != F.col("neg_b")).select(F.col("group").alias("pack_id"), "a", "b")
 
 
+def check(packed: DataFrame, packs: DataFrame, required: list[tuple[str, str]], fresh: float = 5.0, least: float = 0.7, most: float = 0.95, redundancy: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(pack_id, level, slot, constraint, item_id, other_id) of all five constraints: diagnostics(), contradictions() and redundant pairs.
+
+    packed(pack_id, id, kind, content, recency, tokens) and packs(pack_id, budget).
+    """
+    none = F.lit(None).cast("string")
+    pairs = [(contradictions(packed), "error", "no-contradiction"), (redundant_pairs(packed, *redundancy), "warning", "max-redundancy")]
+    out = diagnostics(packed, packs, required, fresh, least, most).withColumn("other_id", none)
+    for found, level, name in pairs:
+        out = out.unionByName(found.select("pack_id", F.lit(level).alias("level"), none.alias("slot"), F.lit(name).alias("constraint"), F.col("a").cast("string").alias("item_id"), F.col("b").cast("string").alias("other_id")))
+    return out
+
+
 def diagnostics(packed: DataFrame, packs: DataFrame, required: list[tuple[str, str]], fresh: float = 5.0, least: float = 0.7, most: float = 0.95) -> DataFrame:
     """(pack_id, level, slot, constraint, item_id): freshness, coverage and budget use of packed items.
 

@@ -191,6 +191,18 @@ def compare(before: DataFrame, after: DataFrame, key: str, values: list[str], or
     return changes.agg(*[F.count_if(F.col("change") == c).alias(n) for c, n in names.items()])
 
 
+def compare_branches(before: DataFrame, after: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
+    """compare() with the quality of each set, as quality.analyze() gives it, in columns quality_1 and quality_2 (null for an empty set)."""
+    from .quality import analyze
+
+    row = compare(before, after, key, values, order)
+    for n, side in (("1", before), ("2", after)):
+        whole = side.withColumn("pack_id", F.lit(0))
+        measured = analyze(whole).agg(F.first(F.struct("density", "diversity", "freshness", "redundancy", "overall")).alias(f"quality_{n}"))
+        row = row.crossJoin(F.broadcast(measured))  # one row each
+    return row
+
+
 def prune(snapshots: DataFrame, protected: DataFrame, most: int) -> DataFrame:
     """The snapshots(timeline, id, created) that stay: all protected ones (heads, fork points) and the newest others, `most` together."""
     held = snapshots.join(protected.select("timeline", "id").distinct().withColumn("_p", F.lit(True)), ["timeline", "id"], "left")
