@@ -208,6 +208,41 @@ def by_volatility(items: DataFrame) -> DataFrame:
     return done
 
 
+def cache_layout(decided: DataFrame) -> DataFrame:
+    """(pack_id, id, position, breakpoint) of what by_volatility() chose: static items by id, session and request items by score; `breakpoint` marks the last static and the last session item, if something follows."""
+    layer = F.when(F.col("volatility") == "static", 0).when(F.col("volatility") == "session", 1).otherwise(2)
+    rows = decided.where("chosen").withColumn("_l", layer)
+    w = W.partitionBy("pack_id")
+    by_id = F.when(F.col("_l") == 0, F.col("id"))
+    at = F.row_number().over(w.orderBy("_l", by_id, F.when(F.col("_l") > 0, -F.col("score")), F.when(F.col("_l") > 0, -F.col("recency")), "ord")) - 1
+    ends = [F.count_if(F.col("_l") <= k).over(w) for k in (0, 1, 2)]
+    placed = rows.withColumns({"position": at.cast("long"), "_static": ends[0], "_session": ends[1], "_all": ends[2]})
+    static = (F.col("position") == F.col("_static") - 1) & (F.col("_static") < F.col("_all"))
+    session = (F.col("position") == F.col("_session") - 1) & (F.col("_session") > F.col("_static")) & (F.col("_session") < F.col("_all"))
+    return placed.select("pack_id", "id", "position", F.when(static, "static-end").when(session, "session-end").alias("breakpoint"))
+
+
+def cache_summary(decided: DataFrame) -> DataFrame:
+    """(pack_id, static_count, session_count, request_count, cacheable_tokens, volatile_tokens, efficiency, cache_key) of what by_volatility() chose.
+
+    The key is hash64() of the static items, by id; the budget bounds their text. Packs of which
+    nothing was chosen have no row.
+    """
+    from ..functions.text import half_up, hash64
+
+    chosen = decided.where("chosen")
+    static = F.col("volatility") == "static"
+    kept = F.sort_array(F.collect_list(F.when(static, F.struct("id", F.coalesce("content", F.lit("")).alias("content")))))
+    text = F.array_join(F.transform(kept, lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["content"])), "|")
+    tokens = F.coalesce(F.sum(F.when(static, F.col("tokens"))), F.lit(0)).cast("long")
+    out = chosen.groupBy("pack_id").agg(
+        *[F.count_if(F.col("volatility") == v).alias(f"{v}_count") for v in ("static", "session", "request")], tokens.alias("cacheable_tokens"), (F.sum("tokens").cast("long") - tokens).alias("volatile_tokens"), text.alias("_text"),
+    )
+    total = F.col("cacheable_tokens") + F.col("volatile_tokens")
+    share = F.when(total > 0, half_up(F.col("cacheable_tokens") / total, 3)).otherwise(0.0)
+    return out.withColumn("efficiency", share).withColumn("cache_key", hash64(F.col("_text"))).drop("_text")
+
+
 # Attention by tenth of the window.
 ATTENTION = {
     "claude": [1.0, 0.85, 0.65, 0.55, 0.5, 0.5, 0.55, 0.65, 0.8, 0.95],

@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 
 from ..operators import conversations as C
 from ..operators import extended_pack as X
+from ..operators import packing as P
 from ..operators import summary_pack as S
 from .flow_queries import _T, _turns
-from .model import ITEMS, items, sql_tokens, table
+from .model import BUDGET, ITEMS, items, sql_greedy, table
 from .registry import query
 
 NEAR = 0.25
@@ -86,3 +87,39 @@ select conv_id, batch, turns, array_to_string(list_filter(regexp_split_to_array(
 def model_summaries(spark, d):
     """The older turns of each conversation, two at a time, by the summarizer."""
     return C.summarized_at_once(C.batches(_turns(spark, d), size=2), shorten, 40).select("conv_id", "batch", "turns", "summary")
+
+
+_LAYERS = f"""c as (select *, row_number() over (partition by pack_id order by l, case when l = 0 then id end, case when l > 0 then -score end, case when l > 0 then -recency end, ord) - 1 as position,
+count(*) filter (l = 0) over (partition by pack_id) as ns, count(*) filter (l <= 1) over (partition by pack_id) as nt, count(*) over (partition by pack_id) as n from (select *, case volatility when 'static' then 0 when 'session' then 1 else 2 end as l from z))"""
+
+
+def _layers() -> str:
+    """CTEs ending in z: what each layer takes of what the ones before it left."""
+    out, rest = [f"""with recursive {ITEMS}, i as (select *, case when kind in ({', '.join(f"'{k}'" for k in P.STATIC)}) then 'static' when kind in ({', '.join(f"'{k}'" for k in P.SESSION)}) then 'session' else 'request' end as volatility from items)"""], f"{BUDGET}::bigint"
+    for n, layer in enumerate(("static", "session", "request")):
+        left = f"({BUDGET} - coalesce((select sum(tokens) from g{n - 1}_all y where y.pack_id = i.pack_id), 0))::bigint" if n else rest
+        out.append(f"i{n} as (select * replace ({left} as budget) from i where volatility = '{layer}')")
+        out.append(sql_greedy(f"i{n}", "pack_id", f"g{n}", "id" if not n else "score desc, recency desc, ord"))
+        out.append(f"g{n}_all as (select * exclude (chosen, rn) from g{n} where chosen" + (f" union all select * from g{n - 1}_all" if n else "") + ")")
+    return ", ".join(out) + ", z as (select * from g2_all)"
+
+
+_KEY = """list_transform(string_split(coalesce(string_agg(case when l = 0 then id || ':' || coalesce(content, '') end, '|' order by id), ''), ''), lambda x: unicode(x)::bigint)"""
+
+
+@query(f"""{_layers()}, {_LAYERS} select pack_id, id, position, case when position = ns - 1 and ns < n then 'static-end' when position = nt - 1 and nt > ns and nt < n then 'session-end' end as breakpoint from c""")
+def cache_layouts(spark, d):
+    return P.cache_layout(_cached(spark, d))
+
+
+@query(f"""{_layers()}, {_LAYERS}, k as (select pack_id, max(ns) as static_count, max(nt) - max(ns) as session_count, max(n) - max(nt) as request_count, coalesce(sum(tokens) filter (l = 0), 0)::bigint as cacheable_tokens,
+coalesce(sum(tokens) filter (l > 0), 0)::bigint as volatile_tokens, {_KEY} as codes from c group by 1)
+select pack_id, static_count, session_count, request_count, cacheable_tokens, volatile_tokens, case when cacheable_tokens + volatile_tokens > 0 then floor(cacheable_tokens / (cacheable_tokens + volatile_tokens)::double * 1000 + 0.5) / 1000.0::double else 0 end as efficiency,
+lower(to_base(list_reduce(list_prepend(0::bigint, codes), lambda h, c: (h * 31 + c) % 4294967296), 36) || to_base(list_reduce(list_prepend(2166136261::bigint, codes), lambda h, c: (xor(h, c) * 16777619) % 4294967296), 36)) as cache_key from k""")
+def cache_summaries(spark, d):
+    return P.cache_summary(_cached(spark, d))
+
+
+def _cached(spark, d):
+    rows = items(spark, d, content=True)
+    return P.by_volatility(rows.withColumn("volatility", P.volatility(F.col("kind"), P.STATIC, P.SESSION)))

@@ -105,3 +105,11 @@ def test_every_kind_has_its_payload(spark, kind):
     rows = spark.createDataFrame([tuple("x" for _ in X.PAYLOADS[kind])], ", ".join(f"{c} string" for c in X.PAYLOADS[kind]))
     got = json.loads(X.payloads(rows, kind, "t").first()["payload"])
     assert got == {"type": kind, "timestamp": "t", **dict.fromkeys(X.PAYLOADS[kind], "x")}
+
+
+def test_text_of_message_contents(spark):
+    from ctxloom.functions.text import content_text
+
+    given = ['"plain \\"words\\""', '[{"type": "text", "text": "a"}, {"type": "image", "text": "b"}, {"type": "text"}, "x", {"type": "text", "text": "c"}]', '{"a": 1}', "no json", None, "[]", "17"]
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, c string").select("i", content_text(F.col("c")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in rows] == ['plain "words"', "a\nc", '{"a": 1}', "no json", "", "", "17"]
