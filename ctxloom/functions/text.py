@@ -271,11 +271,15 @@ def hash64(text: Column) -> Column:
 
 def content_text(content: Column) -> Column:
     """The text of a message's content as JSON: a string itself, of an array the texts of its text blocks on a line each, of an object its JSON; anything else, and what is no JSON, as it stands, and null empty."""
+    known = F.try_parse_json(content)
+    blocks = F.try_variant_get(known, "$", "array<variant>")
+
+    def text(b):
+        return F.when(F.try_variant_get(b, "$.type", "string") == "text", F.try_variant_get(b, "$.text", "string"))
+
+    joined = F.array_join(F.filter(F.transform(blocks, text), lambda t: t.isNotNull()), "\n")
     own = F.ltrim(content)
-    blocks = F.filter(F.from_json(content, "array<struct<type:string,text:string>>"), lambda b: (b["type"] == "text") & b["text"].isNotNull())
-    joined = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    string = F.from_json(F.concat(F.lit('{"s":'), content, F.lit("}")), "s string")["s"]
-    return F.coalesce(F.when(own.startswith("["), joined).when(own.startswith('"'), string), content, F.lit(""))
+    return F.coalesce(F.when(own.startswith("["), joined).when(own.startswith('"'), F.try_variant_get(known, "$", "string")), content, F.lit(""))
 
 
 def alphabetical(text: Column) -> Column:
