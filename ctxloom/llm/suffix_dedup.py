@@ -9,9 +9,10 @@ array is one less than that of the position before, so the samples give the matc
 statistics of every position in one pass over the text. Positions with a match of at least
 `length` bytes start a repeated window.
 
-A hash with very many different surroundings would be one large index. Its stretches are cut
-again by the least hash of longer strings, half and three quarters of `length`, and at last by
-whole windows, whose equal ones are counted; so no index grows with a passage's popularity.
+A hash with very many different surroundings would be one large index. It is indexed in parts of
+bounded size instead, and what repeats only across parts is found by cutting its stretches again
+by the least hash of longer and longer strings, at last whole windows, and counting equal ones; so
+no index grows with a passage's popularity.
 """
 
 from __future__ import annotations
@@ -218,32 +219,51 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _mark(length: int):
-    """Rows sorted by anchor in; (text_key, start, first, last) of the repeated windows out."""
+def _indexed(batches, columns: list[str], length: int):
+    """Rows sorted by their first column, in groups of about INDEX_BYTES or one larger value, each with the runs of its repeated windows."""
 
     def index(rows):
-        built = RunIndex([r[3] for r in rows])
+        built = RunIndex([r[-1] for r in rows])
         long = built.matching_statistics() >= length
-        keys, froms, tos = [], [], []
-        for (_, key, start, text), at in zip(rows, built.starts, strict=True):
-            for a, b in zip(*_runs(long[at : at + len(text)]), strict=True):
-                keys.append(key)
-                froms.append(start + a)
-                tos.append(start + b - 1 + length)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(froms, pa.int64()), pa.array(tos, pa.int64())], ["text_key", "from", "to"])
+        for r, at in zip(rows, built.starts, strict=True):
+            yield r, list(zip(*_runs(long[at : at + len(r[-1])]), strict=True))
+
+    rows, size = [], 0
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+            if size >= INDEX_BYTES and r[0] != rows[-1][0]:
+                yield list(index(rows))
+                rows, size = [], 0
+            rows.append(r)
+            size += len(r[-1])
+    if rows:
+        yield list(index(rows))
+
+
+def _mark(length: int):
+    """Rows sorted by anchor in; (text_key, from, to) of the repeated windows out."""
 
     def run(batches):
-        rows, size, anchor = [], 0, None
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("anchor", "text_key", "start", "body")), strict=True):
-                if size >= INDEX_BYTES and r[0] != anchor:
-                    yield index(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r[3])
-                anchor = r[0]
-        if rows:
-            yield index(rows)
+        for found in _indexed(batches, ["anchor", "text_key", "start", "body"], length):
+            marks = [(r[1], r[2] + a, r[2] + b - 1 + length) for r, runs in found for a, b in runs]
+            columns = list(zip(*marks, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.binary(), pa.int64(), pa.int64()], strict=True)], ["text_key", "from", "to"])
+
+    return run
+
+
+_BODY = "anchor long, text_key binary, start long, known array<struct<first:long,last:long>>, body binary"
+
+
+def _know(length: int):
+    """Rows sorted by cell in, the same rows out with the first and last window of each repeated run."""
+    spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def run(batches):
+        for found in _indexed(batches, ["cell", "anchor", "text_key", "start", "body"], length):
+            known = [[{"first": r[3] + int(a), "last": r[3] + int(b) - 1} for a, b in runs] for r, runs in found]
+            columns = [pa.array([r[i] for r, _ in found], t) for i, t in ((1, pa.int64()), (2, pa.binary()), (3, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(known, spans), pa.array([r[4] for r, _ in found], pa.binary())], ["anchor", "text_key", "start", "known", "body"])
 
     return run
 
@@ -269,11 +289,11 @@ def _bodies(length: int):
 
 #: Rows that a cut hands on at once.
 CHUNK = 20_000
-_RECUT = "anchor long, text_key binary, start long, windows long, again boolean, content binary, body binary"
+_RECUT = "anchor long, text_key binary, start long, windows long, again boolean, seen boolean, content binary, known array<struct<first:long,last:long>>, body binary"
 
 
 def _cut_again(length: int, gram: int):
-    """Stretches of a hot anchor in, each cut by the least hash of longer strings.
+    """Stretches of a hot anchor in, each cut by the least hash of longer strings; `seen` where all windows of a piece are known to repeat.
 
     Where `gram` is the length of a window, a row is a run of equal windows: its content is one
     window, which needs no body.
@@ -282,20 +302,22 @@ def _cut_again(length: int, gram: int):
 
     def rows(batches):
         for b in batches:
-            for anchor, key, base, body in zip(*(b.column(c).to_pylist() for c in ("anchor", "text_key", "start", "body")), strict=True):
+            for anchor, key, base, known, body in zip(*(b.column(c).to_pylist() for c in ("anchor", "text_key", "start", "known", "body")), strict=True):
                 least, start, count, again = stretches(np.frombuffer(body, np.uint8), length, gram, not last)
                 anchors = mix(least ^ np.uint64(anchor & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
                 for x, s, c, more in zip(anchors.tolist(), start.tolist(), count.tolist(), again.tolist(), strict=True):
                     part = body[s : s + (length if last else c + length - 1)]
-                    yield x, key, base + s, c, more, hashlib.blake2b(part, digest_size=16).digest(), None if last else part
+                    seen = any(k["first"] <= base + s and base + s + c - 1 <= k["last"] for k in known)
+                    yield x, key, base + s, c, more, seen, hashlib.blake2b(part, digest_size=16).digest(), known, None if last else part
 
     def run(batches):
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+        spans = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), spans, pa.binary()]
         names = [x.split()[0] for x in _RECUT.split(", ")]
         held, size = [], 0
         for row in rows(batches):
             held.append(row)
-            size += len(row[6] or b"")
+            size += len(row[-1] or b"")
             if len(held) >= CHUNK or size >= INDEX_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
                 held, size = [], 0
@@ -305,12 +327,13 @@ def _cut_again(length: int, gram: int):
     return run
 
 
-def _marks(bodies: DataFrame, length: int, grams: list[int]) -> list[DataFrame]:
-    """Frames (text_key, from, to) of the repeated windows among different stretches (anchor, text_key, start, body).
+def _marks(bodies: DataFrame, length: int, grams: list[int], first: bool = True) -> list[DataFrame]:
+    """Frames (text_key, from, to) of the repeated windows among different stretches (anchor, text_key, start, known, body).
 
-    Anchors of at most HOT_BYTES are indexed; the stretches of the others are cut by the next
-    of `grams`, and counted where that makes them equal. The last of `grams` is `length`, where
-    whole windows are counted, so nothing is left open.
+    Anchors of at most HOT_BYTES are indexed whole. Larger ones are indexed in parts of about
+    INDEX_BYTES, which finds what repeats in a part; what repeats only across parts is found by
+    cutting the stretches by the next of `grams` and counting those that are equal. The last of
+    `grams` is `length`, where whole windows are counted, so nothing is left open.
     """
 
     def index(rows):
@@ -318,27 +341,33 @@ def _marks(bodies: DataFrame, length: int, grams: list[int]) -> list[DataFrame]:
         return dealt.mapInArrow(_mark(length), "text_key binary, from long, to long")
 
     size = bodies.groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"))
-    hot = materialize(size.where(F.col("bytes") > HOT_BYTES).select("anchor"), "hot")
+    hot = materialize(size.where(F.col("bytes") > HOT_BYTES).select("anchor", F.ceil(F.col("bytes") / INDEX_BYTES).alias("parts")), "hot")
     number = hot.count()
     if not number:
         return [index(bodies)]
     few = F.broadcast(hot) if number <= BROADCAST_IDS else hot
     out = [index(bodies.join(few, "anchor", "left_anti"))]
-    cut = bodies.join(few, "anchor", "left_semi").select("anchor", "text_key", "start", "body").mapInArrow(_cut_again(length, grams[0]), _RECUT)
-    cut = materialize(cut, "recut")
+    large = bodies.join(few, "anchor").select("anchor", "parts", "text_key", "start", "known", "body")
+    if first:
+        cell = F.xxhash64("anchor", F.pmod(F.xxhash64("text_key"), F.col("parts")))
+        dealt = large.withColumn("cell", cell).select("cell", "anchor", "text_key", "start", "body").repartition("cell").sortWithinPartitions("cell", "text_key", "start")
+        large = materialize(dealt.mapInArrow(_know(length), _BODY), "known")
+        out.append(large.select("text_key", F.explode("known").alias("k")).select("text_key", F.col("k.first").alias("from"), (F.col("k.last") + length).alias("to")))
+    cut = materialize(large.select("anchor", "text_key", "start", "known", "body").mapInArrow(_cut_again(length, grams[0]), _RECUT), "recut")
     last = grams[0] == length
     # a run of equal windows repeats in itself, and equal runs are alike however long they are
     n = F.sum("windows") if last else F.count("*")
     kinds = cut.groupBy("anchor", "content").agg(n.alias("n"), F.max("again").alias("again"), F.min(F.struct("text_key", "start")).alias("one"))
     kinds = materialize(kinds, "rekinds")
     often = kinds.where("n > 1").select("anchor", "content")
-    out.append(cut.join(often, ["anchor", "content"], "left_semi").select("text_key", F.col("start").alias("from"), (F.col("start") + F.col("windows") + length - 1).alias("to")))
+    found = cut.where("not seen").join(often, ["anchor", "content"], "left_semi")
+    out.append(found.select("text_key", F.col("start").alias("from"), (F.col("start") + F.col("windows") + length - 1).alias("to")))
     if not last:
         shared = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
         wanted = kinds.join(shared, "anchor").where("kinds > 1 or again").select("anchor", "one.text_key", "one.start")
         # one row of each kind goes on, with its body
-        left = materialize(cut.join(wanted, ["anchor", "text_key", "start"], "left_semi").select("anchor", "text_key", "start", "body"), "rebodies")
-        out += _marks(left, length, grams[1:])
+        left = materialize(cut.join(wanted, ["anchor", "text_key", "start"], "left_semi").select("anchor", "text_key", "start", "known", "body"), "rebodies")
+        out += _marks(left, length, grams[1:], False)
     return out
 
 
@@ -394,8 +423,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         hashed = hashed.join(F.broadcast(ids), "doc", "left_semi")
     texts = hashed.join(wanted, ["doc", "text_key"])
     bodies = texts.select("text_key", "text", "wanted").mapInArrow(_bodies(length), "anchor long, text_key binary, start long, body binary")
-    bodies = materialize(bodies, "bodies")
-    longer = sorted({x for x in (length // 2, 3 * length // 4, length) if x > gram})
+    bodies = materialize(bodies.withColumn("known", F.array().cast("array<struct<first:long,last:long>>")), "bodies")
+    longer = sorted({x for x in (length // 2, 13 * length // 16, 15 * length // 16, 49 * length // 50, length) if x > gram})
     found = _marks(bodies, length, longer)
 
     # texts that several rows share are marked whole already
