@@ -38,11 +38,11 @@ def _core(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes that lie on a cycle of edges(node, at), by strongly connected components; component is one of its nodes.
 
-    The largest node that reaches a node colours it; of a colour, those nodes that reach the one
-    that gave it are one component. They go, and what is left is coloured again. A node with an
-    edge to itself alone is a component too.
+    The node of largest hash that reaches a node colours it; of a colour, those nodes that reach
+    the one that gave it are one component. They go, and what is left is coloured again, a number
+    of times that grows with the logarithm of how many components stand above each other. A node
+    with an edge to itself alone is a component too.
     """
-    kind = edges.schema["node"].dataType
     out = edges.where("node = at").select("node", F.col("node").alias("component")).distinct()
     left = _core(edges.where("node <> at").distinct())
     frames: list[DataFrame] = []
@@ -54,7 +54,7 @@ def cycles(edges: DataFrame) -> DataFrame:
             both = now.drop("changed").join(came, "node", "left")
             return both.select("node", F.greatest("colour", "c").alias("colour"), (F.coalesce(F.col("c") > F.col("colour"), F.lit(False))).alias("changed"))
 
-        coloured = _grown(stored(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("changed"))), colour)
+        coloured = _grown(stored(nodes.select("node", F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("id")).alias("colour"), F.lit(True).alias("changed"))), colour)
         a, b = coloured.select("node", "colour"), coloured.select(F.col("node").alias("at"), F.col("colour").alias("_c"))
         inner = stored(left.join(a, "node").join(b, "at").where("colour = _c").select("node", "at"))
 
@@ -62,7 +62,7 @@ def cycles(edges: DataFrame) -> DataFrame:
             new = inner.join(now.where("changed").select(F.col("node").alias("at"), "colour"), "at").select("node", "colour").distinct().join(now.select("node"), "node", "left_anti")
             return now.select("node", "colour", F.lit(False).alias("changed")).unionByName(new.withColumn("changed", F.lit(True)))
 
-        found = _grown(stored(coloured.where("node = colour").select("node", "colour", F.lit(True).alias("changed"))), back)
+        found = _grown(stored(coloured.where("node = colour.id").select("node", "colour", F.lit(True).alias("changed"))), back)
         frames.append(found)
         gone = found.select("node")
         rest = left.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "at"), "at", "left_anti").select("node", "at")
@@ -72,21 +72,27 @@ def cycles(edges: DataFrame) -> DataFrame:
     for f in frames:
         # a component of one node that was between cycles is none
         size = f.groupBy("colour").agg(F.count("*").alias("n")).where("n > 1").select("colour")
-        out = out.unionByName(f.join(size, "colour", "left_semi").select("node", F.col("colour").cast(kind).alias("component")))
-    several = stored(out.groupBy("node").agg(F.max("component").alias("component")))
-    dropped(*frames)
+        out = out.unionByName(f.join(size, "colour", "left_semi").select("node", F.col("colour.id").alias("component")))
     # a node with an edge to itself belongs to the component that it shares with others, if any
+    alone = F.col("component") == F.col("node")
+    several = stored(out.groupBy("node").agg(F.coalesce(F.max(F.when(~alone, F.col("component"))), F.max("component")).alias("component")))
+    dropped(*frames)
     return several
 
 
-def depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Paths of one step up to which what is on or above cycles is walked as one.
+PATHS = 1_000_000
+
+
+def depth(edges: DataFrame, nodes: DataFrame, most: int = PATHS) -> DataFrame:
     """(node, depth): edges(node, needs) on the longest chain of dependencies from a node that visits no node twice, and the step back into a cycle.
 
     A dependency that is no node counts as one step. Nodes outside cycles are settled level by
-    level, from those that need nothing upwards, without a cap. A component of a cycle is settled
-    at once, when all that its nodes need outside of it is: only there paths are followed with the
-    nodes visited, so the work beyond the levels is the number of simple paths inside single
-    components, which is large in a dense one.
+    level, from those that need nothing upwards, without a cap. What is left, on cycles or above
+    them, is walked at once, as long as no step has more than `most` paths. Where one has, strongly
+    connected components are found, and each is settled when all that its nodes need outside of it
+    is: only there paths are followed with the nodes visited, so the work is the number of simple
+    paths inside single components, which is large in a dense one. Both ways give the same depths.
     """
     needs = stored(edges.select("node", F.col("needs").alias("at")).where("at is not null").distinct())
     every = nodes.select("node").unionByName(needs.select(F.col("at").alias("node"))).distinct()
@@ -102,6 +108,14 @@ def depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         known.add(ready)
     if not left.isEmpty():
         # what is left lies on cycles or above them
+        open_ = left.join(known.frame().withColumnRenamed("node", "at"), "at", "left").withColumn("inner", F.col("depth").isNull())
+        walked = _inside(open_, most)
+        if walked is not None:
+            known.add(stored(walked))
+            dropped(walked)
+            last, left = left, stored(left.limit(0))
+            dropped(last)
+    if not left.isEmpty():
         own = stored(cycles(left))
         of = own.select(F.col("node").alias("at"), F.col("component").alias("_to"))
         on = left.join(own, "node", "left").join(of, "at", "left").withColumn("inner", F.coalesce(F.col("component") == F.col("_to"), F.lit(False)))
@@ -152,13 +166,16 @@ def _without(rows: DataFrame, settled: DataFrame) -> DataFrame:
     return out
 
 
-def _inside(edges: DataFrame) -> DataFrame:
-    """(node, depth) of the nodes of components whose edges(node, at, inner, depth of what is outside) are all here."""
+def _inside(edges: DataFrame, most: int | None = None) -> DataFrame | None:
+    """(node, depth) of the nodes of components whose edges(node, at, inner, depth of what is outside) are all here; None once a step has more than `most` paths."""
     inner = stored(edges.where("inner").select("node", "at"))
     exits = stored(edges.groupBy("node").agg(F.max(F.when(~F.col("inner"), F.col("depth") + 1)).alias("out")))
     paths = stored(exits.select("node", F.col("node").alias("here"), F.array("node").alias("seen"), F.lit(0).cast("long").alias("d")))
     found: DataFrame | None = None
-    while not paths.isEmpty():
+    while number := paths.count():
+        if most is not None and number > most:
+            dropped(inner, exits, paths, *([found] if found is not None else []))
+            return None
         left = paths.join(exits.select(F.col("node").alias("here"), "out"), "here").select("node", (F.col("d") + F.coalesce("out", F.lit(0))).alias("depth"))
         on = stored(paths.join(inner.select(F.col("node").alias("here"), "at"), "here"))
         closed = on.where(F.array_contains("seen", F.col("at"))).select("node", (F.col("d") + 1).alias("depth"))

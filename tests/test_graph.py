@@ -40,8 +40,10 @@ def test_components_and_depths(spark):
         assert set(got) == on
         assert all((got[a] == got[b]) == (b in reach(edges, a) and a in reach(edges, b)) for a in on for b in on if a != b)
         nodes = sorted({v for p in pairs for v in p} | {99})
-        depth = {r["node"]: r["depth"] for r in G.depth(df, spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
-        assert depth == {v: longest(edges, v) for v in nodes}
+        want = {v: longest(edges, v) for v in nodes}
+        for most in (3, G.PATHS):  # by components, and all at once
+            depth = {r["node"]: r["depth"] for r in G.depth(df, spark.createDataFrame([(n,) for n in nodes], "node long"), most).collect()}
+            assert depth == want
 
 
 def test_no_edges_and_no_nodes(spark):
