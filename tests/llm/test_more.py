@@ -271,7 +271,8 @@ def test_sql_of_the_queries(spark):
     from ctxloom.llm import queries
 
     con = duckdb.connect()
-    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    for t in ("documents", "benchmark", "embeddings"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     for name, text in queries.oracle_sql().items():
         want = con.sql(text)
         got = queries.queries()[name](spark, "/root/testdata/sf0.001").select(*want.columns)
