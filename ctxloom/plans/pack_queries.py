@@ -104,7 +104,7 @@ def _layers() -> str:
     return ", ".join(out) + ", z as (select * from g2_all)"
 
 
-_KEY = """list_transform(string_split(coalesce(string_agg(case when l = 0 then id || ':' || coalesce(content, '') end, '|' order by id), ''), ''), lambda x: unicode(x)::bigint)"""
+_KEY = """list_transform(list_filter(string_split(coalesce(string_agg(case when l = 0 then id || ':' || coalesce(content, '') end, '|' order by id), ''), ''), lambda x: x <> ''), lambda x: unicode(x)::bigint)"""
 
 
 @query(f"""{_layers()}, {_LAYERS} select pack_id, id, position, case when position = ns - 1 and ns < n then 'static-end' when position = nt - 1 and nt > ns and nt < n then 'session-end' end as breakpoint from c""")
