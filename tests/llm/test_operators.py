@@ -547,12 +547,12 @@ def test_one_row_of_a_near_duplicate_group_stays_with_repeated_rows_and_null_ids
     assert sorted(r["k"] for r in out if not (r["text"] or "").strip()) == [13, 14, 15, 16, 17]
 
 
-def test_the_ten_queries_are_registered():
+def test_the_thirteen_queries_are_registered():
     import inspect
     import re as regex
 
     from ctxloom.llm import queries
 
     found = queries.queries()
-    assert [int(regex.match(r"op(\d+)_", k)[1]) for k in found] == list(range(1, 11))
+    assert [int(regex.match(r"op(\d+)_", k)[1]) for k in found] == list(range(1, 14))
     assert all(list(inspect.signature(f).parameters) == ["spark", "sf_dir"] for f in found.values())
