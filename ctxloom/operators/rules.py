@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import half_up
+
 
 @dataclass(frozen=True)
 class RiskModel:
-    """weights: column -> factor; flags: boolean column -> amount added when true; the sum ends at 1.
+    """weights: column -> factor; flags: boolean column -> amount added when true; the sum ends at 1, to six digits.
 
     routes: (name, SQL condition over the columns and `risk`, priority, confidence); the first
     that holds decides, the last needs no condition.
@@ -26,7 +28,8 @@ class RiskModel:
             total = total + F.coalesce(c, F.lit(0.0)) * F.lit(w)
         for c, w in self.flags.items():
             total = total + F.when(F.col(c), w).otherwise(0.0)
-        return F.least(F.lit(1.0), total)
+        # a limit is met as it is read, not missed by the last bit of a sum
+        return half_up(F.least(F.lit(1.0), total), 6)
 
     def decide(self, cases: DataFrame) -> DataFrame:
         """cases with risk, route, priority, confidence. Null numbers count 0, null flags false."""

@@ -574,3 +574,14 @@ def test_attacks(spark):
     assert sum(r["worst"] for r in out) == 2
     with pytest.raises(ValueError):
         A.attack(df, "none")
+
+
+def test_a_rule_engine_meets_a_limit_that_a_sum_of_floats_misses(spark):
+    from ctxloom.operators.rules import CONTACT_CENTRE
+
+    numbers = {"churn": 0.28, "compliance": 0.24, "fraud": 0.7, "low_value": 1 / 7, "wait": 36 / 60, "recontact": 0.0}
+    row = spark.range(1).select(*[F.lit(v).alias(c) for c, v in numbers.items()], *[F.lit(None).cast("double").alias(c) for c in ("csat", "hint")], F.lit(36).alias("wait_minutes"), F.lit(0).alias("recontacts"), *[F.lit(False).alias(c) for c in ("severe", "vip", "no_autopilot", "supervisor")])
+    for gap in (0.32, 0.32 - 1e-12):
+        risk = row.withColumns({c: F.lit(0.0) for c in numbers}).withColumn("hint", F.lit(gap))
+        out = CONTACT_CENTRE.decide(risk).first()
+        assert (out["risk"], out["route"]) == (0.32, "autopilot_resolution")
