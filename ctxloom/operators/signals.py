@@ -9,6 +9,7 @@ text without an id gives one signal, named by the text's checksum.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -125,12 +126,32 @@ def _name(found: Column) -> Column:
     return F.upper(F.replace(F.trim(found), F.lit("_"), F.lit("-")))
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+#: The spellings of s and k beyond ASCII.
+LONG_S, KELVIN = "\u017f", "\u212a"
+
+
+def _java(pattern: str) -> str:
+    """The pattern for Java's regular expressions, as it is meant: words and blanks are those of ASCII, letter case folds as RE2 folds it.
+
+    `\b` stands only before a first and behind a last word character. Java would hold letters
+    beyond ASCII for parts of a word, a vertical tab for a blank, and the long s and the Kelvin
+    sign for no spelling of s and k. What a match begins with is asked first, as most places fail there.
+    """
+    body, folds = pattern.removeprefix("(?i)"), pattern.startswith("(?i)")
+    body = re.sub(r"^\\b", "(?<![A-Za-z0-9_])", body)
+    body = re.sub(r"\\b$", "(?![A-Za-z0-9_])", body).replace(r"\s", r"[\t\n\f\r ]")
+    if not folds:
+        return body
+    words = pattern.removeprefix("(?i)").removeprefix(r"\b").removeprefix("(?:").split(")")[0].split("|")
+    first = r"\d" if words[0].startswith(r"(\d") else "".join(sorted({w[0].lower() for w in words}))
+    first += LONG_S * ("s" in first) + KELVIN * ("k" in first)
+    body = re.sub(r"(?<!\\)[sS]", f"[s{LONG_S}]", re.sub(r"(?<!\\)[kK]", f"[k{KELVIN}]", body))
+    body = re.sub(r"(?<!<!)(?<!\?!)\[A-Za-z0-9", f"[A-Za-z{LONG_S}{KELVIN}0-9", body)
+    return f"(?i)(?=[{first}])(?:{body})"
 
 
-def _first(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(group))
 
 
 def _worth(one: float):
@@ -151,37 +172,68 @@ def extract(docs: DataFrame, engine: str, most: int = 20) -> DataFrame:
     """
     e = EXTRACTORS[engine]
     text = F.coalesce("text", F.lit(""))
-    runs, gaps = _all(text, e.own), F.split(text, e.own)
-    named = F.zip_with(runs, F.slice(gaps, 2, F.size(runs)), lambda r, g: F.struct(_name(r).alias("id"), F.concat(r, g).alias("part")))
-    ids = F.transform(named, lambda x: x["id"])
-    different = F.slice(F.filter(named, lambda x, i: F.array_position(ids, x["id"]) == i + 1), 1, most)
+    grouped = {name: int("([A-Za-z0-9]{1,8})" in pattern) for name, (pattern, _) in e.ids.items()}
+    # each pattern reads the whole text once, in the text's own row; what is found is cut to what `most` signals can ask for
+    read = {"_runs": _all(text, e.own), "_gaps": F.split(text, _java(e.own))}
+    read |= {f"_id_{name}": _all(text, pattern, grouped[name]) for name, (pattern, _) in e.ids.items()}
+    read |= {f"_figure_{name}_{n}": _all(text, pattern, 1) for name, patterns in e.figures.items() for n, (pattern, _) in enumerate(patterns)}
+    read |= {f"_flag_{name}": text.rlike(_java(pattern)) for name, pattern in e.flags.items()}
+    if e.around and "lane" in e.ids:
+        read["_pairs"] = _all(F.upper(text), PORTS)
+    if e.hint:
+        read["_hints"] = _all(text, e.hint)
+    rows = docs.withColumns(read).withColumn("_names", F.transform("_runs", _name))
+
+    def signal(name):
+        at = F.array_position("_names", name).cast("int")
+        return F.struct(name.alias("id"), F.concat(F.get("_runs", at - 1), F.get("_gaps", at)).alias("part"))
+
+    different = F.transform(F.slice(F.array_distinct("_names"), 1, most), signal)
     alone = F.array(F.struct(F.concat(F.lit(e.prefix), F.upper(F.substring(F.sha2(text, 256), 1, 8))).alias("id"), F.lit("").alias("part")))
-    own = docs.withColumn("_all", F.when(F.size(runs) > 0, different).otherwise(alone))
-    rows = own.select(*docs.columns, F.posexplode("_all").alias("signal", "_s")).withColumn("signal_id", F.col("_s.id"))
-    i, part = F.col("signal"), F.col("_s.part")
-    columns: dict[str, Column] = {}
-    for name, (pattern, none) in e.ids.items():
-        group = 1 if "([A-Za-z0-9]{1,8})" in pattern else 0
-        named_by = (lambda x: F.concat(F.lit("SHIFT-"), F.upper(x))) if group else _name
-        found = F.transform(_all(text, pattern, group), named_by)
+    known = {"_all": F.when(F.size("_names") > 0, different).otherwise(alone)}
+    named_by = {name: (lambda x: F.concat(F.lit("SHIFT-"), F.upper(x))) if grouped[name] else _name for name in e.ids}
+    for name in e.ids:
+        found = F.transform(f"_id_{name}", named_by[name])
         if e.around:
             if name == "lane":
-                pairs = F.transform(_all(F.upper(text), PORTS), lambda x: F.replace(F.regexp_replace(x, r"\s+", ""), F.lit("TO"), F.lit("->")))
+                pairs = F.transform("_pairs", lambda x: F.replace(F.regexp_replace(x, r"\s+", ""), F.lit("TO"), F.lit("->")))
                 found = F.concat(found, pairs)
             found = F.array_distinct(found)
+        known[f"_id_{name}"] = F.slice(found, 1, most)
+    for name, patterns in e.figures.items():
+        everywhere = F.concat(*[F.transform(f"_figure_{name}_{n}", _worth(one)) for n, (_, one) in enumerate(patterns)])
+        known[f"_figure_{name}"] = F.array_max(everywhere) if e.around else F.slice(everywhere, 1, most)
+    if e.hint:
+        known["_hints"] = F.slice("_hints", 1, most)
+    rows = rows.select(*docs.columns, *[F.col(f"_flag_{name}") for name in e.flags], *[c.alias(name) for name, c in known.items()])
+    # outer, though no text is without a signal: else a filter on the signals is inferred, which reads the text again for each
+    rows = rows.select("*", F.posexplode_outer("_all").alias("signal", "_s")).withColumn("signal_id", F.col("_s.id"))
+    i, part = F.col("signal"), F.col("_s.part")
+    near = {} if e.around else {f"_near_{name}": F.regexp_extract(part, _java(pattern), grouped[name]) for name, (pattern, _) in e.ids.items()}
+    near |= {} if e.around else {f"_near_{name}_{n}": F.regexp_extract(part, _java(pattern), 1) for name, patterns in e.figures.items() for n, (pattern, _) in enumerate(patterns)}
+    if e.hint:
+        near["_near_hint"] = F.element_at(F.concat(F.array(F.lit("")), _all(part, e.hint)), -1) if e.last_hint else F.regexp_extract(part, _java(e.hint), 0)
+    rows = rows.withColumns(near)
+
+    def beside(name):
+        return F.nullif(F.col(f"_near_{name}"), F.lit(""))
+
+    columns: dict[str, Column] = {}
+    for name, (_, none) in e.ids.items():
+        found = F.col(f"_id_{name}")
+        if e.around:
             columns[name] = F.coalesce(F.get(found, F.when(F.size(found) > 0, F.pmod(i, F.greatest(F.size(found), F.lit(1))))), F.lit(none))
         else:
-            columns[name] = F.coalesce(named_by(_first(part, pattern, group)), _nth(found, i), F.lit(none))
+            columns[name] = F.coalesce(named_by[name](beside(name)), _nth(found, i), F.lit(none))
     for name, patterns in e.figures.items():
-        everywhere = F.concat(*[F.transform(_all(text, p, 1), _worth(one)) for p, one in patterns])
-        near = F.array_max(everywhere) if e.around else F.coalesce(*[_worth(one)(_first(part, p, 1)) for p, one in patterns], _nth(everywhere, i))
-        columns[name] = F.nullif(near, F.lit(0.0))
+        found = F.col(f"_figure_{name}")
+        one = found if e.around else F.coalesce(*[_worth(w)(beside(f"{name}_{n}")) for n, (_, w) in enumerate(patterns)], _nth(found, i))
+        columns[name] = F.nullif(one, F.lit(0.0))
     if e.hint:
-        here, everywhere = _all(part, e.hint), _all(text, e.hint)
-        columns["hint"] = F.lower(F.coalesce(F.when(F.size(here) > 0, F.element_at(here, -1 if e.last_hint else 1)), _nth(everywhere, i)))
-    for name, pattern in e.flags.items():
-        columns[name] = text.rlike(pattern)
-    out = rows.withColumns(columns).drop("_s")
+        columns["hint"] = F.lower(F.coalesce(beside("hint"), _nth(F.col("_hints"), i)))
+    for name in e.flags:
+        columns[name] = F.col(f"_flag_{name}")
+    out = rows.withColumns(columns).select(*docs.columns, "signal", "signal_id", *columns)
     return out.withColumns({name: F.coalesce(F.expr(mark), F.lit(False)) for name, mark in e.marks.items()})
 
 

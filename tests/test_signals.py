@@ -65,3 +65,21 @@ def test_text_to_route(spark):
     assert rows[2]["route"] == "surge_flow_stabilization" and rows[2]["priority"] == "high"
     base = 84 / 100 * 0.20 + 0.1 * 0.14 + 0.1 * 0.18 + 0.24 * 0.08 + 26 / 80 * 0.08 + 0.46 * 0.10 + 0.48 * 0.07 + 3 / 24 * 0.07 + 20 / 120 * 0.05 + 7 / 30 * 0.03
     assert abs(rows[3]["risk"] - base) < 1e-12 and rows[3]["route"] == "monitor" and rows[3]["confidence"] == 0.53
+
+
+def test_words_end_where_ascii_words_end(spark):
+    # a letter beyond ASCII parts words, a vertical tab is no blank, a long s is an s: as RE2 reads the same patterns
+    drop = found(spark, "manufacturing", "éMFG-11 12 für, FAULT-77é")
+    assert [(r["signal_id"], r["observed_heat"]) for r in drop] == [("MFG-11", 12.0), ("FAULT-77", 12.0)]
+    assert found(spark, "manufacturing", "MFG-11 12\x0bc")[0]["observed_heat"] is None
+    case = found(spark, "pharmacovigilance", "case123é with 7 report\u017f")[0]
+    assert (case["signal_id"], case["observed_cases"]) == ("CASE123", 7)
+    assert found(spark, "pharmacovigilance", "AE-999 drug\u212a1")[0]["compound"] == "DRUG\u212a1"
+    assert found(spark, "emergency", "INC-55é")[0]["signal_id"] == "INC-55"
+
+
+def test_a_text_is_read_once_for_all_its_signals(spark):
+    docs = spark.createDataFrame([(1, "MFG-11 line_12 5 ips")], "k long, text string")
+    plan = S.extract(docs, "manufacturing")._jdf.queryExecution().optimizedPlan().toString()
+    # own ids, three other ids, three figures and hints, each once
+    assert plan.count("regexp_extract_all(") == 8
