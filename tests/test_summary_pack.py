@@ -75,3 +75,17 @@ def test_one_call_for_many_texts(spark, tmp_path):
     rows = spark.range(0, 500, 1, 1).select(F.when(F.col("id") % 5 > 0, F.lit("a b c")).alias("t"), (F.col("id") % 2).alias("room"))
     assert summaries(rows, "t", "room", count).where("summary is not null").count() == 200
     assert open(calls).read().split() == ["200"]
+
+
+def test_a_pack_that_stands_still_is_done_in_few_rounds(spark, monkeypatch):
+    rounds, stored = [], S.stored
+
+    def counted(df):
+        if "decision" in df.columns and "room" in df.columns:
+            rounds.append(1)
+        return stored(df)
+
+    monkeypatch.setattr(S, "stored", counted)
+    rows = [(0, i, "w w w", 3, None, 0.0, 0.0, 1) for i in range(400)]
+    got = S.summary_pack(spark.createDataFrame(rows, SCHEMA), lambda asked: [None for _ in asked], ahead=8)
+    assert got.where("decision = 'exclude'").count() == 400 and len(rounds) < 8
