@@ -73,7 +73,8 @@ def pack_greedy(spark, d):
 @query(f"""with recursive {ITEMS}, {sql_greedy('items', 'pack_id')} select pack_id, coalesce(sum(tokens) filter (chosen), 0)::bigint as total_tokens,
 ({BUDGET} - coalesce(sum(tokens) filter (chosen), 0))::bigint as remaining, count(*) filter (chosen) as selected_count, count(*) filter (not chosen) as dropped_count from g group by 1""")
 def pack_summary(spark, d):
-    return P.summary(P.greedy(items(spark, d), ["pack_id"]), ["pack_id"])
+    # the texts are read once for their tokens, not again for each test of them and for the join
+    return P.summary(P.greedy(stored(items(spark, d)), ["pack_id"]), ["pack_id"])
 
 
 @query(f"""with recursive {ITEMS}, {sql_greedy('items', 'pack_id')} select pack_id, rn::bigint as step, id, case when chosen then 'include' else 'exclude' end as decision,
