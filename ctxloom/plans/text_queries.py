@@ -16,10 +16,8 @@ _KEY = f"list_filter(list_distinct({_TOK}), lambda x: not list_contains({_STOP},
 _ASKED = "a as (select d.doc_id, d.text, b.text as q from documents d join benchmark b on b.item_id = d.doc_id % 40)"
 
 
-def _asked(spark, d):
-    """Each document with one query."""
-    docs = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    return docs.join(table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), "item_id")
+def _keys(words):
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in T.STOPWORDS]))
 
 
 @query(f"""with {_ASKED}, k as (select doc_id, {_KEY.format('q')} as qk, {_KEY.format('text')} as dk, {_TOK.format('q')} as qt, {_TOK.format('text')} as dt,
@@ -29,11 +27,14 @@ b as (select f.doc_id, sum(times * ln(0.5::double / 1.5::double + 1) * tf * 2.2:
 select k.doc_id, {r6("case when len(qk) > 0 then len(list_intersect(qk, dk)) / len(qk)::double else 0::double end")} as keyword_relevance, {r6("coalesce(s, 0) / (coalesce(s, 0) + 1)")} as relevance,
 {r6("case when len(qa) + len(da) - n_both = 0 then 0 else n_both / (len(qa) + len(da) - n_both)::double end")} as overlap from k left join b on b.doc_id = k.doc_id""")
 def query_relevance(spark, d):
-    a = _asked(spark, d)
     q, t, none = F.col("q"), F.col("text"), F.lit(None).cast("array<double>")
-    return a.select(
-        "doc_id", q6(T.keyword_relevance(T.keywords(q), T.keywords(t))).alias("keyword_relevance"), q6(T.relevance(none, none, T.tokens(q), T.tokens(t))).alias("relevance"),
-        q6(T.keyword_overlap(q, t)).alias("overlap"),
+    # what a query or a text is parted into is a column of its own, so each is read once
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")).select("item_id", T.tokens(q).alias("qt"), T.ascii_words(q).alias("qa")).select("*", _keys("qt").alias("qk"))
+    docs = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), T.tokens(t).alias("dt"), T.ascii_words(t).alias("da"))
+    both = docs.join(asked, "item_id")
+    return both.select(
+        "doc_id", q6(T.keyword_relevance(F.col("qk"), F.col("dt"))).alias("keyword_relevance"), q6(T.relevance(none, none, F.col("qt"), F.col("dt"))).alias("relevance"),
+        q6(T.jaccard(F.col("qa"), F.col("da"))).alias("overlap"),
     )
 
 
