@@ -139,8 +139,7 @@ bm as (select qt.query_id, tf.doc_id, sum(times * ln((nd - df + 0.5::double) / (
 select query_id, doc_id, {r6('score')} as score from bm qualify row_number() over (partition by query_id order by floor(score * 1000000 + 0.5) desc, doc_id) <= 5""")
 def bm25_spaced(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = R.bm25(table(spark, d, "documents"), asked, k1=1.5, tokenize=R.spaced).withColumn("score", q6(F.col("score")))
-    return R.top(scored, "query_id", "doc_id", 5).select("query_id", "doc_id", "score")
+    return R.bm25_top(table(spark, d, "documents"), asked, 5, k1=1.5, tokenize=R.spaced).select("query_id", "doc_id", "score")
 
 
 # retrieval

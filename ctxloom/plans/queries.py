@@ -147,14 +147,13 @@ bm as (select qt.query_id, tf.doc_id, sum(times * ln((nd - df + 0.5::double) / (
 from tf join df on tf.term = df.term join sz on tf.doc_id = sz.doc_id cross join st join qt on qt.term = tf.term group by 1, 2)"""
 
 
-def _bm25(spark, d):
-    return R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+def _searched(spark, d):
+    return table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"with {_BM} select query_id, doc_id, {r6('score')} as score from bm qualify row_number() over (partition by query_id order by floor(score * 1000000 + 0.5) desc, doc_id) <= 10")
 def bm25_top10(spark, d):
-    scored = _bm25(spark, d).withColumn("score", q6(F.col("score")))
-    return R.top(scored, "query_id", "doc_id", 10).select("query_id", "doc_id", "score")
+    return R.bm25_top(*_searched(spark, d), 10).select("query_id", "doc_id", "score")
 
 
 _VEC = """v as (select vec_id, list_transform(embedding, lambda x: x::double) as e, label from embeddings),
@@ -191,14 +190,7 @@ kr as (select query_id, doc_id, row_number() over (partition by query_id order b
 u as (select query_id, doc_id, 0.4::double / (60 + rank) as part from b union all select query_id, doc_id, 0.6::double / (60 + rank) from kr)
 select query_id, doc_id, {r6('sum(part)')} as score from u group by 1, 2""")
 def hybrid_rrf(spark, d):
-    scored = _bm25(spark, d).withColumn("score", q6(F.col("score")))
-    first = R.top(scored, "query_id", "doc_id", 20)
-    docs = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    tf = docs.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    words = tf.join(asked, "term").groupBy("query_id", "doc_id").agg(F.struct(F.count("*").alias("n"), F.sum("tf").alias("s")).alias("score"))
-    second = R.top(words, "query_id", "doc_id", 20)
-    return R.fuse([(first, 0.4), (second, 0.6)]).select("query_id", "doc_id", q6(F.col("score")).alias("score"))
+    return R.words_and_bm25(*_searched(spark, d), 20, (0.4, 0.6)).select("query_id", "doc_id", q6(F.col("score")).alias("score"))
 
 
 _SET = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: length(x) > 2))"

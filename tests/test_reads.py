@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
+from ctxloom.operators import retrieval as R
 from ctxloom.plans import text_queries as X
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,34 @@ def test_own_bm25_counts_without_a_scan_for_each_query_token(spark):
     want = {0: one[2] + one[1] + one[2] + one[0], 1: 0.0, 2: 0.0, 3: None, 4: None, 5: 0.0, 6: one[1], 7: 0.0}
     got = {r.k: r.s for r in df.collect()}
     assert {k: None if v is None else round(v, 12) for k, v in got.items()} == {k: None if v is None else round(v, 12) for k, v in want.items()}
+
+
+def ranked_pairs(scored, k):
+    kept = {}
+    for q, d, s in sorted(scored, key=lambda x: (x[0], [-v for v in (x[2] if isinstance(x[2], tuple) else (x[2],))], x[1])):
+        kept.setdefault(q, []).append((d, s))
+    return {(q, d, s, n + 1) for q, own in kept.items() for n, (d, s) in enumerate(own[:k])}
+
+
+def test_best_of_many_queries_in_cells(spark, monkeypatch):
+    """Small blocks, repeated documents and query terms, ties, empty and null texts: as from all pairs."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, int(rng.integers(0, 25)))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts), (60, None), (61, texts[1]), (5, "w1 w2 w1"), (62, "w0")], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 33, 6))) for i in range(9)] + [(9, "zz"), (10, None)], "query_id long, text string")
+    all_pairs = [(r.query_id, r.doc_id, math.floor(r.score * 1e6 + 0.5) / 1e6) for r in R.bm25(docs, asked).collect()]
+    for name, value in (("DOCUMENTS", 7), ("QUERIES", 3), ("MATRIX", 50)):
+        monkeypatch.setattr(R, name, value)
+    got = R.bm25_top(docs, asked, 4)
+    assert {(r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()} == ranked_pairs(all_pairs, 4)
+    # nothing that is left to run reads a text or makes a row of each pair
+    assert "split(" not in plan(got) and "regexp" not in plan(got) and "Join" not in plan(got).split("FlatMapCoGroups")[0]
+    words = {}
+    for i, t in ((r.doc_id, r.text or "") for r in docs.collect()):
+        words.setdefault(i, []).extend(t.split())
+    hits = []
+    for q, t in ((r.query_id, set((r.text or "").split())) for r in asked.collect()):
+        hits += [(q, d, (len(t & set(own)), sum(w in t for w in own))) for d, own in words.items() if t & set(own)]
+    counts = R.Counted(docs, asked)
+    found = counts.best(counts.weighted(1.2, 0.75), 4, hits=True)
+    assert {(r.query_id, r.doc_id, tuple(r.score), r["rank"]) for r in found.collect()} == ranked_pairs(hits, 4)
