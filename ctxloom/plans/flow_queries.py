@@ -12,7 +12,7 @@ from ..operators import packing as P
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import templates as E
-from .model import ITEMS, NOW, items, sql_greedy, sql_tokens, table
+from .model import ITEMS, NOW, chosen_texts, decided, items, sql_greedy, sql_tokens, table
 from .queries import _TOK, _VEC, q6, r6
 from .registry import query
 
@@ -103,7 +103,7 @@ y as (select pack_id, section, role, min(ord) as first, string_agg(content, chr(
 
 
 def _messages(spark, d):
-    return E.to_messages(P.greedy(items(spark, d, content=True), ["pack_id"]).where("chosen"))
+    return E.to_messages(chosen_texts(spark, d, decided(spark, d)))
 
 
 @query(f"with recursive {_G}, {_MSG} select pack_id, coalesce(string_agg(content, chr(10) || chr(10) order by section, first) filter (role = 'system'), '') as system, count(*) filter (role <> 'system')::int as turns, coalesce(string_agg(role || ': ' || content, chr(10) order by section, first) filter (role <> 'system'), '') as said from y group by 1")
@@ -170,8 +170,7 @@ def retrieve_by_gain(spark, d):
 @query(rf"""with recursive {_G}, x as (select pack_id, id, list_distinct(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda y: length(y) > 2)) as w from g where chosen),
 p as (select a.pack_id, a.id as a, b.id as b, len(list_intersect(a.w, b.w)) as i, len(a.w) as m, len(b.w) as n from x a join x b on a.pack_id = b.pack_id and a.id < b.id) select pack_id, a, b from p where i > 0 and i * 12 > (m + n - i)""")
 def redundant_pairs(spark, d):
-    p = P.greedy(items(spark, d, content=True), ["pack_id"]).where("chosen")
-    return K.redundant_pairs(p, 1, 12)
+    return K.redundant_pairs(chosen_texts(spark, d, decided(spark, d)), 1, 12)
 
 
 @query(f"with {ITEMS} select pack_id, id from items where case kind when 'memory' then recency >= 3 when 'system' then recency >= 7 else true end")
@@ -239,8 +238,8 @@ case when coalesce(h, 0) > 0 then 'wrong-priorities' end], lambda x: x is not nu
 select pack_id, issue, case issue when 'wrong-priorities' then 'critical' when 'budget-waste' then 'info' else 'warning' end as severity, case when h > 0 then 'critical' when freshness < 0.2::double then 'warning' else 'good' end as health from r""")
 def diagnoses(spark, d):
     """Of the issues those that do not rest on word sets; quality_metrics covers these."""
-    g = P.greedy(items(spark, d, content=True), ["pack_id"])
-    o = Q.observe(g, NOW).withColumns({"redundancy": F.lit(0.0), "diversity": F.lit(1.0)})
+    g = decided(spark, d)
+    o = Q.observe(chosen_texts(spark, d, g), NOW).withColumns({"redundancy": F.lit(0.0), "diversity": F.lit(1.0)})
     h = K.dropped_analysis(g).groupBy("pack_id").agg(F.sum("high_priority_dropped").alias("high_priority_dropped"), F.sum("relevant_dropped").alias("relevant_dropped"))
     return Q.diagnose(o.join(h, "pack_id", "left"))
 
@@ -248,4 +247,4 @@ def diagnoses(spark, d):
 @query()
 def quality_gate(spark, d):
     """The chosen items that are left once each pack's overall quality reaches 0.7."""
-    return Q.gate(P.greedy(items(spark, d, content=True), ["pack_id"]), 0.7).where("kept").select("pack_id", "id")
+    return Q.gate(chosen_texts(spark, d, decided(spark, d)), 0.7).where("kept").select("pack_id", "id")

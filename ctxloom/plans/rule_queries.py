@@ -12,7 +12,7 @@ from ..operators import retrieval as R
 from ..operators import rules as U
 from ..operators import sets as S
 from ..operators import templates as E
-from .model import ITEMS, items, sql_greedy, table
+from .model import ITEMS, chosen_texts, decided, items, sql_greedy, table
 from .queries import _DIFF, _SET, _TOK, _versions, q6, r6
 from .registry import query
 
@@ -78,7 +78,7 @@ _NEG = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in K.NEGATIONS) +
 j as (select x.pack_id, x.id as a, y.id as b, len(list_intersect(x.w, y.w)) as i, len(x.w) as n, len(y.w) as m, list_has_any(x.w, {_NEG}) as p, list_has_any(y.w, {_NEG}) as q from w x join w y on x.pack_id = y.pack_id and x.id < y.id)
 select pack_id, a, b from j where i * 5 > (n + m - i) * 3 and p <> q""")
 def contradictions(spark, d):
-    s = _decided(spark, d, content=True).where("chosen")
+    s = chosen_texts(spark, d, decided(spark, d))
     return K.contradictions(s.withColumn("content", F.concat("content", F.when(F.col("id") % 3 == 0, " not").otherwise(""))))
 
 
@@ -89,7 +89,7 @@ case kind when 'system' then 0 when 'memory' then 20 when 'retrieval' then 30 wh
 @query(f"""with recursive {_MSG} select pack_id, section, role, min(ord) as "first", md5(string_agg(prefix || content, chr(10) || chr(10) order by ord)) as content_md5, sum(tokens)::bigint as tokens
 from s group by pack_id, section, role, case when section = 0 then null else ord end""")
 def pack_messages(spark, d):
-    m = E.to_messages(_decided(spark, d, content=True).where("chosen"))
+    m = E.to_messages(chosen_texts(spark, d, decided(spark, d)))
     return m.select("pack_id", "section", "role", "first", F.md5("content").alias("content_md5"), "tokens")
 
 

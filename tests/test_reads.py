@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ctxloom.functions import text as T
+from ctxloom.operators import packing as P
 from ctxloom.operators import retrieval as R
+from ctxloom.plans import model as M
 from ctxloom.plans import text_queries as X
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +63,30 @@ def test_best_of_many_queries_in_cells(spark, monkeypatch):
     counts = R.Counted(docs, asked)
     found = counts.best(counts.weighted(1.2, 0.75), 4, hits=True)
     assert {(r.query_id, r.doc_id, tuple(r.score), r["rank"]) for r in found.collect()} == ranked_pairs(hits, 4)
+
+
+def test_packed_texts_are_read_for_the_chosen_alone(spark, monkeypatch):
+    """The items with a text are the chosen documents, repeated ids and blank texts as in one packing with the texts."""
+    docs = [(1, "a b c", "en", "p"), (1, "d " * 3000, "en", "p"), (1, "e", "en", "q"), (2, " ", "en", "p"), (3, "x " * 1000, "en", "p"), (4, "y " * 1400, "en", "p"), (5, None, "en", None), (6, "z", None, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(3, 1), (3, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(M, "table", lambda spark, d, name: {"documents": rows, "labels": labels}[name])
+    seen, items = [], M.items
+
+    def counted(spark, d, content=False, docs=None):
+        out = items(spark, d, content, docs)
+        if content:
+            seen.append(out.count())
+        return out
+
+    want = P.greedy(items(spark, SF, content=True), ["pack_id"]).where("chosen")
+    monkeypatch.setattr(M, "items", counted)
+    got = M.chosen_texts(spark, SF, M.decided(spark, SF)).select(*want.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() == 6
+    assert seen == [6]
+
+
+def test_tokens_are_words_of_one_pattern(spark):
+    texts = ["", " ", None, "a", " a  b\n", "\x0b\x1fa b c\x0c", "x" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, t string").select("k", T.estimate_tokens(F.col("t")).alias("n"))
+    assert [r.n for r in df.orderBy("k").collect()] == [0, 0, 0, 2, 3, 3, 2] and plan(df).count("regexp") == 1
