@@ -25,8 +25,10 @@ def _parts(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
             own.append(piece.strip())
             ends.append(at + len(piece.rstrip()))
         at += len(piece)
-    zones = [m.span() for m in _HELD.finditer(text)]
-    return own, np.array([_tokens(s) for s in own]), np.array([not any(a < e < b for a, b in zones) for e in ends], bool)
+    # protected runs come in order and apart from each other: only the last that begins before an end can hold it
+    zones = np.array([m.span() for m in _HELD.finditer(text)], np.int64).reshape(-1, 2)
+    last = np.searchsorted(zones[:, 0], ends)
+    return own, np.array([_tokens(s) for s in own]), np.append(0, zones[:, 1])[last] <= ends
 
 
 def _rows(doc_id, own: list[str], ends: list[int]):
