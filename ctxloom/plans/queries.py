@@ -234,7 +234,7 @@ z as (select tot.pack_id, item_count, total_tokens, least(u / greatest(total_tok
 select pack_id, item_count, total_tokens, floor(dn * 1000 + 0.5) / 1000.0::double as density, floor(diversity * 1000 + 0.5) / 1000.0::double as diversity, floor(freshness * 1000 + 0.5) / 1000.0::double as freshness,
 floor(redundancy * 1000 + 0.5) / 1000.0::double as redundancy, floor((dn * 0.25::double + diversity * 0.25::double + freshness * 0.2::double + (1 - redundancy) * 0.3::double) * 100 + 0.5) / 100.0::double as overall from z""")
 def quality_metrics(spark, d):
-    return Q.analyze(items(spark, d, content=True))
+    return Q.analyze_parted(Q.parted(items(spark, d, content=True), estimated=True))
 
 
 @query(f"""with {ITEMS} select pack_id, count(*) as item_count, min(priority) as priority_min, max(priority) as priority_max, {r6('avg(priority)')} as priority_mean, {r6('stddev_pop(priority)')} as priority_std,
