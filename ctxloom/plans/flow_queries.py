@@ -12,6 +12,7 @@ from ..operators import packing as P
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import templates as E
+from ..operators.scratch import only, stored
 from .model import ITEMS, NOW, chosen_texts, decided, items, sql_greedy, sql_tokens, table
 from .queries import _TOK, _VEC, q6, r6
 from .registry import query
@@ -149,20 +150,26 @@ nv as (select dw.id, greatest(0, 1 - max(len(list_intersect(dw.w, cx.w)) / nulli
 
 
 def _candidates(spark, d, k):
-    """The k documents next to each vector of the query set, ids taken modulo the documents', with their words."""
+    """The k documents next to each vector of the query set, with their tokens; the words of these documents; the context.
+
+    Texts are read for words and tokens once, and only those of a candidate or of the context.
+    """
     v = table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    near = R.vector_top(v, asked, k).select("query_id", F.col("vec_id").alias("id"), "rank")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array_distinct(T.tokens(F.col("text"))).alias("words"), T.estimate_tokens(F.col("text")).alias("tokens"))
-    context = docs.where("id % 50 = 0").select(F.col("id").alias("ctx"), "words")
-    return near.join(docs, "id"), context
+    near = stored(R.vector_top(v, asked, k).select("query_id", F.col("vec_id").alias("id"), "rank"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    wanted = stored(near.select("id").union(texts.where("id % 50 = 0").select("id")).distinct())
+    found = only(texts, wanted, ["id"], "left_semi")
+    docs = stored(found.select("id", F.array_distinct(T.tokens(F.col("text"))).alias("words"), T.estimate_tokens(F.col("text")).alias("tokens")))
+    sets = docs.select("id", "words").join(near.select("id").distinct(), "id", "left_semi")
+    return near.join(docs.select("id", "tokens"), "id"), stored(sets.distinct()), docs.where("id % 50 = 0").select(F.col("id").alias("ctx"), "words")
 
 
 @query(f"""with recursive {_VEC.replace('rank <= 10', 'rank <= 10')}, {_CTX}, o as (select top.query_id, dw.id, rank, tokens, rank as ord, 1500::bigint as budget, 0 as recency, novelty * 0.6::double + 0.5::double * 0.4::double as score from top join dw on dw.id = top.vec_id join nv on nv.id = dw.id
 where novelty * 0.6::double + 0.5::double * 0.4::double >= 0.65::double), {sql_greedy('o', 'query_id')} select query_id, id, {r6('score')} as gain from g where chosen""")
 def retrieve_by_gain(spark, d):
-    candidates, context = _candidates(spark, d, 10)
-    return R.retrieve(candidates, context, 1500, least=0.65).select("query_id", "id", q6(F.col("gain")).alias("gain"))
+    candidates, sets, context = _candidates(spark, d, 10)
+    return R.retrieve(candidates, context, 1500, least=0.65, sets=sets).select("query_id", "id", q6(F.col("gain")).alias("gain"))
 
 
 # compiler
